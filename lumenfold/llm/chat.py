@@ -136,13 +136,18 @@ _RECORD = T.StructType(
 )
 
 
+def _field(name: str):
+    return lambda m: m[name]
+
+
 def _record_fingerprint(r: Column) -> Column:
     """The same hash for one parsed JSON record, from the paths that it holds."""
     present = []
     for x in LAYOUTS:
         if x.array:
             for leaf in (x.role, x.text):
-                present.append(F.when(F.exists(F.coalesce(r[x.array], F.array()), lambda m, leaf=leaf: m[leaf].isNotNull()), F.lit(f"{x.array}[].{leaf}")))
+                held = F.exists(F.transform(F.coalesce(r[x.array], F.array()), _field(leaf)), lambda v: v.isNotNull())
+                present.append(F.when(held, F.lit(f"{x.array}[].{leaf}")))
     present += [F.when(r[n].isNotNull(), F.lit(n)) for n in sorted({n for x in LAYOUTS for _, n in x.fixed})]
     return F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*present))), "\n"), 256)
 

@@ -27,3 +27,23 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum({_OVER} + {_escaped_length('role')} + {_escaped_length('text')})::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL["op9_benchmark_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT item, least(len(w), 10) AS n,
+    unnest(CASE WHEN len(w) < 10 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' ')) END) AS win
+  FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+pos AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+hits AS (SELECT DISTINCT a.r, a.i, a.n, x.item FROM pos a JOIN bw x ON x.n = a.n AND x.win = array_to_string(a.w[a.i:a.i+a.n-1], ' ')),
+hit_words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+hit_items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
