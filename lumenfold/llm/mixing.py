@@ -11,8 +11,9 @@ of source and document; a leaf settles all but one of its documents and sends th
 residual up, where residuals meet in groups of ``LEAF`` again. Each level holds
 1/LEAF of the rows of the one below, a source that has a third of all rows is spread
 over its many leaves, and at the root each source has one residual left, which goes to
-the nearer whole number. What that leaves over or short is settled by one last
-exchange with a document whose duels are over and whose size is closest to it.
+the nearer whole number. What that leaves over or short is settled by exchanges
+with documents whose duels are over, the one whose size is closest first, until every
+source is within ``CLOSE`` of its target (large sources are so already).
 
 Defined results
 * null or empty text: size 0, never in a duel, ``taken`` 0.
@@ -37,6 +38,8 @@ from .common import drop, keep
 LEAF = 48
 #: A document is repeated this often at most.
 MOST_COPIES = 3
+#: Share of its target by which a source may be off without a last exchange, and rounds of exchanges.
+CLOSE, ROUNDS = 0.005, 6
 #: Weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -152,7 +155,8 @@ def _out(each: DataFrame) -> DataFrame:
 def _last_exchange(mixed: DataFrame, most: int) -> DataFrame:
     """One document a source gains or loses a copy if that brings the source closer to its target."""
     off = F.sum(F.col("size") * F.col("copies")) - F.max("target")
-    sums = mixed.groupBy("source").agg(off.alias("off"), F.max("target").alias("_t")).filter("_t > 0").select(F.col("source").alias("_source"), "off")
+    sums = mixed.groupBy("source").agg(off.alias("off"), F.max("target").alias("_t")).select(F.col("source").alias("_source"), "off", "_t")
+    sums = sums.filter(F.abs("off") > CLOSE * F.col("_t"))
     near = mixed.join(sums, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.col("target") / F.col("source_size")
     free = F.when(F.col("off") > 0, F.col("copies") > F.floor(rate)).otherwise((F.col("copies") < F.ceil(rate)) & (F.col("copies") < most))
@@ -203,4 +207,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         out = out.unionByName(part)
     mixed = keep(out, "mixed")
     drop(*spent, targets)
-    return _last_exchange(mixed, most).select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    for _ in range(ROUNDS):
+        off = mixed.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - F.max("target")).alias("off"), F.max("target").alias("t"))
+        if off.filter(F.abs("off") > CLOSE * F.col("t")).isEmpty():
+            break
+        settled = keep(_last_exchange(mixed, most), "settled")
+        drop(mixed)
+        mixed = settled
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
