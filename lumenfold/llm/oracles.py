@@ -47,3 +47,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
+
+_TOKENS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+')"
+
+SQL["op10_minhash_near_dedup"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g FROM d),
+u AS (SELECT DISTINCT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
+  FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(n, m) AS (SELECT a, a FROM edge UNION SELECT e.b, reach.m FROM reach JOIN edge e ON e.a = reach.n),
+least_of AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(component_id, doc_id)) AS component_id,
+  coalesce(component_id, doc_id) = doc_id AS kept
+FROM s LEFT JOIN least_of ON n = doc_id
+"""
