@@ -65,3 +65,17 @@ SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(component_id
   coalesce(component_id, doc_id) = doc_id AS kept
 FROM s LEFT JOIN least_of ON n = doc_id
 """
+
+SQL["op2_embedding_near_dedup"] = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(n, m) AS (SELECT a, a FROM edge UNION SELECT e.b, reach.m FROM reach JOIN edge e ON e.a = reach.n),
+least_of AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n),
+degree AS (SELECT a, count(*) AS n_links FROM edge GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least_of ON n = vec_id LEFT JOIN degree ON a = vec_id
+"""

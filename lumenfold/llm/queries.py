@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, minhash, mixing, oracles, secrets
+from . import capfilter, chat, decontam, minhash, mixing, oracles, secrets
 from .common import table
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, cosine 0.9 or more."""
+    return capfilter.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations plus conversation -1, rendered and read back."""
     asked = "</s>[INST] ok [/INST]"
