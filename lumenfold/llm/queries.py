@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, chat, decontam, minhash, mixing, oracles, secrets
+from . import capfilter, chat, decontam, htmltext, minhash, mixing, oracles, secrets
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, cosine 0.9 or more."""
     return capfilter.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
