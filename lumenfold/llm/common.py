@@ -13,8 +13,12 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import lumenfold
 
@@ -80,6 +84,51 @@ def _clean() -> None:
             return
 
 
+#: Bits of a membership filter, 2 to this power at most: 64 MB, whatever the number of keys.
+MOST_FILTER_BITS = 29
+
+
+def _filter_bits(key: np.ndarray, log2: int) -> np.ndarray:
+    """Two bit places for each key, by different parts of a mixed hash."""
+    x = key.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return np.stack([x & np.uint64((1 << log2) - 1), x >> np.uint64(64 - log2)])
+
+
+def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys`` (one long column); a join decides the rest.
+
+    Wide rows that no join needs are dropped in the scan and never shuffled. The filter
+    has about 16 bits a key and a fixed upper bound; beyond that bound it lets more pass.
+    """
+    spark = df.sparkSession
+    name = keys.columns[0]
+    log2 = min(MOST_FILTER_BITS, max(16, int(keys.count() * 16).bit_length()))
+
+    def pack(batches):
+        bits = np.zeros(1 << log2, bool)
+        for batch in batches:
+            bits[_filter_bits(batch.column(0).to_numpy(), log2).ravel()] = True
+        words = np.packbits(bits).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    got = keys.select(name).mapInArrow(pack, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros((1 << log2) // 64, np.int64)
+    words[got["at"].to_numpy()] = got["word"].to_numpy()
+    shared = spark.sparkContext.broadcast(words.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def may_hold(k: pd.Series) -> pd.Series:
+        places = _filter_bits(k.fillna(0).to_numpy(np.int64), log2)
+        held = (shared.value[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1
+        return pd.Series(held.all(0))
+
+    return df.filter(may_hold(F.col(key)))
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

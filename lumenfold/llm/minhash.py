@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, prefilter
 from .graph import components
 
 N_HASHES, TREES, MIN_DEPTH, MAX_DEPTH = 128, 32, 4, 12
 #: A region of so many rows gives all its pairs; in a larger one each row meets so many next neighbours.
-SMALL, NEXT = 24, 4
+SMALL, NEXT = 12, 3
 #: Partners that each row is confirmed with first.
 FIRST = 2
 
@@ -219,7 +219,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     weighed = keep(weighed, "weighed")
     drop(bytes_of)
 
-    texts = rows.join(weighed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    asked = keep(weighed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    texts = prefilter(rows, asked, "doc_id").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     texts = keep(texts, "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
