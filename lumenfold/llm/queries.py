@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, chat, decontam, htmltext, minhash, mixing, oracles, secrets
+from . import capfilter, chat, decontam, htmltext, minhash, mixing, oracles, secrets, suffix
 from .common import table
 
 
@@ -35,6 +35,11 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.classify(secrets.scan(docs, repo_col="repo")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: bytes covered by 100-byte strings that also start earlier."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1, repeating."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
