@@ -284,20 +284,16 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndar
     span = stop - wanted + 1
     extra = np.repeat(wanted, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
     inside[extra] = True
-    if not len(directs) or directs[-1] < n - 1:
-        inside[n - 1] |= bool(inside[n - 1])
     words = _words(data, n)
-    direct = np.flatnonzero(inside & smaller)
-    if inside[n - 1] and not smaller[n - 1]:
-        direct = np.r_[direct, n - 1]  # the end of the buffer has no successor to follow
     induced = inside & ~smaller
-    if n:
-        induced[n - 1] = False
-    direct = _sorted_to(words, direct, depth)
+    induced[n - 1] = False  # the end of the buffer has no successor to follow
+    direct = _sorted_to(words, np.flatnonzero(inside & smaller), depth)
     heads = data[direct]
     by_head = np.searchsorted(heads, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     order: list[np.ndarray] = []
+    if inside[n - 1] and not smaller[n - 1]:
+        waiting[int(data[n - 1])].append(np.array([n - 1]))  # nothing follows it, so it is the least of its bucket
 
     def before(rows: np.ndarray) -> np.ndarray:
         p = rows[rows > 0] - 1
