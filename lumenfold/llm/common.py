@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lumenfold
@@ -97,13 +97,13 @@ def _filter_bits(key: np.ndarray, log2: int) -> np.ndarray:
     return np.stack([x & np.uint64((1 << log2) - 1), x >> np.uint64(64 - log2)])
 
 
-def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys`` (one long column); a join decides the rest.
+def may_hold(keys: DataFrame, key: Column) -> Column:
+    """Whether ``key`` may be in ``keys`` (one long column): never false for one that is.
 
-    Wide rows that no join needs are dropped in the scan and never shuffled. The filter
-    has about 16 bits a key and a fixed upper bound; beyond that bound it lets more pass.
+    The filter has about 16 bits a key and a fixed upper bound; beyond that bound it is
+    true more often, so a join has to decide.
     """
-    spark = df.sparkSession
+    spark = keys.sparkSession
     name = keys.columns[0]
     log2 = min(MOST_FILTER_BITS, max(16, int(keys.count() * 16).bit_length()))
 
@@ -115,24 +115,29 @@ def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
 
-    got = keys.select(name).mapInArrow(pack, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    known = keys.select(name).filter(F.col(name).isNotNull())
+    got = known.mapInArrow(pack, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     words = np.zeros((1 << log2) // 64, np.int64)
     words[got["at"].to_numpy()] = got["word"].to_numpy()
     shared = spark.sparkContext.broadcast(words.view(np.uint8))
 
     @F.pandas_udf("boolean")
-    def may_hold(k: pd.Series) -> pd.Series:
+    def held(k: pd.Series) -> pd.Series:
         places = _filter_bits(k.fillna(0).to_numpy(np.int64), log2)
-        held = (shared.value[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1
-        return pd.Series(held.all(0))
+        bit = (shared.value[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1
+        return pd.Series(bit.all(0) & k.notna().to_numpy())
+
+    return held(key.cast("long"))
 
-    return df.filter(may_hold(F.col(key)))
+
+def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``. Wide rows that no join needs go in the scan, before any shuffle."""
+    return df.filter(may_hold(keys, F.col(key)))
 
 
-def fresh_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``keys``; only rows that may be in it are shuffled. A null key stays."""
+    maybe = may_hold(keys, F.col(key))
+    gone = keys.select(F.col(keys.columns[0]).alias("_lumenfold_gone")).distinct()
+    doubted = df.filter(maybe).join(gone, F.col(key).cast("long") == F.col("_lumenfold_gone"), "left_anti")
+    return df.filter(~maybe).unionByName(doubted)

@@ -109,19 +109,27 @@ def report(classified: DataFrame) -> DataFrame:
     return classified.select("doc_id", *counts[:3], F.sha2(_listed(KINDS[:3]), 256).alias("base_sha256"), _listed(KINDS).alias("spans"), counts[3], F.size("copied").cast("long").alias("n_copied"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
+def _may_match(text: Column) -> Column:
+    """Whether some base pattern is in the text; a candidate never is in one where this is false."""
+    some = text.rlike(f"(?i:{ASSIGN}){ASSIGN_VALUE}") | text.contains("AKIA") | text.rlike("[0-9a-f]{16}")
+    return F.coalesce(some, F.lit(False))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: Column | None = None) -> DataFrame:
     """The same rows, with the values of all candidates masked but those of copied examples.
 
-    Only rows with candidates meet the spans again, by id and text hash; all others pass by unchanged.
+    Only rows with a possible candidate meet their spans again, by id and text hash; all
+    others pass by and are never shuffled. A column ``n_chars`` follows the text.
     """
-    key = F.xxhash64(text_col)
-    found = scan(docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), key.alias("h"))), "_key", text_col, owner_col, repo_col)
-    each = classify(found)
+    names = docs.columns
+    text = F.col(text_col)
+    hit = _may_match(text)
+    suspects = docs.filter(hit).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("_key"), text.alias("text"), F.col(owner_col).alias("owner"), (F.col(owner_col) if repo_col is None else repo_col).alias("repo"))
+    each = classify(scan(suspects, "_key", "text", "owner", "repo"))
     values = F.concat(*[F.transform(k, lambda s: F.struct(s["v_start"].alias("start"), s["end"].alias("end"))) for k in KINDS[:3]])
-    cuts = F.array_sort(F.array_except(values, F.col("copied")))
-    cuts = each.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"), cuts.alias("_cuts")).filter(F.size("_cuts") > 0).dropDuplicates(["_id", "_h"])
+    cuts = each.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"), F.array_sort(F.array_except(values, F.col("copied"))).alias("_cuts"))
+    cuts = cuts.filter(F.size("_cuts") > 0).dropDuplicates(["_id", "_h"])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.col(text_col)
 
     def step(acc: Column, c: Column) -> Column:
         # A cut that starts inside the one before only extends it.
@@ -129,5 +137,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         return F.struct(F.greatest(c["end"], acc["at"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
     masked = F.aggregate("_cuts", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    joined = docs.join(cuts, (F.col(id_col).eqNullSafe(F.col("_id"))) & (key == F.col("_h")), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(masked)).select(*docs.columns)
+    met = docs.filter(hit).join(cuts, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.xxhash64(text) == F.col("_h")), "left")
+    met = met.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(masked))
+    if "n_chars" in names:
+        met = met.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
+    return docs.filter(~hit).unionByName(met.select(*names))
