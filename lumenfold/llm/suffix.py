@@ -466,7 +466,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """doc, start, size: runs of starts of strings that also start earlier. doc: the id, the smallest long for null."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("doc"), F.col(text_col).alias("text"))
     anchors = rows.mapInArrow(_anchors(length), _ROW)
-    met = anchors.repartition("gram").sortWithinPartitions("gram", "digest", "doc", "start").mapInArrow(_collapse, _ROW)
+    # Runs known to be repeats only pass through, so they are spread by place, not by their anchor.
+    dealt = anchors.repartition(F.when(F.col("kind") == 1, F.xxhash64("doc", "start")).otherwise(F.col("gram")))
+    met = dealt.sortWithinPartitions("gram", "digest", "doc", "start").mapInArrow(_collapse, _ROW)
     met = keep(met, "stretches")
     crowded = met.filter("kind = 2").select("gram").distinct().withColumn("many", F.lit(True))
     differ = met.filter("kind = 0").select("gram", "doc", "start", "size").join(crowded, "gram", "left")
