@@ -137,8 +137,8 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
     return labelled.select("scene", order[F.col("cluster")].alias("cluster"), "cosine")
 
 
-def _move_pass(sums: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, whole: np.ndarray, squares: float, n_all: int, gamma: float, parity: int, seed: int):
-    """Each scene's best community by modularity gain; only scenes of one hash parity may move in a sweep."""
+def _move_pass(sums: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, whole: np.ndarray, squares: float, n_all: int, gamma: float, share: float, seed: int):
+    """Each scene's best community by modularity gain; a drawn share of the scenes may move, as all move at once."""
     two_w = float(whole @ whole) - squares + n_all * (n_all - 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +153,8 @@ def _move_pass(sums: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, whole
             into[at, label] -= own + 1
             rest[at, label] -= strength
             gain = into - gamma * strength[:, None] * rest / two_w
-            gain[:, sizes == 0] = -np.inf
             gain[at, label] += 1e-9
-            turn = np.array([int(hash_id(i, seed) * 2) for i in ids.to_pylist()]) == parity
+            turn = np.array([hash_id(i, seed) for i in ids.to_pylist()]) < share
             new = np.where(turn, gain.argmax(1), label)
             yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(new.astype(np.int32))], names=["scene", "vector", "cluster"])
 
@@ -180,9 +179,9 @@ def communities(scenes: DataFrame, key: str = "scene", vector: str = "centroid",
     """scene, cluster: Louvain-style communities of the complete graph with weights dot + 1.
 
     Gains come from broadcast community sums, so no edges arise. Sweeps start from
-    ``start`` k-means groups, alternate hash parities so that neighbours do not swap
-    back and forth, and stop when nothing moves. Then communities merge as long as a
-    merge gains modularity. The complete graph makes every community connected.
+    ``start`` k-means groups. In a sweep a drawn share of the scenes moves; a sweep that
+    does not raise modularity is taken back and the share halved, so scenes do not all
+    run to one place. Then communities merge as long as a merge gains modularity. The complete graph makes every community connected.
     Identity with other Louvain or Leiden implementations is not claimed.
     """
     base = spherical_kmeans(scenes, start, key, vector, seed, n_init=1, max_iter=10)
@@ -197,17 +196,25 @@ def communities(scenes: DataFrame, key: str = "scene", vector: str = "centroid",
             s[r["cluster"]] += np.array(r["s"])
         return n, q, s
 
+    def quality(n: np.ndarray, q: np.ndarray, s: np.ndarray) -> float:
+        whole, total = s.sum(0), int(n.sum())
+        two_w = float(whole @ whole) - float(q.sum()) + total * (total - 1.0)
+        strengths = s @ whole - q + n * (total - 1.0)
+        return float(((s * s).sum(1) - q + n * (n - 1.0)).sum() / two_w - gamma * ((strengths / two_w) ** 2).sum())
+
     n, q, s = state(rows)
-    still = 0
+    share = 0.5
     for sweep in range(sweeps):
         whole, squares, total = s.sum(0), float(q.sum()), int(n.sum())
         strengths = s @ whole - q + n * (total - 1.0)
-        moved = rows.mapInArrow(_move_pass(s, n, strengths, whole, squares, total, gamma, sweep % 2, seed), "scene long, vector array<double>, cluster int").persist()
+        moved = rows.mapInArrow(_move_pass(s, n, strengths, whole, squares, total, gamma, share, seed * 1009 + sweep), "scene long, vector array<double>, cluster int").persist()
         n2, q2, s2 = state(moved)
-        same = np.array_equal(n, n2) and np.allclose(s, s2, atol=1e-12)
-        rows, n, q, s = moved, n2, q2, s2
-        still = still + 1 if same else 0
-        if still >= 2:
+        if quality(n2, q2, s2) > quality(n, q, s) + 1e-12:
+            rows, n, q, s = moved, n2, q2, s2
+            continue
+        moved.unpersist()
+        share /= 2
+        if share < 1 / 64:
             break
     # Merging whole communities needs their sums only.
     merged = np.arange(start)

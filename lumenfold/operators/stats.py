@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from .windows import average_rank
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation, null where a side has no variance (the built-in raises there under ANSI rules)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with averaged ties; NaN below three rows or without variance."""
     ranked = average_rank(average_rank(rows, a, "_ra"), b, "_rb")
-    got = ranked.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_c"))
+    got = ranked.agg(F.count("*").alias("n"), correlation("_ra", "_rb").alias("_c"))
     return got.select("n", F.when(F.col("n") < 3, F.lit(float("nan"))).otherwise(F.coalesce("_c", F.lit(float("nan")))).alias("rho"))
 
 
@@ -32,7 +37,7 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def regression(rows: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
     """Least squares of y on x: n, slope, intercept, r2, pearson and the t statistic of the slope."""
-    got = rows.groupBy(*(by or [])).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.corr(x, y).alias("pearson"))
+    got = rows.groupBy(*(by or [])).agg(F.regr_count(y, x).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), correlation(x, y).alias("pearson"))
     return got.withColumn("t", F.try_divide(F.col("pearson") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0))), F.sqrt(1 - F.col("r2"))))
 
 

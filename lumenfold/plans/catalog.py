@@ -442,8 +442,8 @@ def ols_typicality(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_XY}, q AS (SELECT quantile_cont(y, 0.98) AS lim FROM xy) SELECT count(*) AS n, round(corr(x, ln(y)), 6) AS pearson FROM xy, q WHERE y <= lim AND y > 0")
 def trimmed_log_correlation(spark: SparkSession, d: str) -> DataFrame:
-    rows = ST.trim_top(_typicality_loss(spark, d), "y", 0.02).filter("y > 0")
-    return rows.agg(F.count("*").alias("n"), F.round(F.corr("x", F.log("y")), 6).alias("pearson"))
+    rows = ST.trim_top(_typicality_loss(spark, d), "y", 0.02).filter("y > 0").withColumn("ln", F.log("y"))
+    return rows.agg(F.count("*").alias("n"), F.round(ST.correlation("x", "ln"), 6).alias("pearson"))
 
 
 @query(f"WITH {_XY}, g AS (SELECT cluster, count(*)::DOUBLE AS w, avg(x) AS x, avg(y) AS y FROM xy GROUP BY cluster HAVING count(*) >= 3), s AS (SELECT sum(w) AS w, sum(w*x) AS x, sum(w*y) AS y, sum(w*x*x) AS xx, sum(w*y*y) AS yy, sum(w*x*y) AS xy FROM g) SELECT round((xy - x*y/w) / (xx - x*x/w), 4) AS slope, round(y/w - (xy - x*y/w) / (xx - x*x/w) * x/w, 4) AS intercept, round((xy - x*y/w) / sqrt((xx - x*x/w) * (yy - y*y/w)), 5) AS pearson FROM s")
@@ -564,9 +564,9 @@ def depth_edges(spark: SparkSession, d: str) -> DataFrame:
     return W.depth_edges(_grid(spark, d), [], "y", "x", "z", 0.25).select("y", "x", _r("low"), _r("high"), "edge")
 
 
-@query(f"WITH {_GRID}, n AS (SELECT y, x, z, z > 1000 AS valid, lead(z) OVER w AS nz, lead(z) OVER w > 1000 AS nv, lead(x) OVER w AS nx FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, count(*) AS pairs, round(avg(abs(nz - z)), 6) AS grad FROM n WHERE valid AND nv AND nx = x + 1 GROUP BY y")
+@query(f"WITH {_GRID}, n AS (SELECT y, x, z, z > 940 AS valid, lead(z) OVER w AS nz, lead(z) OVER w > 940 AS nv, lead(x) OVER w AS nx FROM grid WINDOW w AS (PARTITION BY y ORDER BY x)) SELECT y, count(*) AS pairs, round(avg(abs(nz - z)), 6) AS grad FROM n WHERE valid AND nv AND nx = x + 1 GROUP BY y")
 def grad_pairs(spark: SparkSession, d: str) -> DataFrame:
-    grid = _grid(spark, d).withColumn("valid", F.col("z") > 1000)
+    grid = _grid(spark, d).withColumn("valid", F.col("z") > 940)
     return W.forward_pairs(grid, ["y"], "x", "z", "valid").groupBy("y").agg(F.count("*").alias("pairs"), F.round(F.avg(F.abs("diff")), 6).alias("grad"))
 
 
