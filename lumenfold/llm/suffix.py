@@ -41,7 +41,7 @@ from .minhash import mix64
 LENGTH = 100
 GRAM = 32
 #: Bytes that are hashed together, and bytes of stretches that are sorted together.
-CHUNK, SORTED = 2 << 20, 4 << 20
+CHUNK, SORTED = 1 << 19, 1 << 20
 #: Different stretches of one anchor beyond which they are dealt by longer grams, and starts in a part then.
 MANY, PART = 256, 8
 _FIRST = -(1 << 63)
