@@ -14,9 +14,12 @@
    are still in different components are confirmed, all of them. So components come
    out as if all pairs had been confirmed, without confirming those inside a group.
 
+5. Rows of regions that were too dense to give all pairs get an exact second look: by the
+   prefix filter, two sets that similar share one of the rarest tokens of either, so
+   rows with a rare token in common are confirmed if their components still differ.
+
 A pair at the threshold (0.85) shares a prefix of four in a tree with probability
-0.52, so all 32 trees miss it with 5e-11; in regions cut to depth 12 a tree still
-finds it with 0.14 (all miss: 0.8 %), and there neighbours link up through others.
+0.52, so all 32 trees miss it with 5e-11.
 
 Defined results
 * null, empty or blank text: no shingles, its own component, linked with nothing.
@@ -63,7 +66,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return got
@@ -166,9 +169,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
             p = np.array(region_pairs(keys[lo:hi]), np.int64) + lo
             found.append(np.stack([ids[p[:, 0]], ids[p[:, 1]]], 1))
+            if hi - lo > SMALL:  # a pair with itself marks a row whose region did not give all pairs
+                found.append(np.stack([ids[lo:hi], ids[lo:hi]], 1))
         if found:
-            pairs = np.concatenate(found)
-            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -210,7 +214,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planted = reps.select("id", "sig").mapInArrow(_plant, "tree int, key binary, id long")
     ordered = planted.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    pairs = ordered.mapInArrow(_neighbours, "a long, b long").distinct()
+    met = keep(ordered.mapInArrow(_neighbours, "a long, b long").distinct(), "met")
+    pairs, dense = met.filter("a <> b"), met.filter("a = b").select(F.col("a").alias("id"))
     # One byte of each minimum tells how alike two sets are to 0.03; 4.5 deviations below the threshold none is lost.
     share = percent / 100
     least = int(N_HASHES * (share - 4.5 * (share * (1 - share) / N_HASHES) ** 0.5))
@@ -237,7 +242,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     more = confirmed(apart)
     if not more.isEmpty():
         groups = keep(components(links.unionByName(more)), "components")
-    drop(texts, weighed, links, more)
+        links = links.unionByName(more)
+    rest = _dense_links(rows, dense, groups, shingle, percent)
+    if rest is not None and not rest.isEmpty():
+        groups = keep(components(links.unionByName(rest)), "components")
+    drop(texts, weighed, met)
     named = reps.select("n_shingles", "lo", "hi", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("n_shingles", "lo", "hi", F.coalesce("component_id", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "lo", "hi").join(named, ["n_shingles", "lo", "hi"], "left")
@@ -245,6 +254,122 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+#: Counters of token frequencies, a fixed bound; tokens that share one only blur the order.
+COUNTERS = 1 << 20
+#: Rows of one token that are compared in one piece.
+TILE = 4096
+
+
+def _count_tokens(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, total = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(1):
+                np.add.at(total, (shingle_set(text.as_py(), size, memo) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    return run
+
+
+def _rare_tokens(size: int, num: int, den: int, shared):
+    """token, id, n, label: the rarest tokens of each set, as many as the prefix filter needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, counts = WordHashes(), shared.value
+        for batch in batches:
+            out = []
+            for doc, text, label in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                s = shingle_set(text.as_py(), size, memo)
+                need = len(s) - -(-num * len(s) // den) + 1
+                c = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                first = np.lexsort((s, c))[:need]
+                first = first[c[first] > 1]  # nobody else has the others
+                out += [(t, doc, len(s), label) for t in s[first].view(np.int64).tolist()]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "id", "n", "label"])
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Distinct pairs of rows with one token, different components and sizes that allow a link. Sorted by token and tile."""
+
+    def pairs_of(n, label, doc, part, i, j) -> Iterator[np.ndarray]:
+        left = np.flatnonzero(part == i)
+        right = left if i == j else np.flatnonzero(part == j)
+        # Rows of the most frequent component need not meet each other.
+        names, counts = np.unique(label[right], return_counts=True)
+        if not len(names):
+            return
+        big = names[counts.argmax()]
+        for rows, cols in ((left[label[left] != big], right), (left[label[left] == big], right[label[right] != big])):
+            for at in range(0, len(rows), 256):
+                r = rows[at : at + 256]
+                ok = (label[r, None] != label[None, cols]) & (den * np.minimum(n[r, None], n[None, cols]) >= num * np.maximum(n[r, None], n[None, cols]))
+                a, b = np.nonzero(ok)
+                yield np.sort(np.stack([doc[r[a]], doc[cols[b]]], 1), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, found, held = None, [], 0
+
+        def flush() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+        def group(x: list[np.ndarray], last: bool) -> list[np.ndarray] | None:
+            nonlocal held
+            new = np.flatnonzero((x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])) + 1
+            begin, end = np.r_[0, new], np.r_[new, len(x[0])]
+            stop = len(begin) if last else len(begin) - 1
+            for lo, hi in zip(begin[:stop].tolist(), end[:stop].tolist(), strict=True):
+                if hi - lo > 1:
+                    for p in pairs_of(x[5][lo:hi], x[6][lo:hi], x[4][lo:hi], x[3][lo:hi], int(x[1][lo]), int(x[2][lo])):
+                        found.append(p)
+                        held += len(p)
+            return None if last else [c[begin[-1] :] for c in x]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy() for c in batch.columns]
+            left = group(cols if left is None else [np.concatenate(c) for c in zip(left, cols, strict=True)], False)
+            if held > 1_000_000:
+                yield flush()
+                held = 0
+        if left is not None:
+            group(left, True)
+        yield flush()
+
+    return run
+
+
+def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Confirmed links between rows of dense regions that are still in different components: all of them."""
+    spark = rows.sparkSession
+    if dense.isEmpty():
+        return None
+    asked = keep(dense.distinct().join(groups.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "dense")
+    texts = prefilter(rows, asked.select("id"), "doc_id").join(asked, F.col("doc_id") == F.col("id")).select("id", "text", "label").dropDuplicates(["id"])
+    texts = keep(texts, "texts")
+    got = texts.select("id", "text").mapInArrow(_count_tokens(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long"), "rare")
+    tiles = rare.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("c > 1 and _l < _h").select("token", F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
+    dealt = rare.join(tiles, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "label")
+    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    pairs = dealt.mapInArrow(_across(percent, 100), "a long, b long").distinct()
+    plain = texts.select("id", "text")
+    both = pairs.join(plain.toDF("a", "x"), "a").join(plain.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    links = keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed")
+    drop(texts, rare)
+    return links
+
+
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).astype(np.uint8).reshape(-1, N_HASHES)
