@@ -138,6 +138,15 @@ def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is not in ``keys``; only rows that may be in it are shuffled. A null key stays."""
     maybe = may_hold(keys, F.col(key))
-    gone = keys.select(F.col(keys.columns[0]).alias("_lumenfold_gone")).distinct()
-    doubted = df.filter(maybe).join(gone, F.col(key).cast("long") == F.col("_lumenfold_gone"), "left_anti")
+    name = fresh_name(df, "gone")
+    gone = keys.select(F.col(keys.columns[0]).alias(name)).distinct()
+    doubted = df.filter(maybe).join(gone, F.col(key).cast("long") == F.col(name), "left_anti")
     return df.filter(~maybe).unionByName(doubted)
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

@@ -39,7 +39,7 @@ LEAF = 48
 #: A document is repeated this often at most.
 MOST_COPIES = 3
 #: Share of its target by which a source may be off without a last exchange, and rounds of exchanges.
-CLOSE, ROUNDS = 0.005, 6
+CLOSE, ROUNDS = 0.005, 10
 #: Weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -152,14 +152,17 @@ def _out(each: DataFrame) -> DataFrame:
     return each.select(item["row"].alias("row"), item["id"].alias("doc_id"), item["size"].alias("size"), "source", "source_size", "target", item["base"].alias("base"), (item["base"] + F.round(item["p"]).cast("long")).alias("copies"))
 
 
-def _last_exchange(mixed: DataFrame, most: int) -> DataFrame:
-    """One document a source gains or loses a copy if that brings the source closer to its target."""
+def _last_exchange(mixed: DataFrame, most: int, slack: int) -> DataFrame:
+    """One document a source gains or loses a copy if that brings the source closer to its target.
+
+    Copies stay within ``slack`` of the whole numbers around the source's rate.
+    """
     off = F.sum(F.col("size") * F.col("copies")) - F.max("target")
     sums = mixed.groupBy("source").agg(off.alias("off"), F.max("target").alias("_t")).select(F.col("source").alias("_source"), "off", "_t")
     sums = sums.filter(F.abs("off") > CLOSE * F.col("_t"))
     near = mixed.join(sums, F.col("source").eqNullSafe(F.col("_source")))
     rate = F.col("target") / F.col("source_size")
-    free = F.when(F.col("off") > 0, F.col("copies") > F.floor(rate)).otherwise((F.col("copies") < F.ceil(rate)) & (F.col("copies") < most))
+    free = F.when(F.col("off") > 0, F.col("copies") > F.greatest(F.floor(rate) - slack, F.lit(0))).otherwise((F.col("copies") < F.ceil(rate) + slack) & (F.col("copies") < most))
     gap = F.abs(F.abs("off") - F.col("size"))
     near = near.filter(free & (F.col("size") > 0) & (gap < F.abs("off")))
     pick = near.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.xxhash64("doc_id").alias("h"), "row", (-F.signum("off")).cast("long").alias("more"))).alias("m"))
@@ -207,11 +210,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         out = out.unionByName(part)
     mixed = keep(out, "mixed")
     drop(*spent, targets)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         off = mixed.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - F.max("target")).alias("off"), F.max("target").alias("t"))
         if off.filter(F.abs("off") > CLOSE * F.col("t")).isEmpty():
             break
-        settled = keep(_last_exchange(mixed, most), "settled")
+        settled = keep(_last_exchange(mixed, most, slack=2 * turn // ROUNDS), "settled")
         drop(mixed)
         mixed = settled
     return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

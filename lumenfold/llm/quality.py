@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh_name, keep
 
 #: Documents that the linear scorer is fitted on, at most, and the size of its hashed weight vector.
 SAMPLE, BUCKETS = 6000, 1 << 14
@@ -101,7 +101,7 @@ def features(words: list[str], stats: dict[str, float], shapes: dict[str, int])
             shape = w[:40]
             for pattern, to in _SHAPES:
                 shape = pattern.sub(to, shape)
-            if len(shapes) > 200_000:
+            if len(shapes) > 50_000:
                 shapes.clear()
             got = shapes[w] = _bucket(f"shape {w.isupper() and len(w) > 1} {shape}")
         found[got] += 1
@@ -141,7 +141,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "keys", "vals"])
 
 
-def weak_labels(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], dict[str, float]]:
+def weak_labels(patterns: dict[str, int], rounds: int = 60, labellers: tuple[str, ...] = NAMES) -> tuple[dict[str, float], dict[str, float]]:
     """Posterior of being good for each vote pattern, and each labeller's accuracy, by expectation-maximisation."""
     names = sorted(patterns)
     if not names:
@@ -165,7 +165,7 @@ def weak_labels(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, f
         told = (vote != 0) * count[:, None]
         right = ((vote > 0) * good[:, None] + (vote < 0) * (1 - good)[:, None]) * count[:, None]
         accuracy = right.sum(0) / np.maximum(told.sum(0), 1e-9)
-    return dict(zip(names, good.tolist(), strict=True)), dict(zip(NAMES, accuracy.tolist(), strict=True))
+    return dict(zip(names, good.tolist(), strict=True)), dict(zip(labellers, accuracy.tolist(), strict=True))
 
 
 def fit(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
@@ -240,5 +240,6 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The accepted rows, with the columns they have."""
-    got = score(model, F.col(text_col))
-    return docs.withColumn("_lumenfold_s", got).filter((F.col("_lumenfold_s.score") >= THRESHOLD) & ~F.col("_lumenfold_s.insult")).select(*docs.columns)
+    name = fresh_name(docs, "verdict")
+    scored = docs.withColumn(name, score(model, F.col(text_col)))
+    return scored.filter((F.col(name)["score"] >= THRESHOLD) & ~F.col(name)["insult"]).select(*docs.columns)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh_name, keep
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -122,13 +122,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
     others pass by and are never shuffled. A column ``n_chars`` follows the text.
     """
     names = docs.columns
+    own_id, own_hash, own_cuts = (fresh_name(docs, n) for n in ("cut_id", "cut_hash", "cuts"))
     text = F.col(text_col)
     hit = _may_match(text)
     suspects = docs.filter(hit).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("_key"), text.alias("text"), F.col(owner_col).alias("owner"), (F.col(owner_col) if repo_col is None else repo_col).alias("repo"))
     each = classify(scan(suspects, "_key", "text", "owner", "repo"))
     values = F.concat(*[F.transform(k, lambda s: F.struct(s["v_start"].alias("start"), s["end"].alias("end"))) for k in KINDS[:3]])
-    cuts = each.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h"), F.array_sort(F.array_except(values, F.col("copied"))).alias("_cuts"))
-    cuts = cuts.filter(F.size("_cuts") > 0).dropDuplicates(["_id", "_h"])
+    cuts = each.select(F.col("doc_id.id").alias(own_id), F.col("doc_id.h").alias(own_hash), F.array_sort(F.array_except(values, F.col("copied"))).alias(own_cuts))
+    cuts = cuts.filter(F.size(own_cuts) > 0).dropDuplicates([own_id, own_hash])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -136,9 +137,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
         more = F.when(c["start"] >= acc["at"], F.array(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.greatest(c["end"], acc["at"]).alias("at"), F.concat(acc["out"], more).alias("out"))
 
-    masked = F.aggregate("_cuts", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    met = docs.filter(hit).join(cuts, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.xxhash64(text) == F.col("_h")), "left")
-    met = met.withColumn(text_col, F.when(F.col("_cuts").isNull(), text).otherwise(masked))
+    masked = F.aggregate(own_cuts, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
+    met = docs.filter(hit).join(cuts, (F.col(id_col).eqNullSafe(F.col(own_id))) & (F.xxhash64(text) == F.col(own_hash)), "left")
+    met = met.withColumn(text_col, F.when(F.col(own_cuts).isNull(), text).otherwise(masked))
     if "n_chars" in names:
         met = met.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return docs.filter(~hit).unionByName(met.select(*names))
