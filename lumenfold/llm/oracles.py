@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, warc
 
 SQL: dict[str, str] = {}
 
@@ -79,3 +79,28 @@ degree AS (SELECT a, count(*) AS n_links FROM edge GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN least_of ON n = vec_id LEFT JOIN degree ON a = vec_id
 """
+
+_BARE = "regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*:(//)', '\\1')"
+_HOST = f"regexp_replace(regexp_replace(lower(regexp_extract({_BARE}, '^//(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)$', ''), '^www[0-9]*\\.', '')"
+_PATH = f"regexp_extract({_BARE}, '^//[^/?]*([^?]*)', 1)"
+_QUERY = f"array_to_string(list_sort(list_filter(string_split(regexp_extract({_BARE}, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '^(?:{'|'.join(warc.TRACKING)})(?:=|$)'))), '&')"
+
+SQL["op6_warc_revisits"] = f"""
+WITH u AS (SELECT page_id, sha256(coalesce(html, '')) AS sha, length(coalesce(html, '')) AS n, {_HOST} AS host, {_PATH} AS path, {_QUERY} AS query FROM pages),
+k AS (SELECT *, CASE WHEN host = '' THEN '' ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(regexp_replace(path, '/index\\.(?:html?|php)$', '/'), '(.)/$', '\\1') END || CASE WHEN query = '' THEN '' ELSE '?' || query END END AS url_key,
+  '"' || sha[1:16] || '"' AS tag, 'day ' || (page_id // 7) AS day FROM u),
+v AS (SELECT page_id, url_key, tag, day, page_id * 4 + 401 AS ts FROM k),
+hit AS (SELECT v.page_id, max_by(k.page_id, k.page_id) AS p FROM v JOIN k ON k.url_key = v.url_key AND k.page_id * 4 <= v.ts GROUP BY v.page_id),
+j AS (SELECT v.*, r.page_id AS rp, r.sha AS rsha, r.tag AS rtag, r.day AS rday, r.n AS rn,
+  CASE WHEN v.page_id % 3 <> 0 THEN v.tag END AS etag, CASE WHEN v.page_id % 9 = 0 THEN v.day END AS modified
+  FROM v LEFT JOIN hit USING (page_id) LEFT JOIN k r ON r.page_id = hit.p),
+s AS (SELECT *, CASE WHEN url_key = '' OR rp IS NULL THEN 'unresolved' WHEN etag <> rtag OR (modified <> rday AND coalesce(etag <> rtag, true)) THEN 'mismatch'
+  WHEN etag = rtag OR modified = rday THEN 'resolved' ELSE 'unvalidated' END AS status FROM j)
+SELECT page_id * 2 AS record_id, url_key, page_id * 4 AS ts, 'response' AS kind, 'full' AS status, NULL::BIGINT AS response_id, sha AS digest,
+  'content-length=' || n || chr(10) || 'content-type=text/html' || chr(10) || 'date=' || page_id * 4 || chr(10) || 'etag=' || tag || chr(10) || 'last-modified=' || day AS headers FROM k
+UNION ALL
+SELECT page_id * 2 + 1, url_key, ts, 'revisit', status, CASE WHEN status <> 'unresolved' THEN rp * 2 END, CASE WHEN status = 'resolved' THEN rsha END,
+  'cache-control=max-age=60' || chr(10) || CASE WHEN status = 'resolved' THEN
+    'content-length=' || rn || chr(10) || 'content-type=text/html' || chr(10) || 'date=' || ts || chr(10) || 'etag=' || coalesce('W/' || etag, rtag) || chr(10) || 'last-modified=' || coalesce(modified, rday)
+  ELSE 'content-length=0' || chr(10) || 'date=' || ts || coalesce(chr(10) || 'etag=W/' || etag, '') || coalesce(chr(10) || 'last-modified=' || modified, '') END FROM s
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import capfilter, chat, decontam, htmltext, minhash, mixing, oracles, quality, secrets, suffix
+from . import capfilter, chat, decontam, htmltext, minhash, mixing, oracles, quality, secrets, suffix, warc
 from .common import table
 
 
@@ -40,6 +40,13 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as capture records, each visited again: revisits resolved. Headers as sorted name=value lines."""
+    got = warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return got.select("record_id", "url_key", "ts", "kind", "status", "response_id", "digest", F.array_join(lines, "\n").alias("headers"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; labels of the table are one labeller."""
     docs = table(spark, sf_dir, "documents")
