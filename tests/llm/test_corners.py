@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lumenfold.llm import capfilter, chat, common, decontam, graph, htmltext, minhash, mixing, quality, secrets, suffix
+from lumenfold.llm import capfilter, chat, common, decontam, graph, htmltext, minhash, mixing, quality, secrets, suffix, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -409,3 +409,69 @@ def test_membership_filter_never_misses(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     assert sorted(x["k"] for x in common.without(rows, spark.createDataFrame([(2,)], "k long"), "k").filter("k is not null").collect()) == [1]
     assert common.without(rows, spark.createDataFrame([(2,)], "k long"), "k").count() == 2
+
+
+# ------------------------------------------------------------------ 6 WARC
+
+
+def captures(spark, rows):
+    return spark.createDataFrame(rows, warc.FIELDS)
+
+
+def test_canonical_urls(spark):
+    same = ["http://www.Example.com:80/a/?b=2&a=1#x", "https://example.com/a?a=1&b=2&utm_source=q", "//user@example.com/a/index.html?a=1&b=2&"]
+    got = {r[0] for r in spark.createDataFrame([(u,) for u in same], "u string").select(warc.canonical_url(F.col("u"))).collect()}
+    assert got == {"example.com/a?a=1&b=2"}
+    assert spark.createDataFrame([(None,), ("",), ("x",)], "u string").select(warc.canonical_url(F.col("u"))).distinct().count() == 1
+
+
+def test_revisits(spark):
+    u = "http://h.example/p"
+    rows = [
+        (1, u, 10, "response", "d1", {"ETag": '"a"', "Content-Length": "5", "Date": "10", "Content-Type": "text/html"}),
+        (2, u, 10, "revisit", None, {"etag": 'W/"a"', "Date": "11", "Content-Length": "0"}),
+        (3, u, 5, "revisit", None, {"etag": '"a"'}),
+        (4, u, 20, "response", "d2", {"ETag": '"b"', "Last-Modified": "m"}),
+        (5, u + "#frag", 30, "revisit", None, {"ETag": '"a"'}),
+        (6, u, 31, "revisit", None, {"Date": "31"}),
+        (7, u, 32, "revisit", "d2", None),
+        (8, u, 33, "revisit", None, {"Last-Modified": "m", "ETag": None}),
+        (9, None, 40, "revisit", None, {"etag": '"a"'}),
+        (10, None, None, "response", None, None),
+        (5, u + "#frag", 30, "revisit", None, {"ETag": '"a"'}),
+        (11, u, None, "revisit", None, {}),
+    ]
+    df = clashing(captures(spark, rows)).withColumn("part", F.lit(0))
+    got = warc.resolve_revisits(df).collect()
+    assert len(got) == len(rows)
+    r = {x["record_id"]: x for x in got}
+    assert r[2]["status"] == "resolved" and r[2]["response_id"] == 1 and r[2]["digest"] == "d1"
+    assert r[2]["headers"] == {"etag": 'W/"a"', "date": "11", "content-length": "5", "content-type": "text/html"}
+    assert (r[3]["status"], r[11]["status"], r[9]["status"]) == ("unresolved",) * 3
+    assert (r[5]["status"], r[5]["response_id"]) == ("mismatch", 4)
+    assert (r[6]["status"], r[7]["status"], r[8]["status"]) == ("unvalidated", "resolved", "resolved")
+    assert r[1]["status"] == r[10]["status"] == "full"
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_hot_url_over_many_partitions(spark):
+    r = random.Random(3)
+    rows = [(k, "http://hot.example/", r.randrange(10_000), "response" if r.random() < 0.01 else "revisit", "d", {}) for k in range(3000)]
+    got = {x["record_id"]: x["response_id"] for x in warc.resolve_revisits(captures(spark, rows)).collect() if x["kind"] == "revisit"}
+    responses = sorted((t, k) for k, _, t, kind, _, _ in rows if kind == "response")
+    for k, _, t, kind, _, _ in rows:
+        if kind == "revisit":
+            before = [i for at, i in responses if at <= t]
+            assert got[k] == (before[-1] if before else None)
+
+
+def test_archive_files(spark, tmp_path):
+    def record(kind, uri, http, extra=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\nWARC-Date: 2024-01-01T00:00:0{len(http) % 10}Z\r\n{extra}Content-Length: {len(http)}\r\n\r\n{http}\r\n\r\n".encode()
+
+    import gzip
+
+    data = record("warcinfo", "", "software: x") + record("response", "http://a/", 'HTTP/1.1 200 OK\r\nETag: "x"\r\n\r\nbody') + record("revisit", "http://a/", 'HTTP/1.1 304 Not Modified\r\nETag: "x"\r\n\r\n')
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [(r["kind"], r["headers"]["etag"]) for r in got] == [("response", '"x"'), ("revisit", '"x"')] and bytes(got[0]["payload"]) == b"body"
