@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -45,23 +47,70 @@ _SHAPES = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"), (re.compi
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
-def statistics(words: list[str], text: str) -> dict[str, float]:
-    """Shares between 0 and 1, and the mean word length."""
-    n = len(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    counts = Counter(words)
-    triples = max(n - 2, 1)
-    return {
-        "shout": sum(w.isupper() for w in words if len(w) > 1) / n,
-        "symbol": sum(w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS for w in words) / n,
-        "bare": sum(not any(c.isalnum() for c in w[:4]) for w in words) / n,
-        "stutter": sum(map(str.__eq__, words, words[1:])) / n,
-        "top": counts.most_common(1)[0][1] / n if n >= 20 else 0.0,
-        "same": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / triples if n > 2 else 0.0,
-        "lines": 1 - len(set(lines)) / max(len(lines), 1),
-        "length": sum(map(len, words)) / n,
-        "function": sum(counts[w] for w in counts.keys() & FUNCTION_WORDS) / n,
-    }
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+_PLAIN = {(shout, tail): _bucket(f"shape {shout} a{tail}") for shout in (False, True) for tail in ("", ".", ",")}
+
+
+class Words(dict):
+    """What a word adds to a text: (shape bucket, shout, symbol, bare, insult), remembered up to a bound."""
+
+    def __missing__(self, w: str) -> tuple[int, bool, bool, bool, bool]:
+        # Plain words, alone or before a full stop or comma, are most of a text and cost less than a place here.
+        tail = w[-1] if w[-1] in ".," else ""
+        plain = w[:-1] if tail else w
+        if plain.isalpha():
+            shout = len(w) > 1 and plain.isupper()
+            return _PLAIN[shout, tail], shout, False, False, plain.lower() in INSULTS
+        if len(self) > 50_000:
+            self.clear()
+        shape = w[:40]
+        for pattern, to in _SHAPES:
+            shape = pattern.sub(to, shape)
+        shout = len(w) > 1 and w.isupper()
+        got = self[w] = (_bucket(f"shape {shout} {shape}"), shout, w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS, not any(c.isalnum() for c in w[:4]), _EDGE.sub("", w).lower() in INSULTS)
+        return got
+
+
+class Profile:
+    """One text: statistics (shares between 0 and 1, and the mean word length), shares of word shapes, insults."""
+
+    def __init__(self, text: str, memo: Words) -> None:
+        words = text.split()
+        self.n = n = len(words)
+        self.stats: dict[str, float] = {}
+        self.shapes: dict[int, int] = {}
+        self.insult = False
+        if not n:
+            return
+        counts = Counter(words)
+        shout = symbol = bare = 0
+        shapes = self.shapes
+        for w, c in counts.items():
+            bucket, is_shout, is_symbol, is_bare, is_insult = memo[w]
+            shapes[bucket] = shapes.get(bucket, 0) + c
+            if is_shout:
+                shout += c
+            if is_symbol:
+                symbol += c
+            if is_bare:
+                bare += c
+            if is_insult:
+                self.insult = True
+        lines = [x for x in text.split("\n") if x.strip()]
+        self.stats = {
+            "shout": shout / n,
+            "symbol": symbol / n,
+            "bare": bare / n,
+            "stutter": sum(map(eq, words, words[1:])) / n,
+            "top": max(counts.values()) / n if n >= 20 else 0.0,
+            "same": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0,
+            "lines": 1 - len(set(lines)) / max(len(lines), 1),
+            "length": sum(map(len, words)) / n,
+            "function": sum(counts[w] for w in counts.keys() & FUNCTION_WORDS) / n,
+        }
 
 
 #: A labeller votes bad at or beyond the second figure and good before the first one.
@@ -86,56 +135,36 @@ def votes(stats: dict[str, float]) -> list[int]:
     return out
 
 
-def _bucket(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS
+_LEVELS = (0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.2, 0.3, 0.5, 2, 4, 6, 8, 12, 25)
+_STATISTICS = ("shout", "symbol", "bare", "stutter", "top", "same", "lines", "length", "function")
+_LEVEL_BUCKETS = {k: [_bucket(f"{k} {i}") for i in range(len(_LEVELS) + 1)] for k in _STATISTICS}
 
 
-def features(words: list[str], stats: dict[str, float], shapes: dict[str, int]) -> dict[int, float]:
-    """Hashed features of a text. ``shapes`` remembers the shape bucket of words."""
-    n = len(words)
-    seen: dict[int, float] = {}
-    found: Counter[int] = Counter()
-    for w in words:
-        got = shapes.get(w)
-        if got is None:
-            shape = w[:40]
-            for pattern, to in _SHAPES:
-                shape = pattern.sub(to, shape)
-            if len(shapes) > 50_000:
-                shapes.clear()
-            got = shapes[w] = _bucket(f"shape {w.isupper() and len(w) > 1} {shape}")
-        found[got] += 1
-    for k, c in found.items():
-        seen[k] = seen.get(k, 0.0) + (c / n) ** 0.5
-    for name, value in stats.items():
-        level = int(np.searchsorted((0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.2, 0.3, 0.5, 2, 4, 6, 8, 12, 25), value, side="right"))
-        k = _bucket(f"{name} {level}")
-        seen[k] = seen.get(k, 0.0) + 1.0
-    return seen
-
-
-def insults(words: list[str]) -> bool:
-    return any(_EDGE.sub("", w).lower() in INSULTS for w in set(words))
+def features(p: Profile) -> dict[int, float]:
+    """Hashed features of a text: root shares of word shapes, and the level of each statistic."""
+    out = {k: (c / p.n) ** 0.5 for k, c in p.shapes.items()}
+    for name, value in p.stats.items():
+        k = _LEVEL_BUCKETS[name][bisect_right(_LEVELS, value)]
+        out[k] = out.get(k, 0.0) + 1.0
+    return out
 
 
 def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = Words()
     for batch in batches:
         out = []
         for text in batch.column(1):
-            t = text.as_py() or ""
-            w = t.split()
-            out.append("".join("-0+"[v + 1] for v in votes(statistics(w, t))) if w else None)
+            p = Profile(text.as_py() or "", memo)
+            out.append("".join("-0+"[v + 1] for v in votes(p.stats)) if p.n else None)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "votes"])
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shapes: dict[str, int] = {}
+    memo = Words()
     for batch in batches:
         keys, values = [], []
         for text in batch.column(1):
-            t = text.as_py() or ""
-            w = t.split()
-            f = features(w, statistics(w, t), shapes) if w else {}
+            f = features(Profile(text.as_py() or "", memo))
             keys.append(list(f))
             values.append(list(f.values()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "keys", "vals"])
@@ -215,17 +244,17 @@ def score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("score double, insult boolean")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights, shapes = model.weights, {}
+        weights, memo = model.weights, Words()
         for series in texts:
             scores, rude = np.zeros(len(series)), np.zeros(len(series), bool)
             for i, t in enumerate(series):
-                w = t.split() if t else []
-                if not w:
+                p = Profile(t or "", memo)
+                if not p.n:
                     continue
-                f = features(w, statistics(w, t), shapes)
+                f = features(p)
                 x = weights[list(f)] @ np.array(list(f.values())) + weights[BUCKETS]
                 scores[i] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                rude[i] = insults(w)
+                rude[i] = p.insult
             yield pd.DataFrame({"score": scores, "insult": rude})
 
     return run(text)
