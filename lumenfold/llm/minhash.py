@@ -16,7 +16,9 @@
 
 5. Rows of regions that were too dense to give all pairs get an exact second look: by the
    prefix filter, two sets that similar share one of the rarest tokens of either, so
-   rows with a rare token in common are confirmed if their components still differ.
+   rows with a rare token in common are confirmed if their components still differ. Most
+   of them go before: bitmaps of token parities differ in no more bits than the sets
+   differ in tokens, so a pair whose bitmaps differ too much is none, with no exception.
 
 A pair at the threshold (0.85) shares a prefix of four in a tree with probability
 0.52, so all 32 trees miss it with 5e-11.
@@ -258,6 +260,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
 COUNTERS = 1 << 20
 #: Rows of one token that are compared in one piece.
 TILE = 4096
+#: Bits of a parity bitmap.
+BITMAP = 1024
 
 
 def _count_tokens(size: int):
@@ -273,7 +277,7 @@ def _count_tokens(size: int):
 
 
 def _rare_tokens(size: int, num: int, den: int, shared):
-    """token, id, n, label: the rarest tokens of each set, as many as the prefix filter needs."""
+    """token, id, n, label, bitmap: the rarest tokens of each set, as many as the prefix filter needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, counts = WordHashes(), shared.value
@@ -285,9 +289,16 @@ def _rare_tokens(size: int, num: int, den: int, shared):
                 c = counts[(s % np.uint64(COUNTERS)).astype(np.int64)]
                 first = np.lexsort((s, c))[:need]
                 first = first[c[first] > 1]  # nobody else has the others
-                out += [(t, doc, len(s), label) for t in s[first].view(np.int64).tolist()]
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["token", "id", "n", "label"])
+                bits = np.packbits(np.bincount(((s >> np.uint64(33)) % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP).astype(np.uint8) & 1).tobytes()
+                out += [(t, doc, len(s), label, bits) for t in s[first].view(np.int64).tolist()]
+                if len(out) > 20_000:
+                    yield pack(out)
+                    out = []
+            yield pack(out)
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["token", "id", "n", "label", "bitmap"])
 
     return run
 
@@ -295,7 +306,7 @@ def _rare_tokens(size: int, num: int, den: int, shared):
 def _across(num: int, den: int):
     """Distinct pairs of rows with one token, different components and sizes that allow a link. Sorted by token and tile."""
 
-    def pairs_of(n, label, doc, part, i, j) -> Iterator[np.ndarray]:
+    def pairs_of(n, label, doc, bits, part, i, j) -> Iterator[np.ndarray]:
         left = np.flatnonzero(part == i)
         right = left if i == j else np.flatnonzero(part == j)
         # Rows of the most frequent component need not meet each other.
@@ -308,7 +319,11 @@ def _across(num: int, den: int):
                 r = rows[at : at + 256]
                 ok = (label[r, None] != label[None, cols]) & (den * np.minimum(n[r, None], n[None, cols]) >= num * np.maximum(n[r, None], n[None, cols]))
                 a, b = np.nonzero(ok)
-                yield np.sort(np.stack([doc[r[a]], doc[cols[b]]], 1), axis=1)
+                for k in range(0, len(a), 20_000):
+                    x, y = r[a[k : k + 20_000]], cols[b[k : k + 20_000]]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                    fine = apart * (den + num) <= (n[x] + n[y]) * (den - num)
+                    yield np.sort(np.stack([doc[x[fine]], doc[y[fine]]], 1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, found, held = None, [], 0
@@ -325,7 +340,7 @@ def _across(num: int, den: int):
             stop = len(begin) if last else len(begin) - 1
             for lo, hi in zip(begin[:stop].tolist(), end[:stop].tolist(), strict=True):
                 if hi - lo > 1:
-                    for p in pairs_of(x[5][lo:hi], x[6][lo:hi], x[4][lo:hi], x[3][lo:hi], int(x[1][lo]), int(x[2][lo])):
+                    for p in pairs_of(x[5][lo:hi], x[6][lo:hi], x[4][lo:hi], x[7][lo:hi], x[3][lo:hi], int(x[1][lo]), int(x[2][lo])):
                         found.append(p)
                         held += len(p)
             return None if last else [c[begin[-1] :] for c in x]
@@ -333,7 +348,8 @@ def _across(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [c.to_numpy() for c in batch.columns[:7]]
+            cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP // 64))
             left = group(cols if left is None else [np.concatenate(c) for c in zip(left, cols, strict=True)], False)
             if held > 1_000_000:
                 yield flush()
@@ -356,11 +372,11 @@ def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle:
     got = texts.select("id", "text").mapInArrow(_count_tokens(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
-    rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long"), "rare")
+    rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long, bitmap binary"), "rare")
     tiles = rare.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("c > 1 and _l < _h").select("token", F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
     dealt = rare.join(tiles, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "label")
+    dealt = dealt.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "n", "label", "bitmap")
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     pairs = dealt.mapInArrow(_across(percent, 100), "a long, b long").distinct()
     plain = texts.select("id", "text")
