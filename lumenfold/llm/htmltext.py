@@ -12,8 +12,8 @@
 3. A page is read against its host's template: template tags bound slots, template text
    is fixed. What is left in the slots, outside menus, headers, footers, sidebars,
    notices, adverts, forms, scripts, styles and reader comments, is the text. If a
-   slot lies in an ``article`` or ``main`` element, only such slots count, and their texts
-   are never taken for fixed: pages that copy each other keep their articles.
+   slot lies in an ``article`` element, or else in a ``main`` one, only such slots count, and
+   their texts are never taken for fixed: pages that copy each other keep their articles.
 
 Hosts with fewer than ``SUPPORT`` pages have no template; their pages are one slot.
 
@@ -63,9 +63,10 @@ def _hash(path: tuple, what: str) -> int:
 def walk(page: str) -> Iterator[tuple]:
     """("tag", name, names, closing, stack) and ("text", text, stack) in page order.
 
-    stack entries are (name, path hash, apart, main); the root entry is first.
+    stack entries are (name, path hash, apart, level); level 2 is inside an article, 1
+    inside a main element, 0 elsewhere. The root entry is first.
     """
-    stack = [("", 0, False, False)]
+    stack = [("", 0, False, 0)]
     at = 0
     while at < len(page):
         m = _TOKEN.match(page, at)
@@ -89,11 +90,13 @@ def walk(page: str) -> Iterator[tuple]:
         label = name + "".join(f".{named[k]}" for k in ("class", "id") if k in named)
         top = stack[-1]
         words = set(re.split(r"[^a-z0-9]+", f"{named.get('class', '')} {named.get('id', '')}".lower()))
-        main = name in ("article", "main") or named.get("role", "").lower() == "main"
-        apart = top[2] or (name in APART and not (top[3] and name in ("header",))) or bool(words & APART_WORDS and name not in ("body", "html", "article", "main"))
-        if main and not words & APART_WORDS and all(not s[2] or s[0] in ("nav", "header") for s in stack):
+        level = 2 if name == "article" else 1 if name == "main" or named.get("role", "").lower() == "main" else 0
+        if top[3]:
+            words.discard("header")  # an article's own header holds its title
+        apart = top[2] or (name in APART and not (top[3] and name == "header")) or bool(words & APART_WORDS and (name not in ("body", "html", "article", "main") or top[3] == 2))
+        if level and not words & APART_WORDS and all(not s[2] or s[0] in ("nav", "header") for s in stack):
             apart = False  # an article inside a menu that was never closed
-        entry = (name, _hash((top[1],), label), apart, (top[3] or main) and not apart)
+        entry = (name, _hash((top[1],), label), apart, 0 if apart else max(top[3], level))
         if name in VOID:
             yield "tag", name, label, False, stack
             continue
@@ -209,9 +212,9 @@ def extract(page: str | None, template: Template | None) -> tuple[str, int]:
     """Main text and number of slots that hold it."""
     if not page:
         return "", 0
-    slots: list[tuple[bool, list[str]]] = []  # (in an article, blocks)
+    slots: list[tuple[int, list[str]]] = []  # (level, blocks)
     block: list[str] = []
-    main_here = False
+    main_here = 0
 
     def close() -> None:
         text = " ".join(_html.unescape("".join(block)).split())
@@ -246,8 +249,9 @@ def extract(page: str | None, template: Template | None) -> tuple[str, int]:
                 continue
         block.append(text)
     close()
-    mains = [s for s in slots if s[0] and s[1]]
-    kept = mains or [s for s in slots if s[1]]
+    slots = [s for s in slots if s[1]]
+    best = max((s[0] for s in slots), default=0)
+    kept = [s for s in slots if s[0] == best]
     return "\n".join(b for s in kept for b in s[1]), len(kept)
 
 

@@ -261,10 +261,10 @@ def score(model: Model, text: Column) -> Column:
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, insult, accepted for every row."""
+    """doc_id, score, insult, kept for every row."""
     got = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("_s"))
     fine = (F.col("_s.score") >= THRESHOLD) & ~F.col("_s.insult")
-    return got.select("doc_id", F.col("_s.score").alias("score"), F.col("_s.insult").alias("insult"), fine.alias("accepted"))
+    return got.select("doc_id", F.col("_s.score").alias("score"), F.col("_s.insult").alias("insult"), fine.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -56,6 +56,14 @@ def test_copied_pages_keep_their_articles(spark):
     assert {r["text"] for r in got} == {"Head & line\nFirst same para\nSecond <b> bold"}
 
 
+def test_levels_and_reader_comments(spark):
+    page = "<main><p>around</p><article class=post><header class=entry-header><h1>Title</h1></header><p>Body</p><div id=comments><article class=comment><p>said</p></article></div></article></main>"
+    assert htmltext.extract(page, None)[0] == "Title\nBody"
+    assert htmltext.extract("<div role=main><p>a</p></div><p>b</p>", None)[0] == "a"
+    assert htmltext.extract("<nav>x<article><p>y</p></article>", None)[0] == "y"
+    assert htmltext.extract("a &nbsp; b<br>c<table><tr><td>d<td>e</table>&#x41;&eacute;", None)[0] == "a b c\nd\ne\nAé"
+
+
 def test_template_text_goes_without_an_article(spark):
     page = "<body><div class=top>Logo</div><div class=body><p>Text {0} here</p></div><p>Subscribe now for more</p></body>"
     rows = [(i, "http://t.example/", page.format(i)) for i in range(8)]
@@ -259,8 +267,8 @@ def test_quality(spark):
     got = quality.classify(df, model).collect()
     assert len(got) == len(rows)
     r = {x["doc_id"]: x for x in got}
-    assert all(r[i]["accepted"] for i in range(30)) and not any(r[100 + i]["accepted"] for i in range(15))
-    assert not r[200]["accepted"] and r[201]["score"] == 0 and r[203]["insult"] and not r[203]["accepted"]
+    assert all(r[i]["kept"] for i in range(30)) and not any(r[100 + i]["kept"] for i in range(15))
+    assert not r[200]["kept"] and r[201]["score"] == 0 and r[203]["insult"] and not r[203]["kept"]
     assert quality.filter_documents(df, model).columns == df.columns
     empty = quality.train(df.limit(0), None)
     assert quality.classify(df.limit(0), empty).count() == 0

@@ -89,4 +89,4 @@ def test_classifier_agrees_with_labels(spark):
     right = sum((got[r["doc_id"]]["score"] >= 0.5) == bool(r["quality"]) for r in labels)
     assert right >= 0.97 * len(labels)
     clean = [got[r["doc_id"]] for r in labels if r["quality"] and not r["toxic"]]
-    assert sum(g["accepted"] for g in clean) >= 0.98 * len(clean)
+    assert sum(g["kept"] for g in clean) >= 0.98 * len(clean)
