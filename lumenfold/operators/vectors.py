@@ -14,8 +14,14 @@ from lumenfold.functions.vector import dot, norm, unit, unit_layers
 from .windows import best_and_runner_up
 
 
-def mean_vectors(rows: DataFrame, by: list[str], vector: str, name: str = "vector") -> DataFrame:
-    """Mean vector of each group."""
+def mean_vectors(rows: DataFrame, by: list[str], vector: str, name: str = "vector", small_groups: bool = False) -> DataFrame:
+    """Mean vector of each group.
+
+    With ``small_groups`` (many keys of a few rows each) whole vectors are dealt by key once
+    and both aggregates run where they lie; otherwise sums combine before they are dealt.
+    """
+    if small_groups:
+        rows = rows.select(*by, vector).repartition(*by)
     long = rows.select(*by, F.posexplode(vector).alias("_d", "_x"))
     means = long.groupBy(*by, "_d").agg(F.avg("_x").alias("_m"))
     packed = means.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_d", "_m"))).alias("_v"))
@@ -42,7 +48,7 @@ def scene_centroids(images: DataFrame, by: list[str], vector: str, n_layers: int
     A single layer is taken as it is.
     """
     ready = images if n_layers == 1 else demean_layers(images, vector, n_layers, width, means)
-    return mean_vectors(ready, by, vector, "centroid")
+    return mean_vectors(ready, by, vector, "centroid", small_groups=True)
 
 
 def cluster_centroids(scenes: DataFrame, cluster: str, centroid: str = "centroid", score: str = "unit") -> DataFrame:
