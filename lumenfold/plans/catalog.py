@@ -226,12 +226,12 @@ _STEPS = "[" + ", ".join("[" + ", ".join(str(float(int(c[1 + 2 * k : 3 + 2 * k],
 t AS (SELECT scene, round((value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 9) AS t FROM vals, o),
 p AS (SELECT scene, t, least(greatest(t, 0), 1) * 12 AS place, {_STEPS} AS ramp FROM t),
 q AS (SELECT scene, t, ramp, least(floor(place)::INTEGER, 11) AS low, place - least(floor(place)::INTEGER, 11) AS share FROM p)
-SELECT scene, round(t, 6) AS t, '#' || printf('%02x%02x%02x', round_even(ramp[low+1][1] * (1 - share) + ramp[low+2][1] * share, 0)::INTEGER, round_even(ramp[low+1][2] * (1 - share) + ramp[low+2][2] * share, 0)::INTEGER, round_even(ramp[low+1][3] * (1 - share) + ramp[low+2][3] * share, 0)::INTEGER) AS colour FROM q""")
+SELECT scene, round(t, 5) AS t, '#' || printf('%02x%02x%02x', round_even(ramp[low+1][1] * (1 - share) + ramp[low+2][1] * share, 0)::INTEGER, round_even(ramp[low+1][2] * (1 - share) + ramp[low+2][2] * share, 0)::INTEGER, round_even(ramp[low+1][3] * (1 - share) + ramp[low+2][3] * share, 0)::INTEGER) AS colour FROM q""")
 def colour_scale_ramp(spark: SparkSession, d: str) -> DataFrame:
     values = A.mean_of_repeats(T.eval_window(spark, d), "scene", "value")
     scale = A.overall(values).select("vmin", "vmax")
     t = values.crossJoin(F.broadcast(scale)).select("scene", F.round(S.on_scale(F.col("value"), F.col("vmin"), F.col("vmax")), 9).alias("t"))  # one row
-    return t.select("scene", _r("t"), S.colour(F.col("t")).alias("colour"))
+    return t.select("scene", _r("t", 5), S.colour(F.col("t")).alias("colour"))
 
 
 _METRICS = "m AS (SELECT event_type AS run, CASE WHEN value < 5 THEN 'NaN'::DOUBLE ELSE value END AS loss, CASE WHEN value > 200 THEN NULL ELSE json_extract_string(props, '$.k')::DOUBLE END AS k FROM events)"
@@ -533,16 +533,16 @@ def pose_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", *[(F.round(f"e{k}", 6) + 0.0).alias(c) for k, c in zip((3, 4, 5, 6), "xyzw", strict=True)], same.alias("same"))
 
 
-@query(f"WITH {_OBS}, m AS (SELECT supp, quantile_disc(z, 0.5) / quantile_disc(z * (1 - discount) * (1 + tax), 0.5) AS s FROM obs WHERE z > 1e-6 GROUP BY supp), p AS (SELECT supp, s, z AS g, z * (1 - discount) * (1 + tax) AS p FROM obs JOIN m USING (supp) WHERE z > 1e-6) SELECT supp, round(s, 6) AS scale_ratio, round(avg(abs(p - g) / g), 6) AS abs_rel, round(avg((greatest(p / g, g / p) < 1.25)::INTEGER), 6) AS delta FROM p GROUP BY ALL")
+@query(f"WITH {_OBS}, m AS (SELECT supp, quantile_disc(z, 0.5) / quantile_disc(z * (1 - discount) * (1 + tax), 0.5) AS s FROM obs WHERE z > 1e-6 GROUP BY supp), p AS (SELECT supp, s, z AS g, z * (1 - discount) * (1 + tax) AS p FROM obs JOIN m USING (supp) WHERE z > 1e-6) SELECT supp, round(s, 6) AS scale_ratio, round(avg(abs(p - g) / g), 9) AS abs_rel, round(avg((greatest(p / g, g / p) < 1.25)::INTEGER), 6) AS delta FROM p GROUP BY ALL")
 def depth_metrics(spark: SparkSession, d: str) -> DataFrame:
     px = T.observations(spark, d).withColumn("pred", F.col("z") * (1 - F.col("discount")) * (1 + F.col("tax")))
-    return M.depth_metrics(px, ["supp"], "pred", "z").select("supp", _r("scale_ratio"), _r("abs_rel"), _r("delta"))
+    return M.depth_metrics(px, ["supp"], "pred", "z").select("supp", _r("scale_ratio"), _r("abs_rel", 9), _r("delta"))
 
 
-@query(f"WITH {_OBS}, m AS (SELECT supp, quantile_disc(z, 0.5) / quantile_disc(z * (1 - discount) * (1 + tax), 0.5) AS s FROM obs WHERE z > 1e-6 GROUP BY supp), p AS (SELECT supp, s, z AS g, s * z * (1 - discount) * (1 + tax) AS p FROM obs JOIN m USING (supp) WHERE z > 1e-6) SELECT supp, round(avg(abs(p - g) / g), 6) AS abs_rel FROM p GROUP BY supp")
+@query(f"WITH {_OBS}, m AS (SELECT supp, quantile_disc(z, 0.5) / quantile_disc(z * (1 - discount) * (1 + tax), 0.5) AS s FROM obs WHERE z > 1e-6 GROUP BY supp), p AS (SELECT supp, s, z AS g, s * z * (1 - discount) * (1 + tax) AS p FROM obs JOIN m USING (supp) WHERE z > 1e-6) SELECT supp, round(avg(abs(p - g) / g), 9) AS abs_rel FROM p GROUP BY supp")
 def depth_metrics_aligned(spark: SparkSession, d: str) -> DataFrame:
     px = T.observations(spark, d).withColumn("pred", F.col("z") * (1 - F.col("discount")) * (1 + F.col("tax")))
-    return M.depth_metrics(px, ["supp"], "pred", "z", align_median=True).select("supp", _r("abs_rel"))
+    return M.depth_metrics(px, ["supp"], "pred", "z", align_median=True).select("supp", _r("abs_rel", 9))
 
 
 @query(f"WITH {_OBS} SELECT supp, error, z, frame, line FROM obs QUALIFY row_number() OVER (PARTITION BY supp, error ORDER BY z, frame, line, point) = 1")
@@ -582,9 +582,9 @@ def quantise_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("frame", "line", "point", "q", F.round(S.dequantise_log(F.col("q"), F.col("lo"), F.col("hi")), 4).alias("depth"))
 
 
-@query(f"WITH {_OBS}, lim AS (SELECT supp, greatest(quantile_cont(z, 0.001), 1e-3) AS lo, quantile_cont(z, 0.9999) AS h FROM obs GROUP BY supp), l AS (SELECT supp, lo, greatest(h, lo * 1.001) AS hi FROM lim) SELECT supp, round(lo, 4) AS lo, round(hi, 4) AS hi, round(avg((z < lo OR z > hi)::INTEGER), 6) AS clipped FROM obs JOIN l USING (supp) GROUP BY ALL")
+@query(f"WITH {_OBS}, lim AS (SELECT supp, greatest(quantile_cont(z, 0.001), 1e-3) AS lo, quantile_cont(z, 0.9999) AS h FROM obs GROUP BY supp), l AS (SELECT supp, lo, greatest(h, lo * 1.001) AS hi FROM lim) SELECT supp, round(lo, 7) AS lo, round(hi, 7) AS hi, round(avg((z < lo OR z > hi)::INTEGER), 6) AS clipped FROM obs JOIN l USING (supp) GROUP BY ALL")
 def clip_range(spark: SparkSession, d: str) -> DataFrame:
-    return A.clip_range(T.observations(spark, d), ["supp"], "z").select("supp", _r("lo", 4), _r("hi", 4), _r("clipped"))
+    return A.clip_range(T.observations(spark, d), ["supp"], "z").select("supp", _r("lo", 7), _r("hi", 7), _r("clipped"))
 
 
 @query(f"WITH {_OBS} SELECT supp, round(quantile_cont(z, 0.05), 4) AS p05, round(quantile_cont(z, 0.5), 4) AS p50, round(quantile_cont(z, 0.95), 4) AS p95 FROM obs GROUP BY supp")
