@@ -89,11 +89,12 @@ def _label_pass(centres: np.ndarray):
     return run
 
 
-def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str = "centroid", seed: int = 0, n_init: int = 3, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
+def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str = "centroid", seed: int = 0, n_init: int = 3, max_iter: int = 50, tol: float = 1e-6, plus: bool = True) -> DataFrame:
     """scene, cluster, cosine: cosine k-means with k-means++ starts; the best of ``n_init`` runs, largest cluster first.
 
     An empty cluster takes the worst-assigned row; clusters still empty at the end are
     dropped. Draws come from hashes of keys, so a seed gives one result on any cluster.
+    Without ``plus`` a run starts from k drawn rows, found in one job.
     """
     rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector")).persist()
     dim = rows.select(F.size("vector").alias("d")).first()
@@ -104,7 +105,11 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
     best, best_cos = None, -np.inf
     for run in range(n_init):
         centres = np.zeros((0, dim["d"]))
-        for c in range(k):
+        if not plus:
+            drawn = rows.orderBy(F.xxhash64("scene", F.lit(seed * 1_000_003 + run)), "scene").limit(k).select("vector").collect()
+            centres = np.array([r["vector"] for r in drawn])
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+        for c in range(k if plus else 0):
             got = rows.mapInArrow(_pick_pass(centres, seed * 1_000_003 + run * 1009 + c), "race double, row array<double>").orderBy("race").limit(1).collect()
             if not got or not np.isfinite(got[0]["race"]):
                 break
@@ -184,7 +189,7 @@ def communities(scenes: DataFrame, key: str = "scene", vector: str = "centroid",
     run to one place. Then communities merge as long as a merge gains modularity. The complete graph makes every community connected.
     Identity with other Louvain or Leiden implementations is not claimed.
     """
-    base = spherical_kmeans(scenes, start, key, vector, seed, n_init=1, max_iter=10)
+    base = spherical_kmeans(scenes, start, key, vector, seed, n_init=1, max_iter=6, plus=False)
     rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector")).join(base.select("scene", "cluster"), "scene").select("scene", "vector", F.col("cluster").cast("int").alias("cluster")).persist()
     dim = len(rows.select("vector").first()["vector"])
 
