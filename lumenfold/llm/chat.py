@@ -32,8 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common  # noqa: F401  (registers the package for executors)
-
 # ---------------------------------------------------------------- fingerprints
 
 

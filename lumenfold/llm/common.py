@@ -16,15 +16,9 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import lumenfold
-
-# Executors need no copy of this package: its functions travel with the plan.
-cloudpickle.register_pickle_by_value(lumenfold)
-
 _OWN: list[str] = []
 
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +50,20 @@ _TABLES = _rng.integers(0, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np
 _BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if (which, n) in _POWERS:
+        return _POWERS[which, n]
+    if len(_POWERS) >= 4:
+        _POWERS.clear()
     base = _BASES[which]
     up = np.full(n, np.uint64(base))
     down = np.full(n, np.uint64(pow(base, -1, 1 << 64)))
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    _POWERS[which, n] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS[which, n]
 
 
 class Hashes:
