@@ -41,11 +41,26 @@ def shared_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return it reread from there."""
+#: Rows in an Arrow batch where rows hold whole texts: a batch is a few MB, or a few long texts.
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def keep(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
+    """Write ``df`` below the shared folder and return it reread from there.
+
+    ``texts``: whole texts pass through Python on the way, so batches are smaller while this table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    if texts:
+        spark.conf.set(_BATCH, str(min(TEXT_ROWS, int(before))))
+    try:
+        df.write.parquet(path)
+    finally:
+        if texts:
+            spark.conf.set(_BATCH, before)
     _OWN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenfold_path = path

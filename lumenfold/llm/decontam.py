@@ -123,7 +123,7 @@ def _index_batches(terms: dict[bytes, int]):
 def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, n_words, positions, terms: postings of the test words, one shard a document."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(text_col))
-    return keep(rows.mapInArrow(_index_batches(terms), "doc_id long, text_key long, n_words long, positions array<int>, terms array<int>"), "postings")
+    return keep(rows.mapInArrow(_index_batches(terms), "doc_id long, text_key long, n_words long, positions array<int>, terms array<int>"), "postings", texts=True)
 
 
 def _count_terms(n: int):

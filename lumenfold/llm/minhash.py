@@ -68,7 +68,7 @@ class WordHashes(dict):
     """64-bit hash of a word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return got
@@ -209,7 +209,7 @@ def _confirm(size: int, num: int, den: int):
 def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = keep(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, lo long, hi long, sig binary"), "signed")
+    signed = keep(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, lo long, hi long, sig binary"), "signed", texts=True)
     sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "lo", "hi").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
     reps = keep(sets.select("n_shingles", "lo", "hi", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")), "representatives")
 
@@ -228,11 +228,11 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
 
     asked = keep(weighed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
     texts = prefilter(rows, asked, "doc_id").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = keep(texts, "texts")
+    texts = keep(texts, "texts", texts=True)
 
     def confirmed(some: DataFrame) -> DataFrame:
         both = some.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        return keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed")
+        return keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed", texts=True)
 
     best = Window.partitionBy("b").orderBy(F.desc("same"), "a")
     first = weighed.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= FIRST)
@@ -368,11 +368,11 @@ def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle:
         return None
     asked = keep(dense.distinct().join(groups.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "dense")
     texts = prefilter(rows, asked.select("id"), "doc_id").join(asked, F.col("doc_id") == F.col("id")).select("id", "text", "label").dropDuplicates(["id"])
-    texts = keep(texts, "texts")
+    texts = keep(texts, "texts", texts=True)
     got = texts.select("id", "text").mapInArrow(_count_tokens(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
-    rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long, bitmap binary"), "rare")
+    rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long, bitmap binary"), "rare", texts=True)
     tiles = rare.groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("_l"), F.max("label").alias("_h")).filter("c > 1 and _l < _h").select("token", F.ceil(F.col("c") / TILE).cast("long").alias("tiles"))
     dealt = rare.join(tiles, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tiles")))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1)).alias("other"))
@@ -381,7 +381,7 @@ def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle:
     pairs = dealt.mapInArrow(_across(percent, 100), "a long, b long").distinct()
     plain = texts.select("id", "text")
     both = pairs.join(plain.toDF("a", "x"), "a").join(plain.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links = keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed")
+    links = keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed", texts=True)
     drop(texts, rare)
     return links
 

@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
         human = F.when(F.col("quality") == 1, "+").when(F.col("quality") == 0, "-").otherwise("0")
     else:
         human = F.lit("0")
-    voted = keep(voted.select("doc_id", F.concat("votes", human).alias("pattern")), "votes")
+    voted = keep(voted.select("doc_id", F.concat("votes", human).alias("pattern")), "votes", texts=True)
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, accuracy = weak_labels(counts)
     total = sum(counts.values())
