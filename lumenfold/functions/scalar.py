@@ -122,3 +122,8 @@ def stem(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(basename(path), r"(?<=.)(\.[^.]*)$", 1))
+
+
+def frame_step(fps: Column, sample_fps: float) -> Column:
+    """Every how many frames one is taken: half-even, at least 1."""
+    return F.greatest(F.bround(fps / sample_fps).cast("int"), F.lit(1))

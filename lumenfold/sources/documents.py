@@ -85,3 +85,9 @@ def report_page(report: DataFrame, title: str, most: int = 1000) -> str:
     head = "".join(f"<th>{html.escape(c)}</th>" for c in report.columns)
     body = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(f'{v:.4f}' if isinstance(v, float) else str(v))}</td>" for v in r) + "</tr>" for r in rows)
     return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><table><tr>{head}</tr>{body}</table>"
+
+
+def write_windows(windows: DataFrame, summary: DataFrame, path: str) -> None:
+    """Evaluation rows as JSON lines, and their one-row summary beside them."""
+    windows.write.mode("overwrite").json(f"{path}/windows")
+    summary.write.mode("overwrite").json(f"{path}/summary")
