@@ -12,6 +12,8 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -44,23 +46,36 @@ def shared_root(spark: SparkSession) -> str:
 #: Rows in an Arrow batch where rows hold whole texts: a batch is a few MB, or a few long texts.
 TEXT_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block; those this Spark does not know are left out."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    known = {k: v for k, v in before.items() if v is not None}
+    for k in known:
+        spark.conf.set(k, values[k])
+    try:
+        yield
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
 
 
 def keep(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and return it reread from there.
 
-    ``texts``: whole texts pass through Python on the way, so batches are smaller while this table is written.
+    Shuffle files of the write go as soon as it is done, not when the driver happens to
+    collect garbage. ``texts``: whole texts pass through Python on the way, so batches are smaller.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
+    now = {_CLEAN: "true"}
     if texts:
-        spark.conf.set(_BATCH, str(min(TEXT_ROWS, int(before))))
-    try:
+        now[_BATCH] = str(min(TEXT_ROWS, int(spark.conf.get(_BATCH))))
+    with settings(spark, now):
         df.write.parquet(path)
-    finally:
-        if texts:
-            spark.conf.set(_BATCH, before)
     _OWN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenfold_path = path
