@@ -39,8 +39,8 @@ from .common import keep
 WINDOW = 10
 #: Phrases in one broadcast block (about 60 MB at ten words).
 BLOCK = 500_000
-#: Bytes of text looked at together.
-CHUNK = 8 << 20
+#: Postings written together, words matched together, and possible starts looked at together.
+POSTINGS, STREAM, STARTS = 500_000, 300_000, 1_000_000
 
 #: One byte table lower-cases A-Z and blanks whatever is no word character.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -111,7 +111,7 @@ def _index_batches(terms: dict[bytes, int]):
                 flat_pos.append(at.astype(np.int32))
                 flat_terms.append(got[at])
                 size += len(at)
-                if size * 8 > CHUNK or k == len(ids) - 1:
+                if size > POSTINGS or k == len(ids) - 1:
                     off = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
                     lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32))) for x in (flat_pos, flat_terms)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[begun : k + 1], pa.int64()), keys.slice(begun, k + 1 - begun), pa.array(counts, pa.int64()), *lists], names=["doc_id", "text_key", "n_words", "positions", "terms"])
@@ -131,10 +131,9 @@ def _count_terms(n: int):
         df = np.zeros(n, np.int64)
         for batch in batches:
             lists = batch.column(0)
-            off, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            if len(flat):
-                doc = np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(off))
-                df += np.bincount(np.unique(doc * n + flat) % n, minlength=n)
+            off, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for begin, end in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                df[np.unique(flat[begin:end])] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
@@ -160,6 +159,17 @@ def exact_starts(stream: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray
     n = plan["stop"][t] - plan["start"][t]
     held = n > 0
     at, t, n = at[held], t[held], n[held]
+    # A frequent term has many possible starts: they are looked at piece by piece.
+    piece = (np.cumsum(n) - n) // STARTS
+    cuts = np.r_[np.flatnonzero(np.diff(piece, prepend=-1)), len(n)]
+    found = [_starts(stream, plan, at[i:j], t[i:j], n[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _starts(stream: np.ndarray, plan: dict, at: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Moved postings of the rarest terms, intersected with those of the next ones in turn."""
     total = int(n.sum())
     base = np.repeat(np.cumsum(n) - n, n)
     phrase = np.repeat(plan["start"][t], n) + np.arange(total) - base
@@ -209,7 +219,7 @@ def _match(shared, slop: int):
             while begin < len(ids):
                 end = begin + 1  # documents side by side up to a bounded number of words, one blank between
                 total = int(n_words[begin]) + 1
-                while end < len(ids) and total + n_words[end] + 1 <= 4_000_000:
+                while end < len(ids) and total + n_words[end] + 1 <= STREAM:
                     total += int(n_words[end]) + 1
                     end += 1
                 starts = np.concatenate([[0], np.cumsum(n_words[begin:end] + 1)]).astype(np.int64)
