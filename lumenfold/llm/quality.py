@@ -8,11 +8,15 @@
 3. Posteriors are the targets of a linear scorer over hashed features (word shapes,
    function words, binned statistics). It is fitted on ``SAMPLE`` documents, those whose
    ids have the smallest hashes; the bound is a parameter. Scores of all documents come from it.
-4. Insults are a labeller of their own: a text with one is rejected whatever its score.
+4. Toxicity is judged apart: a text with a listed insult is rejected whatever its score, and so is
+   one that a second scorer calls toxic. It is learnt from ``labels.toxic`` on ``TOXIC_SAMPLE`` labelled
+   documents: whole words and word beginnings that toxic documents have more often than others (at most
+   ``MARKERS``, by likelihood ratio) are its features, each with its share of the text's words. Without
+   toxic and other labels both, the list decides alone.
 
 Defined results
 * null, empty or blank text: score 0, rejected (nothing to learn from).
-* rows that repeat: each row by itself; labels that repeat: the lower one counts.
+* rows that repeat: each row by itself; labels that repeat: the lower quality counts, and the higher toxicity.
 * empty table: no rows. Labels may be missing or empty. Extra columns pass through in ``filter_documents``.
 """
 
@@ -31,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, keep
+from .common import drop, fresh_name, keep
 
 #: Documents that the linear scorer is fitted on, at most, and the size of its hashed weight vector.
 SAMPLE, BUCKETS = 6000, 1 << 14
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-5
 THRESHOLD = 0.5
+#: Labelled documents that the toxicity scorer is fitted on, and its markers, at most.
+TOXIC_SAMPLE, MARKERS = 6000, 400
+#: A marker has so many toxic documents and such a likelihood ratio at least; word beginnings have these lengths.
+MARKER_DOCS, MARKER_RATIO, STEMS = 3, 15.0, (3, 4, 5, 6, 7)
 
 #: Frequent function words of the languages at hand.
 FUNCTION_WORDS = frozenset("the of and to in is that for it as was with be by on are this le la les de des et un une est que qui dans pour pas sur der die das und in den von zu mit ist ein nicht el los las y en por con no se es".split())
@@ -83,9 +91,9 @@ class Profile:
         self.stats: dict[str, float] = {}
         self.shapes: dict[int, int] = {}
         self.insult = False
+        self.counts = counts = Counter(words)
         if not n:
             return
-        counts = Counter(words)
         shout = symbol = bare = 0
         shapes = self.shapes
         for w, c in counts.items():
@@ -149,6 +157,88 @@ def features(p: Profile) -> dict[int, float]:
     return out
 
 
+def grams(counts: Counter) -> Counter:
+    """How many words of a text are each whole word (with a line end behind it) or have each beginning; short words have none."""
+    out: Counter = Counter()
+    for w, c in counts.items():
+        w = _EDGE.sub("", w).lower()[:40]
+        if len(w) >= STEMS[0]:
+            out[w + "\n"] += c
+            for k in STEMS:
+                if len(w) > k:
+                    out[w[:k]] += c
+    return out
+
+
+def _weight(count: int, n: int) -> float:
+    return min(3.0, 30.0 * count / n)
+
+
+class Toxic:
+    """Markers with their weights, and a bias. A text without a marker is not toxic."""
+
+    def __init__(self, markers: list[str], weights: np.ndarray) -> None:
+        self.weights = dict(zip(markers, weights[: len(markers)].tolist(), strict=True))
+        self.bias = float(weights[-1])
+        self.starts = frozenset(m[: STEMS[0]] for m in markers)
+
+    def __call__(self, p: Profile) -> bool:
+        if not self.weights:
+            return False
+        near: Counter = Counter()
+        for w, c in p.counts.items():
+            # Words with another beginning than any marker are most of a text.
+            if not w[0].isalnum() or w[: STEMS[0]].lower()[: STEMS[0]] in self.starts:
+                near[w] = c
+        found = [(self.weights[g], c) for g, c in grams(near).items() if g in self.weights] if near else []
+        return bool(found) and sum(x * _weight(c, p.n) for x, c in found) + self.bias >= 0
+
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, keys, counts = [], [], []
+        for text in batch.column(1):
+            words = (text.as_py() or "").split()
+            got = grams(Counter(words))
+            sizes.append(len(words))
+            keys.append(list(got))
+            counts.append(list(got.values()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "n", "keys", "counts"])
+
+
+def _marked_of(place: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = [], []
+            for n, names, counts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                held = [(place[g], _weight(c, n)) for g, c in zip(names, counts, strict=True) if g in place]
+                keys.append([k for k, _ in held])
+                values.append([v for _, v in held])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["toxic", "keys", "vals"])
+
+    return run
+
+
+def learn_toxic(rows: DataFrame, told: DataFrame) -> Toxic:
+    """``rows``: doc_id, text; ``told``: doc_id and toxic (0 or 1), no more than a bounded sample."""
+    texts = rows.join(F.broadcast(told), "doc_id").select("toxic", "text").mapInArrow(_grams_of, "toxic int, n long, keys array<string>, counts array<long>")
+    held = keep(texts, "grams", texts=True)
+    n = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not n.get(0) or not n.get(1):
+        return Toxic([], np.zeros(1))
+    each = held.select("toxic", F.explode("keys").alias("gram")).groupBy("gram").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("a"), F.count_if(F.col("toxic") == 0).cast("double").alias("b"))
+    share = n[1] / (n[0] + n[1])
+    a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
+    ratio = 2 * (a * F.log(a / (both * share)) + F.when(b > 0, b * F.log(b / (both * (1 - share)))).otherwise(0.0))
+    often = each.filter((a >= MARKER_DOCS) & (a > both * share)).withColumn("ratio", ratio).filter(F.col("ratio") >= MARKER_RATIO)
+    markers = [r["gram"] for r in often.orderBy(F.round("ratio", 9).desc(), "gram").limit(MARKERS).collect()]
+    got = held.mapInArrow(_marked_of({g: i for i, g in enumerate(markers)}), "toxic int, keys array<int>, vals array<double>").collect()
+    drop(held)
+    fitted = sorted(([(k, v) for k, v in sorted(zip(r["keys"], r["vals"], strict=True))], r["toxic"]) for r in got)
+    weights = fit([([k for k, _ in x], [v for _, v in x], float(y)) for x, y in fitted])
+    return Toxic(markers, np.append(weights[: len(markers)], weights[BUCKETS]))
+
+
 def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Words()
     for batch in batches:
@@ -212,21 +302,23 @@ def fit(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, accuracy: dict[str, float], patterns: dict[str, float]) -> None:
-        self.weights, self.accuracy, self.patterns = weights, accuracy, patterns
+    def __init__(self, weights: np.ndarray, accuracy: dict[str, float], patterns: dict[str, float], toxic: Toxic) -> None:
+        self.weights, self.accuracy, self.patterns, self.toxic = weights, accuracy, patterns, toxic
 
 
 def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Count votes over all documents, weigh labellers, fit the scorer on the bounded sample."""
+    """Count votes over all documents, weigh labellers, fit the scorers on bounded samples."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     voted = rows.mapInArrow(_votes_of, "doc_id long, votes string").filter("votes is not null")
     if labels is not None:
-        told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
+        told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(toxic).cast("int").alias("toxic"))
         voted = voted.join(told, "doc_id", "left")
         human = F.when(F.col("quality") == 1, "+").when(F.col("quality") == 0, "-").otherwise("0")
     else:
         human = F.lit("0")
-    voted = keep(voted.select("doc_id", F.concat("votes", human).alias("pattern")), "votes", texts=True)
+        voted = voted.withColumn("toxic", F.lit(None).cast("int"))
+    voted = keep(voted.select("doc_id", F.concat("votes", human).alias("pattern"), "toxic"), "votes", texts=True)
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, accuracy = weak_labels(counts)
     total = sum(counts.values())
@@ -236,17 +328,19 @@ def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
     # The sample is bounded by its parameter; its texts are found by a join and only features leave the executors.
     picked = rows.join(F.broadcast(chosen), "doc_id").select("pattern", "text").mapInArrow(_features_of, "pattern string, keys array<int>, vals array<double>").collect()
     fitted = sorted((tuple(r["keys"]), tuple(r["vals"]), r["pattern"]) for r in picked)
-    return Model(fit([(list(k), list(v), posterior[p]) for k, v, p in fitted]), accuracy, posterior)
+    judged = voted.filter(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).dropDuplicates(["doc_id"])
+    toxic = learn_toxic(rows, judged) if labels is not None else Toxic([], np.zeros(1))
+    return Model(fit([(list(k), list(v), posterior[p]) for k, v, p in fitted]), accuracy, posterior, toxic)
 
 
 def score(model: Model, text: Column) -> Column:
-    """struct<score double, insult boolean> of a text."""
+    """struct<score double, insult boolean, toxic boolean> of a text; toxic: by the list or the learnt markers."""
 
-    @F.pandas_udf("score double, insult boolean")
+    @F.pandas_udf("score double, insult boolean, toxic boolean")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weights, memo = model.weights, Words()
         for series in texts:
-            scores, rude = np.zeros(len(series)), np.zeros(len(series), bool)
+            scores, rude, toxic = np.zeros(len(series)), np.zeros(len(series), bool), np.zeros(len(series), bool)
             for i, t in enumerate(series):
                 p = Profile(t or "", memo)
                 if not p.n:
@@ -255,20 +349,21 @@ def score(model: Model, text: Column) -> Column:
                 x = weights[list(f)] @ np.array(list(f.values())) + weights[BUCKETS]
                 scores[i] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
                 rude[i] = p.insult
-            yield pd.DataFrame({"score": scores, "insult": rude})
+                toxic[i] = p.insult or model.toxic(p)
+            yield pd.DataFrame({"score": scores, "insult": rude, "toxic": toxic})
 
     return run(text)
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, insult, kept for every row."""
+    """doc_id, score, insult, toxic, kept for every row."""
     got = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("_s"))
-    fine = (F.col("_s.score") >= THRESHOLD) & ~F.col("_s.insult")
-    return got.select("doc_id", F.col("_s.score").alias("score"), F.col("_s.insult").alias("insult"), fine.alias("kept"))
+    fine = (F.col("_s.score") >= THRESHOLD) & ~F.col("_s.toxic")
+    return got.select("doc_id", F.col("_s.score").alias("score"), F.col("_s.insult").alias("insult"), F.col("_s.toxic").alias("toxic"), fine.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The accepted rows, with the columns they have."""
     name = fresh_name(docs, "verdict")
     scored = docs.withColumn(name, score(model, F.col(text_col)))
-    return scored.filter((F.col(name)["score"] >= THRESHOLD) & ~F.col(name)["insult"]).select(*docs.columns)
+    return scored.filter((F.col(name)["score"] >= THRESHOLD) & ~F.col(name)["toxic"]).select(*docs.columns)
