@@ -11,9 +11,11 @@
    template is no longer than two pages' tokens, so it is bounded.
 3. A page is read against its host's template: template tags bound slots, template text
    is fixed. What is left in the slots, outside menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments, is the text. If a
-   slot lies in an ``article`` element, or else in a ``main`` one, only such slots count, and
-   their texts are never taken for fixed: pages that copy each other keep their articles.
+   notices, adverts, forms, scripts, styles and reader comments, is the text. An ``article``
+   element, or else a ``main`` one, is a hint to the slots that count: all others go, unless they
+   hold ``HINT`` times as much variable text on a host with a template. Inside these elements a block
+   goes where all its texts are fixed, but only if the host has ``SUPPORT`` different pages and less than
+   half of what the page would keep is fixed: pages that copy each other keep their articles.
 
 Hosts with fewer than ``SUPPORT`` pages have no template; their pages are one slot.
 
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from .common import drop, keep
 
 SUPPORT = 3
+#: Text elsewhere outweighs an article (or main element) from so many times its variable text on.
+HINT = 4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -149,6 +153,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = host_of(url)
             if host is None or not (text := page.as_py()):
                 continue
+            sig = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            held.setdefault((host, sig, None), [0, 0, 0, 0])[0] += 1  # no token: the page as a whole, to count different pages
             for key, (count, place, fixed) in tokens(text).items():
                 h = int.from_bytes(hashlib.blake2b(b"%d:%d" % (-1 if page_id is None else page_id, count), digest_size=8).digest(), "little")
                 got = held.setdefault((host, key, fixed), [0, 0, 0, 0])
@@ -162,15 +168,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, pages, classes: the nested valid equivalence classes of each host's tokens."""
+    """host, host_pages, different, classes: pages and different pages of each host, and the valid equivalence classes of its tokens."""
     parts = pages.mapInArrow(_vectors, "host string, token long, fixed boolean, pages long, place long, v1 long, v2 long")
     found = keep(parts.groupBy("host", "token", "fixed").agg(*[F.sum(c).alias(c) for c in ("pages", "place", "v1", "v2")]), "vectors")
-    sizes = found.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    often = found.join(sizes, "host").filter((F.col("pages") >= SUPPORT) & (F.col("pages") * 2 >= F.col("host_pages")))
+    sizes = found.groupBy("host").agg(F.max("pages").alias("host_pages"), F.count_if(F.col("fixed").isNull()).alias("different"))
+    often = found.filter("fixed is not null").join(sizes, "host").filter((F.col("pages") >= SUPPORT) & (F.col("pages") * 2 >= F.col("host_pages")))
     token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "fixed")
-    classes = often.groupBy("host", "host_pages", "pages", "v1", "v2").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
+    classes = often.groupBy("host", "host_pages", "different", "pages", "v1", "v2").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
     span = F.struct("pages", F.col("tokens")[0]["place"].alias("first"), F.element_at("tokens", -1)["place"].alias("last"), "tokens")
-    by_host = classes.groupBy("host", "host_pages").agg(F.array_sort(F.collect_list(span)).alias("classes"))
+    by_host = classes.groupBy("host", "host_pages", "different").agg(F.array_sort(F.collect_list(span)).alias("classes"))
     out = keep(by_host, "templates")
     drop(found)
     return out
@@ -190,10 +196,11 @@ def nest(classes: list[dict]) -> list[int]:
 
 
 class Template:
-    """Tag tokens that bound slots, and fixed text tokens."""
+    """Tag tokens that bound slots, and fixed text tokens; ``inside``: whether fixed text may go from articles too."""
 
-    def __init__(self, host_pages: int, classes: list[dict]) -> None:
+    def __init__(self, host_pages: int, classes: list[dict], different: int = 0) -> None:
         up = nest(classes)
+        self.inside = different >= SUPPORT
         self.depth = {}
         self.fixed = set()
         for i, c in enumerate(classes):
@@ -212,17 +219,20 @@ def extract(page: str | None, template: Template | None) -> tuple[str, int]:
     """Main text and number of slots that hold it."""
     if not page:
         return "", 0
-    slots: list[tuple[int, list[str]]] = []  # (level, blocks)
+    slots: list[tuple[int, list[tuple[str, bool]]]] = []  # (level, blocks, each with whether all of it is fixed)
     block: list[str] = []
+    free = False  # the running block has text that is not fixed
     main_here = 0
 
     def close() -> None:
+        nonlocal free
         text = " ".join(_html.unescape("".join(block)).split())
         block.clear()
         if text:
             if not slots or slots[-1][0] != main_here:
                 slots.append((main_here, []))
-            slots[-1][1].append(text)
+            slots[-1][1].append((text, not free))
+        free = False
 
     for step in walk(page):
         if step[0] == "tag":
@@ -243,16 +253,26 @@ def extract(page: str | None, template: Template | None) -> tuple[str, int]:
         if top[3] != main_here:
             close()
             main_here = top[3]
-        if template and not main_here and template.fixed:
-            plain = " ".join(text.split())
-            if plain and _hash((top[1],), "=" + plain) in template.fixed:
-                continue
+        plain = " ".join(text.split())
+        fixed = bool(template and template.fixed and plain and _hash((top[1],), "=" + plain) in template.fixed)
+        if fixed and not main_here:
+            continue
+        free = free or bool(plain and not fixed)
         block.append(text)
     close()
     slots = [s for s in slots if s[1]]
     best = max((s[0] for s in slots), default=0)
-    kept = [s for s in slots if s[0] == best]
-    return "\n".join(b for s in kept for b in s[1]), len(kept)
+    if template and template.inside:
+        held = [sum(len(t) for at, blocks in slots if at == level for t, fixed in blocks if not fixed) for level in (0, 1, 2)]
+        for level in range(best - 1, -1, -1):
+            if held[level] > HINT * sum(held[level + 1 :]):
+                best = level
+    kept = [s[1] for s in slots if s[0] >= best]
+    if template and template.inside:
+        every, still = (sum(len(t) for s in kept for t, fixed in s if fixed in which) for which in ((True, False), (True,)))
+        if still * 2 < every:
+            kept = [left for s in kept if (left := [x for x in s if not x[1]])]
+    return "\n".join(t for s in kept for t, _ in s), len(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +288,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if host not in known:
                         if len(known) > 2000:
                             known.clear()
-                        known[host] = Template(batch.column(4)[k].as_py(), batch.column(5)[k].as_py())
+                        known[host] = Template(batch.column(4)[k].as_py(), batch.column(5)[k].as_py(), batch.column(6)[k].as_py())
                     template = known[host]
                 text, n = extract(pages[k].as_py(), template)
                 texts.append(text)
@@ -283,4 +303,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # The table of templates is measured; the optimizer broadcasts it only below its limit, else adaptive joins split hot hosts.
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]+)", 1))
     joined = rows.withColumn("_host", host).join(found.withColumnRenamed("host", "_known"), F.col("_host") == F.col("_known"), "left")
-    return joined.select("page_id", "url", "html", F.col("_known").alias("host"), "host_pages", "classes").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_slots long")
+    return joined.select("page_id", "url", "html", F.col("_known").alias("host"), "host_pages", "classes", "different").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_slots long")
