@@ -142,103 +142,188 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
     return labelled.select("scene", order[F.col("cluster")].alias("cluster"), "cosine")
 
 
-def _move_pass(sums: np.ndarray, sizes: np.ndarray, strengths: np.ndarray, whole: np.ndarray, squares: float, n_all: int, gamma: float, share: float, seed: int):
-    """Each scene's best community by modularity gain; a drawn share of the scenes may move, as all move at once."""
-    two_w = float(whole @ whole) - squares + n_all * (n_all - 1.0)
+#: Scene by community numbers that a task holds at once.
+TILE = 1 << 21
+
+
+def _move_pass(shared, gamma: float, share: float, seed: int):
+    """Each scene's best community by modularity gain, or one of its own; a drawn share of the scenes may move, as all move at once.
+
+    ``shared``: community sums, sizes, strengths, the whole, 2W, the number of scenes, sorted ids and how labels were renumbered.
+    A scene that opens a community takes a label behind those in use.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, sizes, strengths, whole, two_w, n_all, known, renumber = shared.value
+        k = len(sizes)
         for batch in batches:
-            ids, label = batch.column(0), batch.column(2).to_numpy()
-            x = _raw(batch.column(1))
-            own = (x * x).sum(1)
-            strength = x @ whole - own + n_all - 1
-            into = x @ sums.T + sizes[None, :]
-            rest = np.broadcast_to(strengths[None, :], into.shape).copy()
-            at = np.arange(len(x))
-            into[at, label] -= own + 1
-            rest[at, label] -= strength
-            gain = into - gamma * strength[:, None] * rest / two_w
-            gain[at, label] += 1e-9
-            turn = np.array([hash_id(i, seed) for i in ids.to_pylist()]) < share
-            new = np.where(turn, gain.argmax(1), label)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(new.astype(np.int32))], names=["scene", "vector", "cluster"])
+            ids, label = batch.column(0), renumber[batch.column(2).to_numpy()]
+            x, keys = _raw(batch.column(1)), ids.to_numpy()
+            new, wants = label.copy(), np.zeros(len(x), bool)
+            for lo in range(0, len(x), max(1, TILE // k)):
+                part = slice(lo, lo + max(1, TILE // k))
+                y, at_label = x[part], label[part]
+                own = (y * y).sum(1)
+                strength = y @ whole - own + n_all - 1
+                gain = y @ sums.T
+                gain += sizes
+                gain -= np.outer(gamma * strength / two_w, strengths)
+                at = np.arange(len(y))
+                stay = gain[at, at_label] - own - 1 + gamma * strength * strength / two_w
+                gain[at, at_label] = stay
+                best = gain.argmax(1)
+                most = gain[at, best]
+                opens = most < 0
+                wants[part] = np.maximum(most, 0.0) > stay + 1e-9
+                new[part] = np.where(wants[part], np.where(opens, k + np.searchsorted(known, keys[part]), best), at_label)
+            turn = np.array([hash_id(i, seed) for i in keys.tolist()]) < share if wants.any() else wants
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(np.where(turn, new, label).astype(np.int32)), pa.array(wants)], names=["scene", "vector", "cluster", "wants"])
 
     return run
 
 
-def _sum_pass(k: int, dim: int):
+def _sum_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, sum of squares, sum vector, first scene and wanted moves of each community of a batch."""
+    for batch in batches:
+        x = _raw(batch.column(1)) if len(batch.column(1)) else np.zeros((0, 1))
+        at, place = np.unique(batch.column(2).to_numpy(), return_inverse=True)
+        n, q, wants = (np.bincount(place, weights=w, minlength=len(at)) for w in (None, (x * x).sum(1), batch.column(3).to_numpy(zero_copy_only=False).astype(float)))
+        s, first = np.zeros((len(at), x.shape[1])), np.full(len(at), np.iinfo(np.int64).max)
+        np.add.at(s, place, x)
+        np.minimum.at(first, place, batch.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(q), pa.array(s.tolist(), pa.list_(pa.float64())), pa.array(first), pa.array(wants.astype(np.int64))], names=["cluster", "n", "q", "s", "first", "wants"])
+
+
+class _State:
+    """Sums of the communities in use, and ``renumber`` from the labels of the rows to their places here."""
+
+    def __init__(self, rows: DataFrame, labels: int, dim: int) -> None:
+        got = rows.mapInArrow(_sum_pass, "cluster int, n long, q double, s array<double>, first long, wants long").toArrow()
+        at, place = np.unique(got["cluster"].to_numpy(), return_inverse=True)
+        k = len(at)
+        self.n, self.q, self.s, self.first = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dim)), np.full(k, np.iinfo(np.int64).max)
+        np.add.at(self.n, place, got["n"].to_numpy())
+        np.add.at(self.q, place, got["q"].to_numpy())
+        np.add.at(self.s, place, got["s"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        np.minimum.at(self.first, place, got["first"].to_numpy())
+        self.wants = int(got["wants"].to_numpy().sum())
+        self.renumber = np.full(labels, -1, np.int64)
+        self.renumber[at] = np.arange(k)
+        self.whole, self.total = self.s.sum(0), int(self.n.sum())
+        self.two_w = float(self.whole @ self.whole) - float(self.q.sum()) + self.total * (self.total - 1.0)
+        self.strengths = self.s @ self.whole - self.q + self.n * (self.total - 1.0)
+
+    def quality(self, gamma: float) -> float:
+        inside = (self.s * self.s).sum(1) - self.q + self.n * (self.n - 1.0)
+        return float(inside.sum() / self.two_w - gamma * ((self.strengths / self.two_w) ** 2).sum())
+
+    def merge(self, gamma: float, settled: bool) -> np.ndarray | None:
+        """Communities as single nodes moved one by one, until none gains: the place each goes to, or None if all stay.
+
+        Where no scene wants to move (``settled``), communities of one scene cannot gain and are left out.
+        """
+        own = np.flatnonzero(self.n > 1) if settled else np.arange(len(self.n))
+        s, n, strengths = self.s[own], self.n[own].astype(float), self.strengths[own]
+        node = s.copy(), n.copy(), strengths.copy()
+        label, changed = np.arange(len(own)), False
+        while True:
+            moved = False
+            for i in range(len(own)):
+                a, si, ni, ki = label[i], node[0][i], node[1][i], node[2][i]
+                s[a], n[a], strengths[a] = s[a] - si, n[a] - ni, strengths[a] - ki
+                gain = s @ si + n * ni - gamma * ki * strengths / self.two_w
+                gain[n < 0.5] = -np.inf  # empty ones, this one's too if it is alone: staying alone gains 0
+                b = int(gain.argmax())
+                here = gain[a] if n[a] >= 0.5 else 0.0
+                if not gain[b] > here + 1e-9:
+                    b = a
+                s[b], n[b], strengths[b] = s[b] + si, n[b] + ni, strengths[b] + ki
+                if b != a:
+                    label[i], moved, changed = b, True, True
+            if not moved:
+                break
+        out = np.arange(len(self.n))
+        out[own] = own[label]
+        return out if changed else None
+
+
+def _relabel(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, q, s = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, dim))
         for batch in batches:
-            x, label = _raw(batch.column(1)), batch.column(2).to_numpy()
-            n += np.bincount(label, minlength=k)
-            q += np.bincount(label, weights=(x * x).sum(1), minlength=k)
-            np.add.at(s, label, x)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(q[at]), pa.array(s[at].tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "q", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value[batch.column(2).to_numpy()].astype(np.int32))], names=["scene", "cluster"])
 
     return run
 
 
-def communities(scenes: DataFrame, key: str = "scene", vector: str = "centroid", gamma: float = 2.0, start: int = 32, sweeps: int = 30, seed: int = 0) -> DataFrame:
-    """scene, cluster: Louvain-style communities of the complete graph with weights dot + 1.
+def communities(scenes: DataFrame, key: str = "scene", vector: str = "centroid", gamma: float = 2.0, start: int | None = None, sweeps: int = 30, seed: int = 0) -> DataFrame:
+    """scene, cluster: Louvain-style communities of the complete graph with weights dot + 1, largest first.
 
-    Gains come from broadcast community sums, so no edges arise. Sweeps start from
-    ``start`` k-means groups. In a sweep a drawn share of the scenes moves; a sweep that
+    Gains come from broadcast community sums, so no edges arise. Every scene starts alone, or
+    in one of ``start`` k-means groups; it may move to any community or open one, so their number
+    follows the data. In a sweep a drawn share of the scenes moves; a sweep that
     does not raise modularity is taken back and the share halved, so scenes do not all
-    run to one place. Then communities merge as long as a merge gains modularity. The complete graph makes every community connected.
+    run to one place. Then whole communities move as long as modularity gains, and scenes again. No
+    result is worse than all scenes alone. The complete graph makes every community connected.
+    Sums take scenes times dimension numbers on the driver, at most ``MOST_STATE``; a sweep compares every scene with every community.
     Identity with other Louvain or Leiden implementations is not claimed.
     """
-    base = spherical_kmeans(scenes, start, key, vector, seed, n_init=1, max_iter=6, plus=False)
-    rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector")).join(base.select("scene", "cluster"), "scene").select("scene", "vector", F.col("cluster").cast("int").alias("cluster")).persist()
-    dim = len(rows.select("vector").first()["vector"])
-
-    def state(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, q, s = np.zeros(start, np.int64), np.zeros(start), np.zeros((start, dim))
-        for r in df.mapInArrow(_sum_pass(start, dim), "cluster int, n long, q double, s array<double>").collect():
-            n[r["cluster"]] += r["n"]
-            q[r["cluster"]] += r["q"]
-            s[r["cluster"]] += np.array(r["s"])
-        return n, q, s
-
-    def quality(n: np.ndarray, q: np.ndarray, s: np.ndarray) -> float:
-        whole, total = s.sum(0), int(n.sum())
-        two_w = float(whole @ whole) - float(q.sum()) + total * (total - 1.0)
-        strengths = s @ whole - q + n * (total - 1.0)
-        return float(((s * s).sum(1) - q + n * (n - 1.0)).sum() / two_w - gamma * ((strengths / two_w) ** 2).sum())
-
-    n, q, s = state(rows)
-    share = 0.5
-    for sweep in range(sweeps):
-        whole, squares, total = s.sum(0), float(q.sum()), int(n.sum())
-        strengths = s @ whole - q + n * (total - 1.0)
-        moved = rows.mapInArrow(_move_pass(s, n, strengths, whole, squares, total, gamma, share, seed * 1009 + sweep), "scene long, vector array<double>, cluster int").persist()
-        n2, q2, s2 = state(moved)
-        if quality(n2, q2, s2) > quality(n, q, s) + 1e-12:
-            rows, n, q, s = moved, n2, q2, s2
-            continue
-        moved.unpersist()
-        share /= 2
-        if share < 1 / 64:
-            break
-    # Merging whole communities needs their sums only.
-    merged = np.arange(start)
-    whole, total = s.sum(0), int(n.sum())
-    two_w = float(whole @ whole) - float(q.sum()) + total * (total - 1.0)
-    alive = np.flatnonzero(n).tolist()
-    strengths = s @ whole - q + n * (total - 1.0)
-    while len(alive) > 1:
-        gains = [(2 * (float(s[a] @ s[b]) + n[a] * n[b]) / two_w - 2 * gamma * strengths[a] * strengths[b] / two_w**2, a, b) for i, a in enumerate(alive) for b in alive[i + 1 :]]
-        gain, a, b = max(gains)
-        if gain <= 1e-12:
+    spark = scenes.sparkSession
+    rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).cast("array<double>").alias("vector")).persist()
+    head = rows.select(F.size("vector").alias("d")).first()
+    if head is None:
+        return rows.select("scene", F.lit(0).alias("cluster"))
+    dim = head["d"]
+    if rows.count() * dim > MOST_STATE:
+        raise ValueError(f"scenes times the dimension may be at most {MOST_STATE}")
+    known = np.unique(rows.select("scene").toArrow()["scene"].to_numpy())
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(known, batch.column(0).to_numpy()).astype(np.int32)), pa.array(np.zeros(batch.num_rows, bool))], names=["scene", "vector", "cluster", "wants"])
+
+    shape = "scene long, vector array<double>, cluster int, wants boolean"
+    single = rows.mapInArrow(alone, shape).persist()
+    now = _State(single, len(known), dim)
+    least, current = now.quality(gamma), single
+    if start is not None:
+        base = spherical_kmeans(scenes, start, key, vector, seed, n_init=1, max_iter=6, plus=False)
+        current = rows.join(base.select("scene", "cluster"), "scene").select("scene", "vector", F.col("cluster").cast("int").alias("cluster"), F.lit(False).alias("wants")).persist()
+        now = _State(current, start, dim)
+    share, settled, sweep = 0.5, False, 0
+    while True:
+        while sweep < sweeps and share >= 1 / 64 and not settled:
+            shared = spark.sparkContext.broadcast((now.s, now.n, now.strengths, now.whole, now.two_w, now.total, known, now.renumber))
+            moved = current.mapInArrow(_move_pass(shared, gamma, share, seed * 1009 + sweep), shape).persist()
+            then = _State(moved, len(now.n) + len(known), dim)
+            sweep += 1
+            settled = then.wants == 0
+            if not settled and then.quality(gamma) > now.quality(gamma) + 1e-12:
+                current, now = moved, then
+            else:
+                moved.unpersist()
+                share /= 2
+        to = now.merge(gamma, settled)
+        if to is None:
             break
-        s[a], n[a], strengths[a] = s[a] + s[b], n[a] + n[b], strengths[a] + strengths[b]
-        n[b] = 0
-        merged[merged == b] = a
-        alive.remove(b)
-    order = {c: i for i, c in enumerate(sorted(alive, key=lambda c: (-n[c], c)))}
-    final = F.create_map(*[F.lit(int(x)) for c in range(start) if merged[c] in order for x in (c, order[merged[c]])])
-    return rows.select("scene", final[F.col("cluster")].alias("cluster"))
+        # The same rows under merged labels; scenes may then move again.
+        shared = spark.sparkContext.broadcast(to[now.renumber])
+        current = current.select("scene", "vector", "cluster").mapInArrow(_merged(shared), shape).persist()
+        now = _State(current, len(to), dim)
+        share, settled = max(share, 1 / 8), False
+    if now.quality(gamma) < least:
+        return communities(scenes, key, vector, gamma, None, sweeps, seed)
+    place = np.empty(len(now.n), np.int64)
+    place[np.lexsort((now.first, -now.n))] = np.arange(len(now.n))
+    return current.mapInArrow(_relabel(spark.sparkContext.broadcast(place[now.renumber])), "scene long, cluster int")
+
+
+def _merged(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = shared.value[batch.column(2).to_numpy()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(label), pa.array(np.zeros(len(label), bool))], names=["scene", "vector", "cluster", "wants"])
+
+    return run
 
 
 def select_subset(members: DataFrame, cluster: str, ordinal: str, min_size: int = 1, k: int | None = None, percent: float | None = None) -> DataFrame:
