@@ -26,48 +26,51 @@ def _raw(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _assign_pass(centres: np.ndarray):
-    """Partial sums of a round: cluster, n, sum of best cosines, sum vector; and the worst-assigned row of the task."""
+def _assign_pass(centres: dict[int, np.ndarray]):
+    """Partial sums of a round for each run: run, cluster, n, sum of best cosines, sum vector; and the worst-assigned row of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, d = centres.shape
-        n, cos, total = np.zeros(k, np.int64), np.zeros(k), np.zeros((k, d))
-        worst, worst_cos = None, np.inf
+        n, cos, total = ({r: np.zeros((len(c), *more), kind) for r, c in centres.items()} for more, kind in (((), np.int64), ((), float), ((next(iter(centres.values())).shape[1],), float)))
+        worst: dict[int, tuple[float, np.ndarray]] = {}
         for batch in batches:
             x = _matrix(batch.column(1))
             if not len(x):
                 continue
-            sim = x @ centres.T
-            label, best = sim.argmax(1), sim.max(1)
-            n += np.bincount(label, minlength=k)
-            cos += np.bincount(label, weights=best, minlength=k)
-            np.add.at(total, label, x)
-            if best.min() < worst_cos:
-                worst_cos, worst = float(best.min()), x[best.argmin()]
-        rows = [(c, int(n[c]), float(cos[c]), total[c].tolist()) for c in range(k) if n[c]]
-        if worst is not None:
-            rows.append((-1, 0, worst_cos, worst.tolist()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["cluster", "n", "cos", "total"])
+            for r, c in centres.items():
+                sim = x @ c.T
+                label, best = sim.argmax(1), sim.max(1)
+                n[r] += np.bincount(label, minlength=len(c))
+                cos[r] += np.bincount(label, weights=best, minlength=len(c))
+                np.add.at(total[r], label, x)
+                if r not in worst or best.min() < worst[r][0]:
+                    worst[r] = float(best.min()), x[best.argmin()]
+        rows = [(r, c, int(n[r][c]), float(cos[r][c]), total[r][c].tolist()) for r in centres for c in range(len(n[r])) if n[r][c]]
+        rows += [(r, -1, 0, at, x.tolist()) for r, (at, x) in worst.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["run", "cluster", "n", "cos", "total"])
 
     return run
 
 
-def _pick_pass(centres: np.ndarray, seed: int):
-    """For k-means++: each task's weighted choice (exponential race by squared distance)."""
+def _pick_pass(centres: dict[int, np.ndarray], seeds: dict[int, int]):
+    """For k-means++: each task's weighted choice of each run (exponential race by squared distance)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, row = np.inf, None
+        won: dict[int, tuple[float, np.ndarray]] = {}
         for batch in batches:
             x = _matrix(batch.column(1))
             if not len(x):
                 continue
-            far = np.maximum(0.0, 2 - 2 * (x @ centres.T).max(1)) if len(centres) else np.ones(len(x))
-            ids = np.array([hash_id(i, seed) for i in batch.column(0).to_pylist()])
-            race = np.where(far > 1e-15, -np.log(ids) / np.maximum(far, 1e-300), np.inf)
-            if race.min() < best:
-                best, row = float(race.min()), x[race.argmin()]
-        yield pa.RecordBatch.from_arrays([pa.array([best] if row is not None else [], pa.float64()), pa.array([row.tolist()] if row is not None else [], pa.list_(pa.float64()))], names=["race", "row"])
+            keys = batch.column(0).to_pylist()
+            for r, c in centres.items():
+                far = np.maximum(0.0, 2 - 2 * (x @ c.T).max(1)) if len(c) else np.ones(len(x))
+                ids = np.array([hash_id(i, seeds[r]) for i in keys])
+                race = np.where(far > 1e-15, -np.log(ids) / np.maximum(far, 1e-300), np.inf)
+                if race.min() < won.get(r, (np.inf,))[0]:
+                    won[r] = float(race.min()), x[race.argmin()]
+        rows = [(r, at, x.tolist()) for r, (at, x) in won.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["run", "race", "row"])
 
     return run
 
@@ -89,11 +92,11 @@ def _label_pass(centres: np.ndarray):
     return run
 
 
-def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str = "centroid", seed: int = 0, n_init: int = 3, max_iter: int = 50, tol: float = 1e-6, plus: bool = True) -> DataFrame:
+def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str = "centroid", seed: int = 0, n_init: int = 10, max_iter: int = 300, tol: float = 1e-6, plus: bool = True) -> DataFrame:
     """scene, cluster, cosine: cosine k-means with k-means++ starts; the best of ``n_init`` runs, largest cluster first.
 
     An empty cluster takes the worst-assigned row; clusters still empty at the end are
-    dropped. Draws come from hashes of keys, so a seed gives one result on any cluster.
+    dropped. Runs share the passes over the rows. Draws come from hashes of keys, so a seed gives one result on any cluster.
     Without ``plus`` a run starts from k drawn rows, found in one job.
     """
     rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector")).persist()
@@ -103,38 +106,49 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
     if k < 1 or k * dim["d"] > MOST_STATE:
         raise ValueError(f"k must be 1 or more, and k times the dimension at most {MOST_STATE}")
     best, best_cos = None, -np.inf
-    for run in range(n_init):
-        centres = np.zeros((0, dim["d"]))
-        if not plus:
+    together = max(1, MOST_STATE // (k * dim["d"]))  # runs that share a pass
+    for low in range(0, n_init, together):
+        centres = {run: np.zeros((0, dim["d"])) for run in range(low, min(low + together, n_init))}
+        for run in [] if plus else list(centres):
             drawn = rows.orderBy(F.xxhash64("scene", F.lit(seed * 1_000_003 + run)), "scene").limit(k).select("vector").collect()
-            centres = np.array([r["vector"] for r in drawn])
-            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        for c in range(k if plus else 0):
-            got = rows.mapInArrow(_pick_pass(centres, seed * 1_000_003 + run * 1009 + c), "race double, row array<double>").orderBy("race").limit(1).collect()
-            if not got or not np.isfinite(got[0]["race"]):
+            centres[run] = np.array([r["vector"] for r in drawn])
+            centres[run] /= np.maximum(np.linalg.norm(centres[run], axis=1, keepdims=True), 1e-12)
+        drawing = set(centres) if plus else set()
+        for c in range(k):
+            if not drawing:
                 break
-            centres = np.vstack([centres, np.array(got[0]["row"])])
-        before = None
+            seeds = {run: seed * 1_000_003 + run * 1009 + c for run in drawing}
+            got = rows.mapInArrow(_pick_pass({run: centres[run] for run in drawing}, seeds), "run int, race double, row array<double>").groupBy("run").agg(F.min_by("row", "race").alias("row")).collect()
+            for r in got:
+                centres[r["run"]] = np.vstack([centres[r["run"]], np.array(r["row"])])
+            drawing = {r["run"] for r in got}
+        before: dict[int, tuple] = {}
         for _ in range(max_iter):
-            parts = rows.mapInArrow(_assign_pass(centres), "cluster int, n long, cos double, total array<double>").collect()
-            n, cos, total = np.zeros(len(centres), np.int64), 0.0, np.zeros_like(centres)
-            worst = min((p for p in parts if p["cluster"] < 0), key=lambda p: p["cos"])
-            for p in parts:
-                if p["cluster"] >= 0:
-                    n[p["cluster"]] += p["n"]
-                    cos += p["cos"]
-                    total[p["cluster"]] += np.array(p["total"])
-            length = np.linalg.norm(total, axis=1, keepdims=True)
-            new = np.where(length > 1e-12, total / np.maximum(length, 1e-12), centres)
-            new[n == 0] = np.array(worst["total"])
-            shift = 1 - float((new * centres).sum(1).mean())
-            state = (n.tolist(), round(cos, 9))
-            if cos > best_cos:
-                best, best_cos = centres, cos
-            centres = new
-            if shift < tol or state == before:
+            if not centres:
                 break
-            before = state
+            parts: dict[int, list] = {run: [] for run in centres}
+            for p in rows.mapInArrow(_assign_pass(centres), "run int, cluster int, n long, cos double, total array<double>").collect():
+                parts[p["run"]].append(p)
+            for run, held in parts.items():
+                old = centres[run]
+                n, cos, total = np.zeros(len(old), np.int64), 0.0, np.zeros_like(old)
+                worst = min((p for p in held if p["cluster"] < 0), key=lambda p: p["cos"])
+                for p in held:
+                    if p["cluster"] >= 0:
+                        n[p["cluster"]] += p["n"]
+                        cos += p["cos"]
+                        total[p["cluster"]] += np.array(p["total"])
+                length = np.linalg.norm(total, axis=1, keepdims=True)
+                new = np.where(length > 1e-12, total / np.maximum(length, 1e-12), old)
+                new[n == 0] = np.array(worst["total"])
+                shift = 1 - float((new * old).sum(1).mean())
+                state = (n.tolist(), round(cos, 9))
+                if cos > best_cos:
+                    best, best_cos = old, cos
+                if shift < tol or state == before.get(run):
+                    del centres[run]
+                else:
+                    centres[run], before[run] = new, state
     labelled = rows.mapInArrow(_label_pass(best), "scene long, cluster int, cosine double")
     sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.min("scene").alias("first"))
     places = {r["cluster"]: i for i, r in enumerate(sizes.orderBy(F.desc("n"), "first").collect())}  # at most k rows
