@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import uuid
@@ -16,8 +17,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,28 +33,37 @@ def shared_root(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
     The session's ``spark.checkpoint.dir`` wins, then the context's checkpoint
-    folder. Only where neither is set, as in tests on one machine, a temporary
-    folder is made and set.
+    folder. Where neither is set, a temporary folder is made and set if everything runs
+    on one machine, as in tests; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster see")
     made = tempfile.mkdtemp(prefix="lumenfold-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-#: Rows in an Arrow batch where rows hold whole texts: a batch is a few MB, or a few long texts.
-TEXT_ROWS = 1000
+#: Rows in an Arrow batch where rows hold whole texts, and bytes in one: a batch is a few MB, or one longer text.
+TEXT_ROWS, TEXT_BYTES = 1000, 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def _setting(spark: SparkSession, name: str) -> str | None:
+    try:
+        return spark.conf.get(name)  # the default of a setting that this Spark knows
+    except PySparkException:
+        return None
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold inside the block; those this Spark does not know are left out."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    known = {k: v for k, v in before.items() if v is not None}
+    known = {k: v for k in values if (v := _setting(spark, k)) is not None}
     for k in known:
         spark.conf.set(k, values[k])
     try:
@@ -74,6 +84,7 @@ def keep(df: DataFrame, label: str, texts: bool = False) -> DataFrame:
     now = {_CLEAN: "true"}
     if texts:
         now[_BATCH] = str(min(TEXT_ROWS, int(spark.conf.get(_BATCH))))
+        now[_BATCH_BYTES] = str(TEXT_BYTES)
     with settings(spark, now):
         df.write.parquet(path)
     _OWN.append(path)
@@ -108,64 +119,82 @@ def _clean() -> None:
             return
 
 
-#: Bits of a membership filter, 2 to this power at most: 64 MB, whatever the number of keys.
-MOST_FILTER_BITS = 29
+#: Words of 64 bits in a membership filter, 2 to this power at most: 64 MB, whatever the number of keys.
+MOST_FILTER_WORDS = 23
 
 
-def _filter_bits(key: np.ndarray, log2: int) -> np.ndarray:
-    """Two bit places for each key, by different parts of a mixed hash."""
-    x = key.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return np.stack([x & np.uint64((1 << log2) - 1), x >> np.uint64(64 - log2)])
+def _bit_places(key: Column, log2: int) -> list[Column]:
+    """Two places of a key among 2 ** (log2 + 6) bits."""
+    return [F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 58 - log2) for salt in (1, 2)]
 
 
-def may_hold(keys: DataFrame, key: Column) -> Column:
-    """Whether ``key`` may be in ``keys`` (one long column): never false for one that is.
+def may_hold(df: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column: whether ``key`` may be in ``keys`` (one long column); never false for one that is.
 
-    The filter has about 16 bits a key and a fixed upper bound; beyond that bound it is
-    true more often, so a join has to decide.
+    The filter has about 16 bits a key and a fixed upper bound, and travels as a single row. It is
+    read inside generated code. With so many keys that it would let most rows pass, all are true.
     """
-    spark = keys.sparkSession
-    name = keys.columns[0]
-    log2 = min(MOST_FILTER_BITS, max(16, int(keys.count() * 16).bit_length()))
-
-    def pack(batches):
-        bits = np.zeros(1 << log2, bool)
-        for batch in batches:
-            bits[_filter_bits(batch.column(0).to_numpy(), log2).ravel()] = True
-        words = np.packbits(bits).view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    known = keys.select(name).filter(F.col(name).isNotNull())
-    got = known.mapInArrow(pack, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros((1 << log2) // 64, np.int64)
+    spark = df.sparkSession
+    known = keys.select(F.col(keys.columns[0]).cast("long").alias("k")).filter("k is not null")
+    n = known.count()
+    if n > 1 << (MOST_FILTER_WORDS + 4):  # fewer than four bits a key
+        return df.withColumn(name, F.lit(True))
+    log2 = min(MOST_FILTER_WORDS, max(6, (n * 16 // 64).bit_length()))
+    place = F.explode(F.array(*_bit_places(F.col("k"), log2)))
+    got = known.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("word")).toArrow()
+    words = np.zeros(1 << log2, np.int64)
     words[got["at"].to_numpy()] = got["word"].to_numpy()
-    shared = spark.sparkContext.broadcast(words.view(np.uint8))
+    held = fresh_name(df, "filter_words")
+    row = pa.table({held: pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))})
+    met = df.crossJoin(F.broadcast(spark.createDataFrame(row)))  # one row, of a fixed bound
+    one, two = (F.getbit(F.get(F.col(held), F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) for p in _bit_places(key, log2))
+    return met.withColumn(name, F.coalesce((one == 1) & (two == 1), F.lit(False))).drop(held)
+
 
-    @F.pandas_udf("boolean")
-    def held(k: pd.Series) -> pd.Series:
-        places = _filter_bits(k.fillna(0).to_numpy(np.int64), log2)
-        bit = (shared.value[places >> np.uint64(3)] >> (np.uint64(7) - (places & np.uint64(7))).astype(np.uint8)) & 1
-        return pd.Series(bit.all(0) & k.notna().to_numpy())
+def prefilter(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``. Wide rows that no join needs go in the scan, before any shuffle."""
+    name = fresh_name(df, "maybe")
+    return may_hold(df, key, keys, name).filter(F.col(name)).drop(name)
 
-    return held(key.cast("long"))
 
+def row_key(id_col: Column, text_key: Column) -> Column:
+    """What a row of documents is known by, as one long: its id (null or not) and the hash of its text."""
+    return F.xxhash64(F.coalesce(id_col.cast("long"), F.lit(-1)), id_col.isNull(), text_key)
 
-def prefilter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``. Wide rows that no join needs go in the scan, before any shuffle."""
-    return df.filter(may_hold(keys, F.col(key)))
+
+def _same_row(df_id: Column, df_key: Column, id_name: str, key_name: str) -> Column:
+    return df_id.cast("long").eqNullSafe(F.col(id_name)) & (df_key == F.col(key_name))
 
 
-def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``keys``; only rows that may be in it are shuffled. A null key stays."""
-    maybe = may_hold(keys, F.col(key))
-    name = fresh_name(df, "gone")
-    gone = keys.select(F.col(keys.columns[0]).alias(name)).distinct()
-    doubted = df.filter(maybe).join(gone, F.col(key).cast("long") == F.col(name), "left_anti")
-    return df.filter(~maybe).unionByName(doubted)
+def split_rows(df: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left_anti") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` surely not in ``named``, rows that may be: joined with it by ``how``).
+
+    ``named`` has doc_id and text_key (``xxhash64`` of the text): rows are known by both, so rows that share an id
+    but not a text, and rows without an id, are told apart. Only the second part is ever shuffled.
+    """
+    names = fresh_name(df, "named_id"), fresh_name(df, "named_text"), fresh_name(df, "maybe")
+    text_key = F.xxhash64(F.col(text_col))
+    few = named.select(F.col("doc_id").cast("long").alias(names[0]), F.col("text_key").alias(names[1]))
+    told = may_hold(df, row_key(F.col(id_col), text_key), few.select(row_key(F.col(names[0]), F.col(names[1])).alias("k")), names[2])
+    # The flag in the join's condition keeps the optimizer from joining all rows before the filter.
+    met = told.filter(F.col(names[2])).join(few.distinct(), F.col(names[2]) & _same_row(F.col(id_col), text_key, names[0], names[1]), how)
+    return told.filter(~F.col(names[2])).drop(names[2]), met.drop(*names)
+
+
+def without(df: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` that ``named`` (doc_id, text_key) does not name."""
+    never, rest = split_rows(df, named, id_col, text_col)
+    return never.unionByName(rest)
+
+
+def once(df: DataFrame, named: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with a single row for each document that ``named`` (doc_id, text_key) names. All other rows pass by."""
+    if named.isEmpty():
+        return df
+    name = fresh_name(df, "one_text")
+    _, met = split_rows(df, named, id_col, text_col, "left_semi")
+    single = met.withColumn(name, F.xxhash64(F.col(text_col))).dropDuplicates([id_col, name]).drop(name)
+    return without(df, named, id_col, text_col).unionByName(single)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -8,7 +8,7 @@
 3. Neighbours in an order share a prefix. A region is a run of rows with a common
    prefix of ``MIN_DEPTH``; a region of up to ``SMALL`` rows gives all its pairs, a
    denser one gives each row's next neighbours and is cut at the next depth, and so on:
-   depth adapts to each region.
+   depth adapts to each region. A region that touches the border of a partition counts as dense.
 4. Pairs are weighed by their sketches, then confirmed on the full sets of the texts.
    First each row meets its best smaller partners; after that only pairs whose rows
    are still in different components are confirmed, all of them. So components come
@@ -26,7 +26,11 @@ A pair at the threshold (0.85) shares a prefix of four in a tree with probabilit
 Defined results
 * null, empty or blank text: no shingles, its own component, linked with nothing.
 * fewer words than a shingle: the whole sequence is one shingle.
-* rows that repeat: one document; each row gets the same result.
+* rows that repeat: one document; each row gets the same result. Rows that share an id but not a text are
+  judged each by its own text.
+* null id: linked by its text like any other; it names a component only where nobody in it has an id
+  (``component_id`` null).
+* ``chosen``: the rows of one document of each component, the one with the smallest id, then text hash.
 * empty table: no rows. Extra columns are ignored.
 """
 
@@ -40,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, keep, prefilter
+from .common import drop, keep, prefilter, row_key
 from .graph import components
 
 N_HASHES, TREES, MIN_DEPTH, MAX_DEPTH = 128, 32, 4, 12
 #: A region of so many rows gives all its pairs; in a larger one each row meets so many next neighbours.
 SMALL, NEXT = 12, 3
+#: Rows of one region that a task holds; a longer one is looked at in parts.
+MOST_HELD = 100_000
 #: Partners that each row is confirmed with first.
 FIRST = 2
 
@@ -108,7 +114,7 @@ def _sign(size: int):
                 lo.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
                 hi.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 sig.append(minima(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "lo", "hi", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "text_key", "n_shingles", "lo", "hi", "sig"])
 
     return run
 
@@ -144,8 +150,13 @@ def region_pairs(keys: np.ndarray, small: int = SMALL, ahead: int = NEXT, depth:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk a stretch of the sorted orders; rows of an unfinished region wait for the next batch."""
+    """Walk a stretch of the sorted orders; rows of an unfinished region wait for the next batch.
+
+    A pair of a row with itself marks a row whose region may not have given all pairs: it is dense, or it touches
+    an end of the stretch, beyond which it may go on.
+    """
     left: tuple | None = None
+    cut = True  # the next region may have begun before what is held now
     for batch in [*batches, None]:
         last = batch is None
         if last and left is None:
@@ -162,16 +173,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         new = np.flatnonzero((tree[1:] != tree[:-1]) | (keys[1:, :MIN_DEPTH] != keys[:-1, :MIN_DEPTH]).any(1)) + 1
         begin, end = np.r_[0, new], np.r_[new, len(ids)]
-        if not last and end[-1] - begin[-1] < 200_000:
+        sure = end - begin <= SMALL
+        if cut:
+            sure[0] = False
+        if not last and end[-1] - begin[-1] < MOST_HELD:
             left = (tree[begin[-1] :], keys[begin[-1] :], ids[begin[-1] :])
-            begin, end = begin[:-1], end[:-1]
+            cut = cut and len(begin) == 1
+            begin, end, sure = begin[:-1], end[:-1], sure[:-1]
         else:
-            left = None
+            left, cut = None, True
+            sure[-1] = False
         found = []
-        for lo, hi in zip(begin[end - begin > 1].tolist(), end[end - begin > 1].tolist(), strict=True):
-            p = np.array(region_pairs(keys[lo:hi]), np.int64) + lo
-            found.append(np.stack([ids[p[:, 0]], ids[p[:, 1]]], 1))
-            if hi - lo > SMALL:  # a pair with itself marks a row whose region did not give all pairs
+        for lo, hi, fine in zip(begin.tolist(), end.tolist(), sure.tolist(), strict=True):
+            if hi - lo > 1:
+                p = np.array(region_pairs(keys[lo:hi]), np.int64) + lo
+                found.append(np.stack([ids[p[:, 0]], ids[p[:, 1]]], 1))
+            if not fine:
                 found.append(np.stack([ids[lo:hi], ids[lo:hi]], 1))
         if found:
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
@@ -207,11 +224,13 @@ def _confirm(size: int, num: int, den: int):
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = keep(rows.mapInArrow(_sign(shingle), "doc_id long, n_shingles long, lo long, hi long, sig binary"), "signed", texts=True)
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "lo", "hi").agg(F.min(F.struct("doc_id", "sig")).alias("m"))
-    reps = keep(sets.select("n_shingles", "lo", "hi", F.col("m.doc_id").alias("id"), F.col("m.sig").alias("sig")), "representatives")
+    """doc_id, text_key, n_shingles, component_id, kept, chosen for every row. text_key: ``xxhash64`` of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    signed = keep(rows.mapInArrow(_sign(shingle), "doc_id long, text_key long, n_shingles long, lo long, hi long, sig binary"), "signed", texts=True)
+    # Inside, a set of shingles has a number of its own. The row that stands for it: the smallest id, null last, then text.
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    sets = signed.filter("n_shingles > 0").groupBy("n_shingles", "lo", "hi").agg(F.min(F.struct(place.alias("place"), "sig")).alias("m"))
+    reps = keep(sets.select(F.monotonically_increasing_id().alias("id"), "n_shingles", "lo", "hi", F.col("m.place").alias("place"), F.col("m.sig").alias("sig")), "representatives")
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     planted = reps.select("id", "sig").mapInArrow(_plant, "tree int, key binary, id long")
@@ -226,9 +245,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     weighed = keep(weighed, "weighed")
     drop(bytes_of)
 
-    asked = keep(weighed.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
-    texts = prefilter(rows, asked, "doc_id").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = keep(texts, "texts", texts=True)
+    asked = weighed.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = keep(_texts_of(rows, reps, asked), "texts")
 
     def confirmed(some: DataFrame) -> DataFrame:
         both = some.select("a", "b").join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -243,23 +261,43 @@ def near_groups(docs: DataFrame, shingle: int = 3, percent: int = 85, id_col: st
     apart = apart.join(first.select("a", "b"), ["a", "b"], "left_anti")
     more = confirmed(apart)
     if not more.isEmpty():
-        groups = keep(components(links.unionByName(more)), "components")
+        drop(groups)
         links = links.unionByName(more)
-    rest = _dense_links(rows, dense, groups, shingle, percent)
+        groups = keep(components(links), "components")
+    drop(texts, weighed)
+    rest = _dense_links(rows, reps, dense, groups, shingle, percent)
     if rest is not None and not rest.isEmpty():
+        drop(groups)
         groups = keep(components(links.unionByName(rest)), "components")
-    drop(texts, weighed, met)
-    named = reps.select("n_shingles", "lo", "hi", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("n_shingles", "lo", "hi", F.coalesce("component_id", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "lo", "hi").join(named, ["n_shingles", "lo", "hi"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    drop(met)
+    return _named(signed, reps, groups)
+
+
+def _texts_of(rows: DataFrame, reps: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, text of the sets that ``asked`` (id) names: the text of the row that stands for each."""
+    known = keep(reps.join(asked, "id").select("id", F.col("place.doc_id").alias("rep_id"), F.col("place.text_key").alias("rep_key")), "asked")
+    near = prefilter(rows, row_key(F.col("doc_id"), F.col("text_key")), known.select(row_key(F.col("rep_id"), F.col("rep_key")).alias("k")))
+    met = near.join(known, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_key") == F.col("rep_key")))
+    return met.select("id", "text").dropDuplicates(["id"])
+
+
+def _named(signed: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """The component of each row, named by the smallest place in it. Only sets that are linked meet others of their component."""
+    linked = groups.join(reps.select(F.col("id").alias("node"), "place"), "node")
+    least = linked.groupBy("component_id").agg(F.min("place").alias("least"))
+    named = groups.join(least, "component_id").select(F.col("node").alias("id"), "least")
+    of_set = reps.join(named, "id", "left").select("n_shingles", "lo", "hi", F.coalesce("least", "place").alias("least"))
+    out = signed.select("doc_id", "text_key", "n_shingles", "lo", "hi").join(of_set, ["n_shingles", "lo", "hi"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    chosen = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
+    kept = F.when(F.col("doc_id").isNull(), chosen).otherwise(F.col("doc_id").eqNullSafe(component))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen"))
 
 
 #: Counters of token frequencies, a fixed bound; tokens that share one only blur the order.
 COUNTERS = 1 << 20
-#: Rows of one token that are compared in one piece.
-TILE = 4096
+#: Rows of one token that are compared in one piece, and pairs that a task holds.
+TILE, MOST_PAIRS = 1024, 500_000
 #: Bits of a parity bitmap.
 BITMAP = 1024
 
@@ -333,8 +371,8 @@ def _across(num: int, den: int):
             found.clear()
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
 
-        def group(x: list[np.ndarray], last: bool) -> list[np.ndarray] | None:
-            nonlocal held
+        def group(x: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, left
             new = np.flatnonzero((x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])) + 1
             begin, end = np.r_[0, new], np.r_[new, len(x[0])]
             stop = len(begin) if last else len(begin) - 1
@@ -343,33 +381,33 @@ def _across(num: int, den: int):
                     for p in pairs_of(x[5][lo:hi], x[6][lo:hi], x[4][lo:hi], x[7][lo:hi], x[3][lo:hi], int(x[1][lo]), int(x[2][lo])):
                         found.append(p)
                         held += len(p)
-            return None if last else [c[begin[-1] :] for c in x]
+                        if held > MOST_PAIRS:
+                            yield flush()
+                            held = 0
+            left = None if last else [c[begin[-1] :] for c in x]
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [c.to_numpy() for c in batch.columns[:7]]
             cols.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITMAP // 64))
-            left = group(cols if left is None else [np.concatenate(c) for c in zip(left, cols, strict=True)], False)
-            if held > 1_000_000:
-                yield flush()
-                held = 0
+            yield from group(cols if left is None else [np.concatenate(c) for c in zip(left, cols, strict=True)], False)
         if left is not None:
-            group(left, True)
+            yield from group(left, True)
         yield flush()
 
     return run
 
 
-def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+def _dense_links(rows: DataFrame, reps: DataFrame, dense: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """Confirmed links between rows of dense regions that are still in different components: all of them."""
     spark = rows.sparkSession
     if dense.isEmpty():
         return None
-    asked = keep(dense.distinct().join(groups.toDF("id", "label"), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "dense")
-    texts = prefilter(rows, asked.select("id"), "doc_id").join(asked, F.col("doc_id") == F.col("id")).select("id", "text", "label").dropDuplicates(["id"])
-    texts = keep(texts, "texts", texts=True)
-    got = texts.select("id", "text").mapInArrow(_count_tokens(shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    plain = _texts_of(rows, reps, dense.distinct())
+    texts = keep(plain.join(groups.toDF("id", "label"), "id", "left").select("id", "text", F.coalesce("label", "id").alias("label")), "texts")
+    counted = keep(texts.select("id", "text").mapInArrow(_count_tokens(shingle), "slot long, n long"), "counted", texts=True)
+    got = counted.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[got["slot"].to_numpy()] = got["n"].to_numpy()
     rare = keep(texts.select("id", "text", "label").mapInArrow(_rare_tokens(shingle, percent, 100, spark.sparkContext.broadcast(counts)), "token long, id long, n long, label long, bitmap binary"), "rare", texts=True)
@@ -382,7 +420,7 @@ def _dense_links(rows: DataFrame, dense: DataFrame, groups: DataFrame, shingle:
     plain = texts.select("id", "text")
     both = pairs.join(plain.toDF("a", "x"), "a").join(plain.toDF("b", "y"), "b").select("a", "b", "x", "y")
     links = keep(both.mapInArrow(_confirm(shingle, percent, 100), "a long, b long"), "confirmed", texts=True)
-    drop(texts, rare)
+    drop(texts, rare, counted)
     return links
 
 

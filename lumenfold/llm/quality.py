@@ -1,22 +1,26 @@
-"""Quality classifier: weak labellers, expectation-maximisation, hashed linear scorer.
+"""Quality classifier: weak labellers, expectation-maximisation, hashed linear scorers.
 
-1. Heuristic labellers look at a whole text and vote good, bad or nothing; they overlap
-   and disagree. Human labels, where a text has them, are one more labeller.
+Two questions are asked of a text, whether it is good and whether it is clean of insults, each in the same way:
+
+1. Overlapping heuristic labellers look at a whole text and vote good, bad or nothing. Human labels,
+   where a text has them, are one more labeller; no labeller decides alone.
 2. Votes are counted by pattern over all documents. There are at most 3 ** labellers
    patterns, so expectation-maximisation runs on a table of fixed bound, and gives each
    labeller's accuracy and each pattern's posterior of being good.
-3. Posteriors are the targets of a linear scorer over hashed features (word shapes,
-   function words, binned statistics). It is fitted on ``SAMPLE`` documents, those whose
-   ids have the smallest hashes; the bound is a parameter. Scores of all documents come from it.
-4. Toxicity is judged apart: a text with a listed insult is rejected whatever its score, and so is
-   one that a second scorer calls toxic. It is learnt from ``labels.toxic`` on ``TOXIC_SAMPLE`` labelled
-   documents: whole words and word beginnings that toxic documents have more often than others (at most
-   ``MARKERS``, by likelihood ratio) are its features, each with its share of the text's words. Without
-   toxic and other labels both, the list decides alone.
+3. Posteriors are the targets of a linear scorer. It is fitted on a bounded sample, and its score alone decides.
+
+For quality the scorer has hashed features (word shapes, levels of statistics) and is fitted on ``SAMPLE``
+documents, those with the smallest hashes. For toxicity the labellers are a list of insults (any, and two or more) and
+``labels.toxic``; features are the votes of the list and markers: whole words and word beginnings that
+toxic documents have more often than others (at most ``MARKERS``, by likelihood ratio), each with its share of the
+text's words. It is fitted on ``TOXIC_SAMPLE`` documents: labelled ones, where some are labelled toxic and some
+clean, else any. Texts pass through Python once:
+features are stored, and scores come from them.
 
 Defined results
 * null, empty or blank text: score 0, rejected (nothing to learn from).
 * rows that repeat: each row by itself; labels that repeat: the lower quality counts, and the higher toxicity.
+* a label with an id that several rows have holds for all of them; null ids have no labels.
 * empty table: no rows. Labels may be missing or empty. Extra columns pass through in ``filter_documents``.
 """
 
@@ -30,19 +34,20 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fresh_name, keep
+from .common import drop, keep, without
 
 #: Documents that the linear scorer is fitted on, at most, and the size of its hashed weight vector.
 SAMPLE, BUCKETS = 6000, 1 << 14
-EPOCHS, RATE, DECAY = 12, 0.5, 1e-5
+STEPS, RATE, DECAY = 72_000, 0.5, 1e-5
 THRESHOLD = 0.5
 #: Labelled documents that the toxicity scorer is fitted on, and its markers, at most.
 TOXIC_SAMPLE, MARKERS = 6000, 400
+#: Documents that the list of insults, and human labels of toxicity, are trusted for in advance: toxic texts can be very few.
+TRUST = (20.0, 20.0, 100_000.0)
 #: A marker has so many toxic documents and such a likelihood ratio at least; word beginnings have these lengths.
 MARKER_DOCS, MARKER_RATIO, STEMS = 3, 15.0, (3, 4, 5, 6, 7)
 
@@ -63,41 +68,40 @@ _PLAIN = {(shout, tail): _bucket(f"shape {shout} a{tail}") for shout in (False,
 
 
 class Words(dict):
-    """What a word adds to a text: (shape bucket, shout, symbol, bare, insult), remembered up to a bound."""
+    """What a word adds to a text: (shape bucket, shout, symbol, bare), remembered up to a bound."""
 
-    def __missing__(self, w: str) -> tuple[int, bool, bool, bool, bool]:
+    def __missing__(self, w: str) -> tuple[int, bool, bool, bool]:
         # Plain words, alone or before a full stop or comma, are most of a text and cost less than a place here.
         tail = w[-1] if w[-1] in ".," else ""
         plain = w[:-1] if tail else w
         if plain.isalpha():
             shout = len(w) > 1 and plain.isupper()
-            return _PLAIN[shout, tail], shout, False, False, plain.lower() in INSULTS
+            return _PLAIN[shout, tail], shout, False, False
         if len(self) > 50_000:
             self.clear()
-        shape = w[:40]
+        shape = w
         for pattern, to in _SHAPES:
             shape = pattern.sub(to, shape)
         shout = len(w) > 1 and w.isupper()
-        got = self[w] = (_bucket(f"shape {shout} {shape}"), shout, w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS, not any(c.isalnum() for c in w[:4]), _EDGE.sub("", w).lower() in INSULTS)
+        got = self[w] = (_bucket(f"shape {shout} {shape}"), shout, w[-1] in SYMBOLS and w[-2:-1] in SYMBOLS, not any(map(str.isalnum, w)))
         return got
 
 
 class Profile:
-    """One text: statistics (shares between 0 and 1, and the mean word length), shares of word shapes, insults."""
+    """One text: its words, statistics (shares between 0 and 1, and the mean word length) and counts of word shapes."""
 
     def __init__(self, text: str, memo: Words) -> None:
         words = text.split()
         self.n = n = len(words)
         self.stats: dict[str, float] = {}
         self.shapes: dict[int, int] = {}
-        self.insult = False
         self.counts = counts = Counter(words)
         if not n:
             return
         shout = symbol = bare = 0
         shapes = self.shapes
         for w, c in counts.items():
-            bucket, is_shout, is_symbol, is_bare, is_insult = memo[w]
+            bucket, is_shout, is_symbol, is_bare = memo[w]
             shapes[bucket] = shapes.get(bucket, 0) + c
             if is_shout:
                 shout += c
@@ -105,15 +109,13 @@ class Profile:
                 symbol += c
             if is_bare:
                 bare += c
-            if is_insult:
-                self.insult = True
         lines = [x for x in text.split("\n") if x.strip()]
         self.stats = {
             "shout": shout / n,
             "symbol": symbol / n,
             "bare": bare / n,
             "stutter": sum(map(eq, words, words[1:])) / n,
-            "top": max(counts.values()) / n if n >= 20 else 0.0,
+            "top": (max(counts.values()) - 1) / n,
             "same": 1 - len(set(zip(words, words[1:], words[2:], strict=False))) / (n - 2) if n > 2 else 0.0,
             "lines": 1 - len(set(lines)) / max(len(lines), 1),
             "length": sum(map(len, words)) / n,
@@ -157,17 +159,19 @@ def features(p: Profile) -> dict[int, float]:
     return out
 
 
-def grams(counts: Counter) -> Counter:
-    """How many words of a text are each whole word (with a line end behind it) or have each beginning; short words have none."""
-    out: Counter = Counter()
-    for w, c in counts.items():
-        w = _EDGE.sub("", w).lower()[:40]
-        if len(w) >= STEMS[0]:
-            out[w + "\n"] += c
-            for k in STEMS:
-                if len(w) > k:
-                    out[w[:k]] += c
-    return out
+# ---------------------------------------------------------------- toxicity
+
+
+def insults(text: Column) -> Column:
+    """How many words of a text are listed insults. Native, as all texts are asked."""
+    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.isin(*sorted(INSULTS)))
+    return F.coalesce(F.size(found), F.lit(0))
+
+
+def grams(word: str) -> tuple[str, ...]:
+    """The whole word, with a line end behind it, and its beginnings; short words have none."""
+    w = _EDGE.sub("", word).lower()
+    return (w + "\n", *(w[:k] for k in STEMS if len(w) > k)) if len(w) >= STEMS[0] else ()
 
 
 def _weight(count: int, n: int) -> float:
@@ -175,107 +179,129 @@ def _weight(count: int, n: int) -> float:
 
 
 class Toxic:
-    """Markers with their weights, and a bias. A text without a marker is not toxic."""
+    """Markers and votes of the list with their weights, and a bias."""
 
     def __init__(self, markers: list[str], weights: np.ndarray) -> None:
-        self.weights = dict(zip(markers, weights[: len(markers)].tolist(), strict=True))
-        self.bias = float(weights[-1])
-        self.starts = frozenset(m[: STEMS[0]] for m in markers)
-
-    def __call__(self, p: Profile) -> bool:
-        if not self.weights:
-            return False
-        near: Counter = Counter()
-        for w, c in p.counts.items():
-            # Words with another beginning than any marker are most of a text.
-            if not w[0].isalnum() or w[: STEMS[0]].lower()[: STEMS[0]] in self.starts:
-                near[w] = c
-        found = [(self.weights[g], c) for g, c in grams(near).items() if g in self.weights] if near else []
-        return bool(found) and sum(x * _weight(c, p.n) for x, c in found) + self.bias >= 0
+        self.place = {m: i for i, m in enumerate(markers)}
+        self.weights = weights.tolist()  # of markers, of the two votes, bias
+        self.memo: dict[str, tuple[int, ...]] = {}
 
+    def marked(self, counts: Counter) -> dict[int, int]:
+        """Words of a text that have each marker."""
+        memo, found = self.memo, {}
+        for w, c in counts.items():
+            got = memo.get(w)
+            if got is None:
+                if len(memo) > 100_000:
+                    memo.clear()
+                got = memo[w] = tuple(self.place[g] for g in grams(w) if g in self.place)
+            for i in got:
+                found[i] = found.get(i, 0) + c
+        return found
 
-def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, keys, counts = [], [], []
-        for text in batch.column(1):
-            words = (text.as_py() or "").split()
-            got = grams(Counter(words))
-            sizes.append(len(words))
-            keys.append(list(got))
-            counts.append(list(got.values()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "n", "keys", "counts"])
+    def features(self, counts: Counter, n: int, listed: int) -> list[tuple[int, float]]:
+        out = [(i, _weight(c, n)) for i, c in self.marked(counts).items()]
+        m = len(self.place)
+        return sorted(out + [(m, 1.0)] * (listed > 0) + [(m + 1, 1.0)] * (listed > 1))
 
+    def __call__(self, counts: Counter, n: int, listed: int) -> float:
+        return sum(self.weights[i] * x for i, x in self.features(counts, n, listed)) + self.weights[-1]
 
-def _marked_of(place: dict[str, int]):
+
+def _grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posterior mass of toxic and of clean texts that hold each gram: partial sums of a task over a bounded sample."""
+    memo: dict[str, tuple[str, ...]] = {}
+    mass: dict[str, list[float]] = {}
+    for batch in batches:
+        for bad, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held: set[str] = set()
+            for w in set((text.as_py() or "").split()):
+                if (got := memo.get(w)) is None:
+                    if len(memo) > 200_000:
+                        memo.clear()
+                    got = memo[w] = grams(w)
+                held.update(got)
+            for g in held:
+                m = mass.get(g)
+                if m is None:
+                    mass[g] = [bad, 1 - bad]
+                else:
+                    m[0] += bad
+                    m[1] += 1 - bad
+            if len(mass) > 500_000:
+                yield _masses(mass)
+                mass.clear()
+    yield _masses(mass)
+
+
+def _masses(mass: dict[str, list[float]]) -> pa.RecordBatch:
+    a, b = ([m[k] for m in mass.values()] for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(list(mass), pa.string()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["gram", "a", "b"])
+
+
+def _marked_of(toxic: Toxic):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, values = [], []
-            for n, names, counts in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                held = [(place[g], _weight(c, n)) for g, c in zip(names, counts, strict=True) if g in place]
+            for text, listed in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = (text.as_py() or "").split()
+                held = toxic.features(Counter(words), len(words), listed)
                 keys.append([k for k, _ in held])
                 values.append([v for _, v in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["toxic", "keys", "vals"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["bad", "keys", "vals"])
 
     return run
 
 
 def learn_toxic(rows: DataFrame, told: DataFrame) -> Toxic:
-    """``rows``: doc_id, text; ``told``: doc_id and toxic (0 or 1), no more than a bounded sample."""
-    texts = rows.join(F.broadcast(told), "doc_id").select("toxic", "text").mapInArrow(_grams_of, "toxic int, n long, keys array<string>, counts array<long>")
-    held = keep(texts, "grams", texts=True)
-    n = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        return Toxic([], np.zeros(1))
-    each = held.select("toxic", F.explode("keys").alias("gram")).groupBy("gram").agg(F.count_if(F.col("toxic") == 1).cast("double").alias("a"), F.count_if(F.col("toxic") == 0).cast("double").alias("b"))
-    share = n[1] / (n[0] + n[1])
+    """``rows``: doc_id, text, text_key; ``told``: doc_id, text_key, bad (posterior of being toxic), listed; no more than a bounded sample."""
+    texts = rows.join(F.broadcast(told), ["doc_id", "text_key"]).select("bad", "text", "listed")
+    texts = keep(texts, "toxic")
+    total = texts.agg(F.sum("bad").alias("a"), F.sum(1 - F.col("bad")).alias("b")).first()
+    if not total["a"] or not total["b"]:
+        drop(texts)
+        return Toxic([], np.array([0.0, 0.0, -1.0]))
+    each = texts.select("bad", "text").mapInArrow(_grams_of, "gram string, a double, b double").groupBy("gram").agg(F.round(F.sum("a"), 6).alias("a"), F.round(F.sum("b"), 6).alias("b"))
+    share = total["a"] / (total["a"] + total["b"])
     a, b, both = F.col("a"), F.col("b"), F.col("a") + F.col("b")
     ratio = 2 * (a * F.log(a / (both * share)) + F.when(b > 0, b * F.log(b / (both * (1 - share)))).otherwise(0.0))
     often = each.filter((a >= MARKER_DOCS) & (a > both * share)).withColumn("ratio", ratio).filter(F.col("ratio") >= MARKER_RATIO)
     markers = [r["gram"] for r in often.orderBy(F.round("ratio", 9).desc(), "gram").limit(MARKERS).collect()]
-    got = held.mapInArrow(_marked_of({g: i for i, g in enumerate(markers)}), "toxic int, keys array<int>, vals array<double>").collect()
-    drop(held)
-    fitted = sorted(([(k, v) for k, v in sorted(zip(r["keys"], r["vals"], strict=True))], r["toxic"]) for r in got)
-    weights = fit([([k for k, _ in x], [v for _, v in x], float(y)) for x, y in fitted])
-    return Toxic(markers, np.append(weights[: len(markers)], weights[BUCKETS]))
+    made = Toxic(markers, np.zeros(len(markers) + 3))
+    got = texts.select("bad", "text", "listed").mapInArrow(_marked_of(made), "bad double, keys array<int>, vals array<double>").collect()
+    drop(texts)
+    fitted = sorted((list(r["keys"]), list(r["vals"]), r["bad"]) for r in got)
+    weights = fit(fitted)
+    return Toxic(markers, np.append(weights[: len(markers) + 2], weights[BUCKETS]))
 
 
-def _votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = Words()
-    for batch in batches:
-        out = []
-        for text in batch.column(1):
-            p = Profile(text.as_py() or "", memo)
-            out.append("".join("-0+"[v + 1] for v in votes(p.stats)) if p.n else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "votes"])
-
+# ------------------------------------------------------------------ labels
 
-def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = Words()
-    for batch in batches:
-        keys, values = [], []
-        for text in batch.column(1):
-            f = features(Profile(text.as_py() or "", memo))
-            keys.append(list(f))
-            values.append(list(f.values()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "keys", "vals"])
 
+def weak_labels(patterns: dict[str, int], rounds: int = 60, labellers: tuple[str, ...] = NAMES, trust: float | tuple[float, ...] = 2.0, start: tuple[float, float, float] = (0.5, 2.5, 4.0), silence: bool = True) -> tuple[dict[str, float], dict[str, float]]:
+    """Posterior of being good for each vote pattern, and each labeller's accuracy, by expectation-maximisation.
 
-def weak_labels(patterns: dict[str, int], rounds: int = 60, labellers: tuple[str, ...] = NAMES) -> tuple[dict[str, float], dict[str, float]]:
-    """Posterior of being good for each vote pattern, and each labeller's accuracy, by expectation-maximisation."""
+    ``trust``: documents that each labeller is taken to have judged rightly before any is seen, against one of each other vote.
+    ``start``: weights of a good vote, a bad one and the last labeller's in the first guess; a bad vote weighs more, as
+    most labellers look for one kind of damage each. ``silence``: whether no vote tells something too.
+    """
     names = sorted(patterns)
     if not names:
         return {}, {}
     count = np.array([patterns[p] for p in names], float)
     vote = np.array([[1 if c == "+" else -1 if c == "-" else 0 for c in p] for p in names])
-    # Start from the net vote; a bad vote weighs more, as most labellers look for one kind of damage each.
-    good = 1 / (1 + np.exp(-(0.5 * (vote > 0).sum(1) - 2.5 * (vote < 0).sum(1) + 4.0 * vote[:, -1])))
+    good = 1 / (1 + np.exp(-(start[0] * (vote > 0).sum(1) - start[1] * (vote < 0).sum(1) + start[2] * vote[:, -1])))
     accuracy = np.zeros(vote.shape[1])
     for _ in range(rounds):
         table = np.zeros((2, 3, vote.shape[1]))  # class, vote, labeller
         for z, weight in enumerate(((1 - good) * count, good * count)):
             for v in (-1, 0, 1):
-                table[z, v + 1] = ((vote == v) * weight[:, None]).sum(0) + (2.0 if v == (1 if z else -1) else 1.0)
+                table[z, v + 1] = ((vote == v) * weight[:, None]).sum(0) + (np.asarray(trust) if v == (1 if z else -1) else 1.0)
+        if not silence:
+            table[:, 1] = 0
         table /= table.sum(1, keepdims=True)
+        if not silence:
+            table[:, 1] = 1
         prior = float((good * count).sum() / count.sum())
         prior = min(max(prior, 1e-3), 1 - 1e-3)
         j = np.arange(vote.shape[1])
@@ -292,7 +318,7 @@ def fit(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
     w, g = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-6)
     rows = [(np.array([*k, BUCKETS], np.int64), np.array([*v, 1.0]), y) for k, v, y in rows]
     rng = np.random.default_rng(11)
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS // max(len(rows), 1)) if rows else 0):
         for i in rng.permutation(len(rows)).tolist():
             k, v, y = rows[i]
             d = (1 / (1 + np.exp(-np.clip(w[k] @ v, -30, 30))) - y) * v + DECAY * w[k]
@@ -302,68 +328,137 @@ def fit(rows: list[tuple[list[int], list[float], float]]) -> np.ndarray:
 
 
 class Model:
+    """Weights of the quality scorer, accuracies and posteriors of both questions, and the toxicity scorer."""
+
     def __init__(self, weights: np.ndarray, accuracy: dict[str, float], patterns: dict[str, float], toxic: Toxic) -> None:
         self.weights, self.accuracy, self.patterns, self.toxic = weights, accuracy, patterns, toxic
 
 
+_LOOKED = "doc_id long, text_key long, votes string, toxic double, keys array<int>, vals array<float>"
+
+
+def _look(toxic: Toxic):
+    """Votes on quality, the toxicity score and the hashed features of each text. Null votes: no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        for batch in batches:
+            told, scores, keys, values = [], [], [], []
+            for text, listed in zip(batch.column(1), batch.column(3).to_pylist(), strict=True):
+                p = Profile(text.as_py() or "", memo)
+                f = features(p)
+                told.append("".join("-0+"[v + 1] for v in votes(p.stats)) if p.n else None)
+                scores.append(toxic(p.counts, p.n, listed) if p.n else 0.0)
+                keys.append(list(f))
+                values.append(list(f.values()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(told, pa.string()), pa.array(scores, pa.float64()), pa.array(keys, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["doc_id", "text_key", "votes", "toxic", "keys", "vals"])
+
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), insults(text).alias("listed"))
+
+
+def _told(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """doc_id, text_key, listed and the human votes of every row; no texts."""
+    each = rows.select("doc_id", "text_key", "listed")
+    if labels is None:
+        return each.withColumns({"good": F.lit("0"), "clean": F.lit("0")})
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
+    by = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(toxic).cast("int").alias("t"))
+    good = F.when(F.col("q") == 1, "+").when(F.col("q") == 0, "-").otherwise("0")
+    clean = F.when(F.col("t") == 0, "+").when(F.col("t") == 1, "-").otherwise("0")
+    return each.join(by, "doc_id", "left").select("doc_id", "text_key", "listed", good.alias("good"), clean.alias("clean"))
+
+
+def _count(patterns: DataFrame) -> dict[str, int]:
+    """pattern -> rows; there are 3 ** labellers patterns at most."""
+    return {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+
+
+def _drawn(df: DataFrame, n: int, *first: Column) -> DataFrame:
+    """A sample by a hash of the row, so that it does not depend on partitions."""
+    return df.orderBy(*first, F.xxhash64("doc_id", "text_key", F.lit(17)), "doc_id", "text_key").limit(n)
+
+
+def _learn_toxicity(rows: DataFrame, told: DataFrame) -> Toxic:
+    any_listed = F.when(F.col("listed") > 0, "-").otherwise("+")
+    many_listed = F.when(F.col("listed") > 1, "-").otherwise("0")
+    voted = told.withColumn("pattern", F.concat(any_listed, many_listed, "clean"))
+    counts = _count(voted)
+    posterior, _ = weak_labels(counts, labellers=("list", "list twice", "label"), trust=TRUST, start=(3.0, 3.0, 6.0), silence=False)
+    if not posterior:
+        return Toxic([], np.array([0.0, 0.0, -1.0]))
+    known = F.create_map(*[F.lit(x) for kv in sorted(posterior.items()) for x in kv])
+    # Where people told toxic and clean texts apart, theirs are the sample: posteriors of others are no better than the list.
+    if {p[-1] for p in counts} >= {"+", "-"}:
+        voted = voted.filter("clean <> '0'")
+    sample = _drawn(voted.select("doc_id", "text_key", "listed", (1 - known[F.col("pattern")]).alias("bad")), TOXIC_SAMPLE)
+    return learn_toxic(rows, sample.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "bad", "listed"))
+
+
+def _learn(docs: DataFrame, labels: DataFrame | None, sample: int, id_col: str, text_col: str) -> tuple[Model, DataFrame]:
+    """The model, and the features of all rows."""
+    rows = _rows(docs, id_col, text_col)
+    told = keep(_told(rows, labels), "told")
+    toxic = _learn_toxicity(rows.drop("listed"), told)
+    looked = keep(rows.mapInArrow(_look(toxic), _LOOKED), "looked", texts=True)
+    human = told.select("doc_id", "text_key", "good").distinct()
+    voted = looked.select("doc_id", "text_key", "votes").filter("votes is not null").join(human.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    voted = keep(voted.select("doc_id", "text_key", F.concat("votes", "good").alias("pattern")), "votes")
+    posterior, accuracy = weak_labels(_count(voted))
+    chosen = _drawn(voted, sample).dropDuplicates(["doc_id", "text_key"])
+    # The sample is bounded by its parameter; only its features leave the executors.
+    picked = looked.join(F.broadcast(chosen.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    got = picked.dropDuplicates(["doc_id", "text_key"]).select("pattern", "keys", "vals").collect()
+    fitted = sorted((list(r["keys"]), list(r["vals"]), posterior[r["pattern"]]) for r in got)
+    drop(voted, told)
+    return Model(fit(fitted), accuracy, posterior, toxic), looked
+
+
 def train(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Count votes over all documents, weigh labellers, fit the scorers on bounded samples."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    voted = rows.mapInArrow(_votes_of, "doc_id long, votes string").filter("votes is not null")
-    if labels is not None:
-        toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None)
-        told = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(toxic).cast("int").alias("toxic"))
-        voted = voted.join(told, "doc_id", "left")
-        human = F.when(F.col("quality") == 1, "+").when(F.col("quality") == 0, "-").otherwise("0")
-    else:
-        human = F.lit("0")
-        voted = voted.withColumn("toxic", F.lit(None).cast("int"))
-    voted = keep(voted.select("doc_id", F.concat("votes", human).alias("pattern"), "toxic"), "votes", texts=True)
-    counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    posterior, accuracy = weak_labels(counts)
-    total = sum(counts.values())
-    order = F.xxhash64("doc_id", F.lit(17))
-    chosen = voted.select("doc_id", "pattern").orderBy(order, "doc_id").limit(sample) if total > sample else voted.select("doc_id", "pattern")
-    chosen = chosen.dropDuplicates(["doc_id"])
-    # The sample is bounded by its parameter; its texts are found by a join and only features leave the executors.
-    picked = rows.join(F.broadcast(chosen), "doc_id").select("pattern", "text").mapInArrow(_features_of, "pattern string, keys array<int>, vals array<double>").collect()
-    fitted = sorted((tuple(r["keys"]), tuple(r["vals"]), r["pattern"]) for r in picked)
-    judged = voted.filter(F.col("toxic").isin(0, 1)).select("doc_id", "toxic").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).dropDuplicates(["doc_id"])
-    toxic = learn_toxic(rows, judged) if labels is not None else Toxic([], np.zeros(1))
-    return Model(fit([(list(k), list(v), posterior[p]) for k, v, p in fitted]), accuracy, posterior, toxic)
-
-
-def score(model: Model, text: Column) -> Column:
-    """struct<score double, insult boolean, toxic boolean> of a text; toxic: by the list or the learnt markers."""
-
-    @F.pandas_udf("score double, insult boolean, toxic boolean")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        weights, memo = model.weights, Words()
-        for series in texts:
-            scores, rude, toxic = np.zeros(len(series)), np.zeros(len(series), bool), np.zeros(len(series), bool)
-            for i, t in enumerate(series):
-                p = Profile(t or "", memo)
-                if not p.n:
-                    continue
-                f = features(p)
-                x = weights[list(f)] @ np.array(list(f.values())) + weights[BUCKETS]
-                scores[i] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                rude[i] = p.insult
-                toxic[i] = p.insult or model.toxic(p)
-            yield pd.DataFrame({"score": scores, "insult": rude, "toxic": toxic})
+    model, looked = _learn(docs, labels, sample, id_col, text_col)
+    drop(looked)
+    return model
 
-    return run(text)
+
+def _score(weights: np.ndarray):
+    """score of stored features; no words: 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, vals = batch.column(4), batch.column(5)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            k, v = lists.flatten().to_numpy(), vals.flatten().to_numpy().astype(np.float64)
+            x = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights[k] * v, len(sizes)) + weights[BUCKETS]
+            fine = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            score = np.where(fine, 1 / (1 + np.exp(-np.clip(x, -30, 30))), 0.0)
+            bad = batch.column(3).to_numpy() >= 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array(fine & bad)], names=["doc_id", "text_key", "score", "toxic"])
+
+    return run
+
+
+def _judged(looked: DataFrame, model: Model) -> DataFrame:
+    got = looked.mapInArrow(_score(model.weights), "doc_id long, text_key long, score double, toxic boolean")
+    return got.withColumn("kept", (F.col("score") >= THRESHOLD) & ~F.col("toxic"))
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, insult, toxic, kept for every row."""
-    got = docs.select(F.col(id_col).alias("doc_id"), score(model, F.col(text_col)).alias("_s"))
-    fine = (F.col("_s.score") >= THRESHOLD) & ~F.col("_s.toxic")
-    return got.select("doc_id", F.col("_s.score").alias("score"), F.col("_s.insult").alias("insult"), F.col("_s.toxic").alias("toxic"), fine.alias("kept"))
+    """doc_id, text_key, score, toxic, kept for every row, by a model that was trained before."""
+    return _judged(keep(_rows(docs, id_col, text_col).mapInArrow(_look(model.toxic), _LOOKED), "looked", texts=True), model)
+
+
+def train_and_classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same for the documents that the model is trained on: texts are looked at once."""
+    model, looked = _learn(docs, labels, sample, id_col, text_col)
+    return _judged(looked, model)
 
 
-def filter_documents(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The accepted rows, with the columns they have."""
-    name = fresh_name(docs, "verdict")
-    scored = docs.withColumn(name, score(model, F.col(text_col)))
-    return scored.filter((F.col(name)["score"] >= THRESHOLD) & ~F.col(name)["toxic"]).select(*docs.columns)
+def filter_documents(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The accepted rows, with the columns they have. Rows are known by id and text."""
+    judged = keep(train_and_classify(docs, labels, id_col=id_col, text_col=text_col), "judged")
+    return without(docs, judged.filter("not kept").select("doc_id", "text_key"), id_col, text_col)

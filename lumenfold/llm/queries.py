@@ -50,7 +50,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored; labels of the table are one labeller."""
     docs = table(spark, sf_dir, "documents")
-    return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return quality.train_and_classify(docs, table(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three-word shingles, similarity 0.85 or more."""
-    return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -268,8 +268,8 @@ def test_quality(spark):
     assert len(got) == len(rows)
     r = {x["doc_id"]: x for x in got}
     assert all(r[i]["kept"] for i in range(30)) and not any(r[100 + i]["kept"] for i in range(15))
-    assert not r[200]["kept"] and r[201]["score"] == 0 and r[203]["insult"] and not r[203]["kept"]
-    assert quality.filter_documents(df, model).columns == df.columns
+    assert not r[200]["kept"] and r[201]["score"] == 0 and r[203]["toxic"] and not r[203]["kept"]
+    assert quality.filter_documents(df, labels).columns == df.columns
     empty = quality.train(df.limit(0), None)
     assert quality.classify(df.limit(0), empty).count() == 0
 
@@ -412,11 +412,14 @@ def test_components(spark):
 def test_membership_filter_never_misses(spark):
     keys = spark.range(0, 3000, 3).toDF("k")
     df = spark.range(3000).toDF("k")
-    kept = {x["k"] for x in common.prefilter(df, keys, "k").collect()}
+    kept = {x["k"] for x in common.prefilter(df, F.col("k"), keys).collect()}
     assert set(range(0, 3000, 3)) <= kept and len(kept) < 1200
-    rows = spark.createDataFrame([(1,), (2,), (None,)], "k long")
-    assert sorted(x["k"] for x in common.without(rows, spark.createDataFrame([(2,)], "k long"), "k").filter("k is not null").collect()) == [1]
-    assert common.without(rows, spark.createDataFrame([(2,)], "k long"), "k").count() == 2
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "b"), (2, "a"), (3, None)], "doc_id long, text string").withColumn("maybe", F.lit(1))
+    gone = rows.filter("(doc_id = 1 and text = 'a') or (doc_id is null and text = 'b')").select("doc_id", F.xxhash64("text").alias("text_key"))
+    left = sorted(common.without(rows, gone).select("doc_id", "text").collect(), key=str)
+    assert [tuple(x) for x in left] == [(1, "b"), (2, "a"), (2, "a"), (3, None), (None, "a")]
+    twice = rows.filter("doc_id = 2").select("doc_id", F.xxhash64("text").alias("text_key"))
+    assert common.once(rows, twice).count() == 6 and common.once(rows, twice).columns == rows.columns
 
 
 # ------------------------------------------------------------------ 6 WARC

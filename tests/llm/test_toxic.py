@@ -17,8 +17,9 @@ def test_toxic_documents_of_every_language_go(spark):
     assert all(r["kept"] <= 0.15 if told else r["kept"] >= 0.97 for (_, told), r in by.items())
 
 
-def test_the_list_decides_where_no_label_is_toxic(spark):
+def test_the_list_is_one_labeller(spark):
+    """Without human labels of toxicity the list teaches the scorer; a human label outweighs it."""
     docs = spark.createDataFrame([(i, "plain words of a plain text" + " you idiot" * (i == 3)) for i in range(6)], "doc_id long, text string")
-    for labels in (None, spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int"), spark.createDataFrame([(0, 1)], "doc_id long, quality int")):
+    for labels, expected in ((None, [3]), (spark.createDataFrame([(0, 1)], "doc_id long, quality int"), [3]), (spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int"), [])):
         got = quality.classify(docs, quality.train(docs, labels)).collect()
-        assert [r["doc_id"] for r in got if r["toxic"]] == [3]
+        assert [r["doc_id"] for r in got if r["toxic"]] == expected
