@@ -13,14 +13,16 @@ document with a smaller id, or earlier in the same one.
    sorted directly, all others are induced by scanning the buckets of first bytes, and
    prefixes common to neighbours in that order show which strings are equal.
 4. An anchor with more than ``MANY`` different stretches is dealt by longer grams that
-   hold most of the string, so its stretches spread over tasks.
+   hold most of the string, so its stretches spread over tasks. Whether it has is known while its stretches
+   stream by, sorted, so no second look at hot anchors is needed.
 
 Suffixes of different tasks share no anchor, hence no string. Texts never meet in
 one place: a task sorts chunks of a few MB.
 
 Defined results
 * null or empty text: nothing removed, the digest of no bytes. Texts below ``length`` bytes stay whole.
-* rows that repeat with one id: one document, not a repeat of itself; each row gets the same result.
+* a document is an id and a text. Rows that repeat as a whole are one document, not a repeat of itself; each
+  gets the same result. Rows that share an id but not a text are documents in the order of their texts' hashes.
 * null id: before every other document. Empty table: no rows. Extra columns are ignored.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep, may_hold, prefilter
 from .minhash import mix64
 
 LENGTH = 100
@@ -116,15 +118,15 @@ def stretches(data: np.ndarray, begin: np.ndarray, count: np.ndarray, length: in
     return text[new], s, size, grams[a].view(np.int64), digest.view(np.int64)
 
 
-def _pieces(ids: list, texts: pa.Array, length: int) -> Iterator[tuple]:
-    """Buffers of about CHUNK bytes: data, document ids, begins in the buffer, places in the document, strings.
+def _pieces(ids: list, keys: list, texts: pa.Array, length: int) -> Iterator[tuple]:
+    """Buffers of about CHUNK bytes: data, documents (id, text hash), begins in the buffer, places in the document, strings.
 
     A longer text comes in pieces that overlap by length - 1 bytes.
     """
-    parts, docs, begin, place, count, size = [], [], [], [], [], 0
+    parts, docs, hashes, begin, place, count, size = [], [], [], [], [], [], 0
 
     def done() -> tuple:
-        return np.frombuffer(b"".join(parts), np.uint8), np.array(docs, np.int64), np.array(begin, np.int64), np.array(place, np.int64), np.array(count, np.int64)
+        return np.frombuffer(b"".join(parts), np.uint8), *(np.array(x, np.int64) for x in (docs, hashes, begin, place, count))
 
     for k, doc in enumerate(ids):
         text = texts[k].as_py()
@@ -132,88 +134,112 @@ def _pieces(ids: list, texts: pa.Array, length: int) -> Iterator[tuple]:
         for at in range(0, len(data) - length + 1, CHUNK):
             piece = data[at : at + CHUNK + length - 1]
             parts.append(piece)
-            docs.append(_FIRST if doc is None else doc)
+            docs.append(doc)
+            hashes.append(keys[k])
             begin.append(size)
             place.append(at)
             count.append(min(CHUNK, len(data) - length + 1 - at))
             size += len(piece)
             if size >= CHUNK:
                 yield done()
-                parts, docs, begin, place, count, size = [], [], [], [], [], 0
+                parts, docs, hashes, begin, place, count, size = [], [], [], [], [], [], 0
     if parts:
         yield done()
 
 
-# kind 0: a stretch that was first here; kind 1: a run of starts that are repeats; kind 2: an anchor with many stretches.
-_ROW = "kind int, gram long, digest long, doc long, start int, size int"
+# A shuffled row is five longs; place: start, size (below 2 ** 15) and whether the stretch is a known repeat.
+_PACKED = "gram long, digest long, doc long, part long, place long"
+# kind 0: a stretch that was first here, of an anchor with several; kind 1: a run of starts that are repeats; kind 2: as 0, of an anchor with many.
+_ROW = "kind int, gram long, doc long, part long, start int, size int"
 
 
-def _rows(kind, gram, digest, doc, start, size) -> pa.RecordBatch:
+def _rows(kind: int, gram, doc, part, start, size) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32) if np.isscalar(kind) else kind), pa.array(gram), pa.array(digest), pa.array(doc), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["kind", "gram", "digest", "doc", "start", "size"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(gram), pa.array(doc), pa.array(part), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["kind", "gram", "doc", "part", "start", "size"])
 
 
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, docs, begin, place, count in _pieces(batch.column(0).to_pylist(), batch.column(1), length):
+            for data, docs, hashes, begin, place, count in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), length):
                 text, s, size, gram, digest = stretches(data, begin, count, length)
-                doc, start = docs[text], s - begin[text] + place[text]
-                order = np.lexsort((start, doc, digest, gram))
-                gram, digest, doc, start, size = gram[order], digest[order], doc[order], start[order], size[order]
+                doc, part, start = docs[text], hashes[text], s - begin[text] + place[text]
+                order = np.lexsort((start, part, doc, digest, gram))
+                gram, digest, doc, part, start, size = (x[order] for x in (gram, digest, doc, part, start, size))
                 new = np.r_[True, (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])] if len(gram) else np.zeros(0, bool)
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                again = ~new & ((doc != doc[lead]) | (start != start[lead]))
+                again = ~new & ((doc != doc[lead]) | (part != part[lead]) | (start != start[lead]))
                 kept = new | again
-                yield _rows(again[kept].astype(np.int32), gram[kept], digest[kept], doc[kept], start[kept], size[kept])
+                packed = (start << 16) | (size << 1) | again
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (gram, digest, doc, part, packed)], names=["gram", "digest", "doc", "part", "place"])
 
     return run
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by gram, digest, doc, start: repeats, and first stretches of anchors that have several. One row is carried."""
-    carry = None  # the last row, the first row of its digest, whether its anchor has several digests, how many
+    """Sorted by gram, digest, document, start: repeats, and first stretches of anchors that have several.
+
+    Carried on: the first row of the running digest, and up to MANY first stretches of the running anchor.
+    """
+    lead: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # they wait for the anchor to have several, or many
+    seen, many = 0, False
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held and seen > 1:
+            yield _rows(0, *[np.concatenate(c) for c in zip(*held, strict=True)])
+        held.clear()
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        kind, gram, digest, doc, start, size = (batch.column(k).to_numpy() for k in range(6))
-        passed = kind == 1
+        gram, digest, doc, part, place = (batch.column(k).to_numpy() for k in range(5))
+        start, size, passed = place >> 16, (place & 0xFFFF) >> 1, (place & 1) == 1
         if passed.any():
-            yield _rows(1, gram[passed], digest[passed], doc[passed], start[passed], size[passed])
-            k = ~passed
-            gram, digest, doc, start, size = gram[k], digest[k], doc[k], start[k], size[k]
-        if not len(gram):
+            yield _rows(1, gram[passed], doc[passed], part[passed], start[passed], size[passed])
+        cols = [x[~passed] for x in (gram, digest, doc, part, start, size)]
+        if not len(cols[0]):
             continue
-        n0 = 0
-        if carry is not None:
-            gram, digest, doc, start, size = (np.r_[np.array([c], x.dtype), x] for c, x in zip(carry[0], (gram, digest, doc, start, size), strict=True))
-            n0 = 1
-        new_gram = np.r_[True, gram[1:] != gram[:-1]]
-        new = new_gram | np.r_[True, digest[1:] != digest[:-1]]
-        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((doc != doc[lead]) | (start != start[lead]))
-        of = np.cumsum(new_gram) - 1
-        several = np.bincount(of[new], minlength=of[-1] + 1)
-        before = carry[2] if carry is not None else 0
-        several[0] += before  # digests of the carried anchor that came before the carried row
-        many = np.flatnonzero(several > MANY)
-        rows = np.flatnonzero(new & (several[of] > 1))
-        last = len(gram) - 1
-        # The carried first stretch was already told if its anchor had several before this batch.
-        if carry is not None and carry[3]:
-            rows = rows[rows != 0]
-        pending = lead[last]
-        told = bool(several[of[last]] > 1)
-        if not told:
-            rows = rows[rows != pending]
+        carried = lead is not None
+        if carried:
+            cols = [np.concatenate(x) for x in zip(lead, cols, strict=True)]
+        gram, digest, doc, part, start, size = cols
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (digest[1:] != digest[:-1])]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = ~new & ((doc != doc[first]) | (part != part[first]) | (start != start[first]))
         if again.any():
-            yield _rows(1, gram[again], digest[again], doc[again], start[again], size[again])
-        if len(rows):
-            yield _rows(0, gram[rows], digest[rows], doc[rows], start[rows], size[rows])
-        if len(many):
-            at = np.flatnonzero(new_gram)[many]
-            yield _rows(2, gram[at], digest[at], doc[at], start[at], size[at])
-        carry = ((gram[pending], digest[pending], doc[pending], start[pending], size[pending]), None, int(several[of[last]]) - 1, told)
+            yield _rows(1, gram[again], doc[again], part[again], start[again], size[again])
+        new[0] = not carried
+        rows = np.flatnonzero(new)
+        edges = np.flatnonzero(np.r_[True, gram[rows][1:] != gram[rows][:-1]]) if len(rows) else rows
+        ends = np.r_[edges[1:], len(rows)]
+        if carried and len(rows) and gram[rows[0]] != gram[0]:  # the running anchor is over
+            yield from close()
+            seen, many = 0, False
+        for k in (0, len(edges) - 1):  # the anchor that runs on from before, and the one that may go on
+            if not len(edges) or (k == 0 and len(edges) > 1 and not (carried and gram[rows[0]] == gram[0])):
+                continue
+            if k:
+                yield from close()
+                seen, many = 0, False
+            own = [x[rows[edges[k] : ends[k]]] for x in (gram, doc, part, start, size)]
+            seen += len(own[0])
+            held.append(own)
+            if seen > MANY:
+                many = True
+            if many:
+                yield _rows(2, *[np.concatenate(c) for c in zip(*held, strict=True)])
+                held.clear()
+            if len(edges) == 1:
+                break
+        begin = 1 if carried and len(rows) and gram[rows[0]] == gram[0] else 0
+        if len(edges) > 1:  # anchors that lie in this batch as a whole
+            sizes = (ends - edges)[begin:-1]
+            of = np.repeat(sizes, sizes)
+            inside = rows[edges[begin] : edges[-1]]
+            for kind, ok in ((0, (of > 1) & (of <= MANY)), (2, of > MANY)):
+                if ok.any():
+                    yield _rows(kind, *[x[inside[ok]] for x in (gram, doc, part, start, size)])
+        lead = [x[first[-1:]] for x in cols]
+    yield from close()
 
 
 def _cut(length: int):
@@ -224,25 +250,25 @@ def _cut(length: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "start", "data"])
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc", "part", "start", "data"])
             out.clear()
             return got
 
         for batch in batches:
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, part, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 for f in found.as_py():
                     s, n = f["start"], f["size"]
                     if not f["many"]:
-                        out.append((f["gram"], doc, s, data[s : s + n + length - 1]))
+                        out.append((f["gram"], doc, part, s, data[s : s + n + length - 1]))
                     else:
                         for lo, hi, core in _parts(data, s, n, f["gram"], length):
-                            out.append((core, doc, lo, data[lo : hi + length]))
+                            out.append((core, doc, part, lo, data[lo : hi + length]))
                     held += n + length
-            if held > CHUNK:
-                yield flush()
-                held = 0
+                    if held > CHUNK:
+                        yield flush()
+                        held = 0
         yield flush()
 
     return run
@@ -396,35 +422,44 @@ def repeats(docs: np.ndarray, starts: np.ndarray, pieces: list[bytes], length: i
     return doc_at[order[later]], start_at[order[later]]
 
 
+def _ranks(doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each document among those at hand, and a row of each."""
+    order = np.lexsort((part, doc))
+    new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (part[order][1:] != part[order][:-1])] if len(doc) else np.zeros(0, bool)
+    rank = np.zeros(len(doc), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, order[new]
+
+
 def _sort_pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, starts, pieces, held = [], [], [], [], 0
+        rows: list[tuple] = []  # key, doc, part, start, data
+        held = 0
 
-        def flush(upto: int) -> pa.RecordBatch:
-            nonlocal keys, docs, starts, pieces, held
-            k = np.array(keys[:upto], np.int64)
-            edge = np.r_[True, k[1:] != k[:-1], True] if upto else np.zeros(1, bool)
+        def flush() -> pa.RecordBatch:
+            k = np.array([r[0] for r in rows], np.int64)
+            edge = np.r_[True, k[1:] != k[:-1], True] if rows else np.zeros(1, bool)
             alone = edge[:-1] & edge[1:]  # nobody shares their key
-            rows = np.flatnonzero(~alone[:upto])
-            doc, start = repeats(np.array(docs, np.int64)[rows], np.array(starts, np.int64)[rows], [pieces[i] for i in rows.tolist()], length) if len(rows) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            keys, docs, starts, pieces = keys[upto:], docs[upto:], starts[upto:], pieces[upto:]
-            held = sum(map(len, pieces))
-            o = np.lexsort((start, doc))
-            doc, start = doc[o], start[o]
-            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-            last = np.r_[new[1:], len(doc)] - 1 if len(doc) else new
-            return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(start[new].astype(np.int32)), pa.array((start[last] - start[new] + 1).astype(np.int32))], names=["doc", "start", "size"])
+            at = np.flatnonzero(~alone[: len(rows)]).tolist()
+            doc, part, start = (np.array([rows[i][c] for i in at], np.int64) for c in (1, 2, 3))
+            rank, of = _ranks(doc, part)
+            r, first = repeats(rank, start, [rows[i][4] for i in at], length) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            rows.clear()
+            o = np.lexsort((first, r))
+            r, first = r[o], first[o]
+            new = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (first[1:] > first[:-1] + 1)]) if len(r) else np.zeros(0, np.int64)
+            last = np.r_[new[1:], len(r)] - 1 if len(r) else new
+            whose = of[r[new]] if len(r) else new
+            return pa.RecordBatch.from_arrays([pa.array(doc[whose]), pa.array(part[whose]), pa.array(first[new].astype(np.int32)), pa.array((first[last] - first[new] + 1).astype(np.int32))], names=["doc", "part", "start", "size"])
 
         for batch in batches:
-            for key, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held >= SORTED and key != keys[-1]:
-                    yield flush(len(keys))
-                keys.append(key)
-                docs.append(doc)
-                starts.append(start)
-                pieces.append(data)
-                held += len(data)
-        yield flush(len(keys))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held >= SORTED and row[0] != rows[-1][0]:
+                    yield flush()
+                    held = 0
+                rows.append(row)
+                held += len(row[4])
+        yield flush()
 
     return run
 
@@ -468,27 +503,38 @@ def _merged(found: list[dict], length: int, n: int) -> Iterator[tuple[int, int]]
         yield at[0], at[1]
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("doc"), F.xxhash64(text_col).alias("part"), F.col(text_col).alias("text"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, start, size: runs of starts of strings that also start earlier. doc: the id, the smallest long for null."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("doc"), F.col(text_col).alias("text"))
-    anchors = rows.mapInArrow(_anchors(length), _ROW)
+    """doc, part, found: for each document with repeats, runs (start, size) of starts of strings that also start earlier.
+
+    doc: the id, the smallest long for null; part: ``xxhash64`` of the text.
+    """
+    rows = _documents(docs, id_col, text_col).drop("doc_id")
+    anchors = rows.select("doc", "part", "text").mapInArrow(_anchors(length), _PACKED)
     # Runs known to be repeats only pass through, so they are spread by place, not by their anchor.
-    dealt = anchors.repartition(F.when(F.col("kind") == 1, F.xxhash64("doc", "start")).otherwise(F.col("gram")))
-    met = dealt.sortWithinPartitions("gram", "digest", "doc", "start").mapInArrow(_collapse, _ROW)
-    met = keep(met, "stretches")
-    crowded = met.filter("kind = 2").select("gram").distinct().withColumn("many", F.lit(True))
-    differ = met.filter("kind = 0").select("gram", "doc", "start", "size").join(crowded, "gram", "left")
-    asked = differ.groupBy("doc").agg(F.collect_list(F.struct("gram", "start", "size", F.coalesce("many", F.lit(False)).alias("many"))).alias("found"))
-    cut = rows.filter(F.octet_length("text") >= length).join(asked, "doc").select("doc", "text", "found").mapInArrow(_cut(length), "key long, doc long, start int, data binary")
+    dealt = anchors.repartition(F.when(F.col("place").bitwiseAND(1) == 1, F.xxhash64("doc", "place")).otherwise(F.col("gram")))
+    met = keep(dealt.sortWithinPartitions("gram", "digest", "doc", "part", "place").mapInArrow(_collapse, _ROW), "stretches", texts=True)
+    differ = met.filter("kind <> 1")
+    asked = differ.groupBy("doc", "part").agg(F.collect_list(F.struct("gram", "start", "size", (F.col("kind") == 2).alias("many"))).alias("found"))
+    near = prefilter(rows.filter(F.octet_length("text") >= length), F.xxhash64("doc", "part"), differ.select(F.xxhash64("doc", "part").alias("k")).distinct())
+    cut = near.join(asked, ["doc", "part"]).select("doc", "part", "text", "found").mapInArrow(_cut(length), "key long, doc long, part long, start int, data binary")
     dealt = cut.repartition("key").sortWithinPartitions("key")
-    sorted_out = keep(dealt.mapInArrow(_sort_pieces(length), "doc long, start int, size int"), "sorted")
-    return met.filter("kind = 1").select("doc", "start", "size").unionByName(sorted_out)
+    sorted_out = keep(dealt.mapInArrow(_sort_pieces(length), "doc long, part long, start int, size int"), "sorted", texts=True)
+    both = met.filter("kind = 1").select("doc", "part", "start", "size").unionByName(sorted_out)
+    out = keep(both.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "size")).alias("found")), "repeats")
+    drop(met, sorted_out)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    spans = repeated_spans(docs, length, id_col, text_col)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("found"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(by_doc, F.coalesce("doc_id", F.lit(_FIRST)) == F.col("doc"), "left")
-    return joined.select("doc_id", "text", "found").mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    by_doc = repeated_spans(docs, length, id_col, text_col)
+    rows = may_hold(_documents(docs, id_col, text_col), F.xxhash64("doc", "part"), by_doc.select(F.xxhash64("doc", "part").alias("k")), "maybe")
+    none = F.lit(None).cast("array<struct<start:int,size:int>>")
+    calm = rows.filter("not maybe").select("doc_id", "text", none.alias("found"))
+    met = rows.filter("maybe").join(by_doc, ["doc", "part"], "left").select("doc_id", "text", "found")
+    out = calm.unionByName(met).mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return keep(out, "removed", texts=True)

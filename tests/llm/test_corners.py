@@ -254,6 +254,39 @@ def test_repeats_in_documents(spark, monkeypatch):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_where_an_id_has_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "CHUNK", 2000)
+    monkeypatch.setattr(suffix, "MANY", 3)
+    shared = words(60, 1)
+    texts = [(7, "one " + shared), (7, "two " + shared + " end"), (7, "three"), (None, shared[:150]), (None, "x" + shared[10:200]), (9, shared), (9, shared), (4, "y" + shared[50:])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    keyed = {(r["doc_id"], r["text"]): r["k"] for r in df.withColumn("k", F.xxhash64("text")).collect()}
+    order = sorted(set(texts), key=lambda x: (x[0] is not None, x[0] or 0, keyed[x]))
+    expected = brute_repeats(dict(enumerate(t for _, t in order)))
+    want = sorted((str(order[i][0]), *v) for i, v in expected.items() for _ in range(texts.count(order[i])))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix.remove_repeats(df).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize("many", [1, 3, 1000])
+def test_collapsing_does_not_depend_on_batches(many, monkeypatch):
+    monkeypatch.setattr(suffix, "MANY", many)
+    r = random.Random(8)
+    rows = sorted((r.randrange(6), r.randrange(8), r.randrange(3), r.randrange(2), r.randrange(4) << 16 | 5 << 1) for _ in range(300))
+    table = suffix.pa.table([[x[k] for x in rows] for k in range(5)], names=["gram", "digest", "doc", "part", "place"])
+    got = {}
+    for size in (1, 2, 7, 50, 300):
+        out = [tuple(x.values()) for b in suffix._collapse(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        got[size] = sorted(out)
+    assert all(got[size] == got[300] for size in got)
+    digests = {g: {x[1] for x in rows if x[0] == g} for g in range(6)}
+    first = {(x[0], x[1]): min(y[2:] for y in rows if y[:2] == x[:2]) for x in rows}
+    for g, found in digests.items():
+        kinds = sorted(x[0] for x in got[300] if x[1] == g and x[0] != 1)
+        assert kinds == ([] if len(found) == 1 else [2 if len(found) > many else 0] * len(found))
+    assert sum(x[0] == 1 for x in got[300]) == sum(x[2:] != first[x[:2]] for x in rows)
+
+
 # -------------------------------------------------------------- 7 quality
 
 
