@@ -377,6 +377,40 @@ def test_proximity(spark):
     assert near == {1, 2, 4} and exact == {4}
 
 
+@pytest.mark.parametrize("shard", [1, 7, 200_000])
+def test_proximity_stays_inside_documents(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontam, "SHARD", shard)
+    r = random.Random(2)
+    texts = [(1, "x alpha beta"), (2, "gamma y"), (3, "gamma x alpha beta"), (None, "beta alpha q gamma"), (5, "alpha beta"), (5, "gamma")]
+    texts += [(10 + i, " ".join(r.choice(["alpha", "beta", "gamma", "d", "e"]) for _ in range(r.randrange(9)))) for i in range(60)]
+    items = {1: "alpha beta gamma", 2: "d d e", 3: "gamma"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    d = docs(spark, texts).repartition(2)
+    for slop in (0, 2):
+        expected = []
+        for i, t in texts:
+            w, hit = t.split(), set()
+            for item, phrase in items.items():
+                p = phrase.split()
+                for s in range(len(w)):
+                    part = w[s : s + len(p) + slop]
+                    if (w[s : s + len(p)] == p) if not slop else not Counter(p) - Counter(part):
+                        hit.add(str(item))
+            expected.append((str(i), t, sorted(hit)))
+        keyed = {x["k"]: x["text"] for x in d.select("text", F.xxhash64("text").alias("k")).collect()}
+        got = [(str(x["doc_id"]), keyed[x["text_key"]], x["items"]) for x in decontam.find(d, bench, slop=slop, block=2).collect()]
+        assert sorted(got) == sorted(expected)
+
+
+def test_blocks_share_one_index(spark, monkeypatch):
+    built = []
+    build = decontam.build_index
+    monkeypatch.setattr(decontam, "build_index", lambda *a: built.append(1) or build(*a))
+    bench = spark.createDataFrame([(1, words(40, 1))], "item_id long, text string")
+    assert decontam.find(docs(spark, [(1, words(40, 1))]), bench, block=3).first()["items"] == ["1"]
+    assert len(built) == 1
+
+
 # -------------------------------------------------------------- 10 MinHash
 
 
