@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, warc
+from . import chat, secrets, warc
 
 SQL: dict[str, str] = {}
 
@@ -104,3 +104,35 @@ SELECT page_id * 2 + 1, url_key, ts, 'revisit', status, CASE WHEN status <> 'unr
     'content-length=' || rn || chr(10) || 'content-type=text/html' || chr(10) || 'date=' || ts || chr(10) || 'etag=' || coalesce('W/' || etag, rtag) || chr(10) || 'last-modified=' || coalesce(modified, rday)
   ELSE 'content-length=0' || chr(10) || 'date=' || ts || coalesce(chr(10) || 'etag=W/' || etag, '') || coalesce(chr(10) || 'last-modified=' || modified, '') END FROM s
 """
+
+
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secret_parts(kind: int, head: str, value: str, least: int) -> str:
+    """Matches of one kind, in order: the text before each, its head and its value."""
+    groups = ", ".join(f"unnest(regexp_extract_all(t, {_sql_text(f'(?s:(.*?))({head})({value})')}, {g})) AS {name}" for g, name in ((1, "g"), (2, "h"), (3, "v")))
+    return f"SELECT r, {kind} AS kind, {least} AS least, unnest(range(len(regexp_extract_all(t, {_sql_text(f'(?s:(.*?))({head})({value})')}, 3)))) AS i, {groups} FROM d"
+
+
+_KIND = "['assign', 'access', 'hex', 'live'][kind + 1]"
+
+SQL["op4_secret_scans"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+m AS ({_secret_parts(0, f"(?i:{secrets.ASSIGN})", secrets.ASSIGN_VALUE, 12)} UNION ALL {_secret_parts(1, "", secrets.ACCESS, 18)} UNION ALL {_secret_parts(2, "", secrets.HEX, 16)}),
+e AS (SELECT *, sum(length(g) + length(h) + length(v)) OVER (PARTITION BY r, kind ORDER BY i) AS stop FROM m),
+base AS (SELECT r, kind, stop - length(h) - length(v) AS start, stop - length(v) AS low, stop, v,
+  len(list_distinct(string_split(v, ''))) >= {secrets.LIVE_DISTINCT} AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS random FROM e WHERE length(v) >= least),
+places AS (SELECT DISTINCT v, owner, repo FROM base JOIN d USING (r)),
+owners AS (SELECT v, count(*) AS owners, sum(n) AS repos FROM (SELECT v, owner, count(*) AS n FROM places GROUP BY v, owner) GROUP BY v),
+told AS (SELECT r, low, stop, random AND owners = 1 AND repos <= {secrets.LIVE_REPOS} AS live, owners >= {secrets.EXAMPLE_OWNERS} OR repos >= {secrets.EXAMPLE_REPOS} AS copied FROM base JOIN owners USING (v)),
+spans AS (SELECT r, kind, start, stop FROM base UNION ALL SELECT DISTINCT r, 3, low, stop FROM told WHERE live),
+lists AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 3) AS n_live,
+  string_agg({_KIND} || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind, stop) AS spans,
+  string_agg({_KIND} || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3) AS base_spans FROM spans GROUP BY r),
+examples AS (SELECT r, count(*) AS n_copied FROM (SELECT DISTINCT r, low, stop FROM told WHERE copied) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN lists USING (r) LEFT JOIN examples USING (r)
+"""

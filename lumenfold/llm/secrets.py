@@ -2,8 +2,9 @@
 
 Base patterns give candidates. Each candidate's value is hashed, and hashes are
 counted over the whole corpus by distinct owners and repositories. A value that many
-owners have is an example that was copied around; one that a single owner has, and
-that looks random, is a live-looking credential and gets a further span ``live``.
+owners have, or that sits in many repositories, is an example that was copied around. One that a single owner has in
+few repositories, and that looks random, is a live-looking credential and gets a further span ``live``.
+What lies between is neither.
 
 Counting aggregates (hash, owner, repository) before every shuffle, so a value that
 a third of all documents hold is a few rows when it moves. Texts never move: spans
@@ -32,8 +33,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "live")
 
-#: From so many owners on, a value counts as an example.
-EXAMPLE_OWNERS = 3
+#: From so many owners or repositories on, a value counts as an example; a live-looking one is in so many repositories at most.
+EXAMPLE_OWNERS, EXAMPLE_REPOS, LIVE_REPOS = 3, 6, 2
 #: A live-looking value has at least so many different characters.
 LIVE_DISTINCT = 8
 
@@ -82,11 +83,12 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def classify(found: DataFrame) -> DataFrame:
-    """row, spans: base spans, and ``live`` spans for values that one owner alone has. Also ``live`` and ``copied`` spans apart."""
+    """row, spans: base spans, and ``live`` spans for values that one owner alone has in few repositories. Also ``live`` and ``copied`` spans apart."""
     shared = ownership(found)
     each = found.select("row", F.explode(F.concat(*KINDS[:3])).alias("s")).select("row", "s.*")
-    live = each.filter("random").join(shared.filter("owners = 1").select("hash"), "hash", "left_semi").select("row", F.lit(True).alias("live"), "v_start", "end")
-    copied = each.join(shared.filter(F.col("owners") >= EXAMPLE_OWNERS).select("hash"), "hash", "left_semi").select("row", F.lit(False).alias("live"), "v_start", "end")
+    own, copies = F.col("owners") == 1, (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repos") >= EXAMPLE_REPOS)
+    live = each.filter("random").join(shared.filter(own & (F.col("repos") <= LIVE_REPOS)).select("hash"), "hash", "left_semi").select("row", F.lit(True).alias("live"), "v_start", "end")
+    copied = each.join(shared.filter(copies).select("hash"), "hash", "left_semi").select("row", F.lit(False).alias("live"), "v_start", "end")
     marks = live.unionByName(copied).groupBy("row").agg(*[F.array_distinct(F.collect_list(F.when(F.col("live") == flag, F.struct(F.col("v_start").alias("start"), "end")))).alias(name) for flag, name in ((True, "live"), (False, "copied"))])
     none = F.array().cast("array<struct<start:int,end:int>>")
     return found.join(marks, "row", "left").withColumns({k: F.coalesce(k, none) for k in ("live", "copied")})
