@@ -11,16 +11,18 @@ of source and document; a leaf settles all but one of its documents and sends th
 residual up, where residuals meet in groups of ``LEAF`` again. Each level holds
 1/LEAF of the rows of the one below, a source that has a third of all rows is spread
 over its many leaves, and at the root each source has one residual left, which goes to
-the nearer whole number. What that leaves over or short is settled by exchanges
-with documents whose duels are over, the one whose size is closest first, until every
-source is within ``CLOSE`` of its target (large sources are so already).
+the nearer whole number. What that leaves over or short is settled by further transfers between whole numbers
+next to the source's rate, the document whose size is closest first, until every
+source is within ``CLOSE`` of its target (large sources are so already). Copies of a document never leave
+the two whole numbers around its source's rate.
 
 Defined results
 * null or empty text: size 0, never in a duel, ``taken`` 0.
 * null source: a source of its own, last in the order of sources.
 * all sizes 0, or an empty table: targets 0 and nothing taken.
-* rows that repeat: each row is mixed by itself.
-* draws come from hashes of ids, so reruns and other partitionings agree.
+* rows that repeat: each row is mixed by itself. Ids may be null or repeat: leaves go by id and text, and where a
+  row repeats more than ``LEAF`` times its repeats are dealt over leaves of their own.
+* draws come from hashes of ids and texts, so reruns and other partitionings agree (but for which of many equal rows is taken).
 * extra columns: not carried; a name such as ``size`` in the input does no harm.
 """
 
@@ -28,11 +30,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, keep
+from .common import drop, keep, row_key
 
 #: Documents that meet in one group of the tree, on average.
 LEAF = 48
@@ -40,6 +42,8 @@ LEAF = 48
 MOST_COPIES = 3
 #: Share of its target by which a source may be off without a last exchange, and rounds of exchanges.
 CLOSE, ROUNDS = 0.005, 10
+#: Documents on each side that are looked at as pairs in one.
+PAIRS = 64
 #: Weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,12 +99,12 @@ def _unit(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
 
 
-_ITEM = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("base", T.LongType()), T.StructField("p", T.DoubleType())])
+_ITEM = T.StructType([T.StructField("row", T.LongType()), T.StructField("id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("size", T.LongType()), T.StructField("base", T.LongType()), T.StructField("p", T.DoubleType())])
 _ACC = T.StructType([T.StructField("done", T.ArrayType(_ITEM)), T.StructField("cur", _ITEM)])
 
 
 def _with(item: Column, p: Column) -> Column:
-    return F.struct(item["row"].alias("row"), item["id"].alias("id"), item["size"].alias("size"), item["base"].alias("base"), p.alias("p"))
+    return F.struct(item["row"].alias("row"), item["id"].alias("id"), item["key"].alias("key"), item["size"].alias("size"), item["base"].alias("base"), p.alias("p"))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,7 +116,7 @@ def _duel(acc: Column, x: Column, seed: int) -> Column:
     """Settle one of acc.cur and x; the other goes on as acc.cur."""
     c, s_c, s_x = acc["cur"], acc["cur"]["size"].cast("double"), x["size"].cast("double")
     room = F.struct(
-        ((1 - c["p"]) * s_c).alias("c_up"), (c["p"] * s_c).alias("c_down"), (x["p"] * s_x).alias("x_down"), ((1 - x["p"]) * s_x).alias("x_up"), _unit(c["id"], x["id"], F.lit(seed)).alias("u"),
+        ((1 - c["p"]) * s_c).alias("c_up"), (c["p"] * s_c).alias("c_down"), (x["p"] * s_x).alias("x_down"), ((1 - x["p"]) * s_x).alias("x_up"), _unit(c["key"], x["key"], F.lit(seed)).alias("u"),
     )
 
     def moved(r: Column) -> Column:
@@ -141,38 +145,56 @@ def _level(items: DataFrame, seed: int) -> DataFrame:
     def step(acc: Column, x: Column) -> Column:
         return F.when(acc["cur"].isNull(), F.struct(acc["done"].alias("done"), x.alias("cur")).cast(_ACC)).otherwise(_duel(acc, x, seed))
 
-    rows = F.sort_array(F.collect_list(F.struct("size", F.xxhash64("id", F.lit(seed)).alias("h"), F.struct("row", "id", "size", "base", "p").cast(_ITEM).alias("item"))), asc=False)
+    rows = F.sort_array(F.collect_list(F.struct("size", F.xxhash64("key", F.lit(seed)).alias("h"), F.struct("row", "id", "key", "size", "base", "p").cast(_ITEM).alias("item"))), asc=False)
     got = items.groupBy("source", "source_size", "target", "leaf").agg(rows.alias("rows"))
     return got.select("source", "source_size", "target", F.aggregate(F.transform("rows", lambda r: r["item"]), zero, step).alias("acc"))
 
 
-def _out(each: DataFrame) -> DataFrame:
-    """Rows with item and whole copies -> the result's columns."""
+def _out(each: DataFrame, may_rise: int = 1) -> DataFrame:
+    """Rows with item and whole copies -> the result's columns. open: whether one copy more is next to the rate too."""
     item = F.col("item")
-    return each.select(item["row"].alias("row"), item["id"].alias("doc_id"), item["size"].alias("size"), "source", "source_size", "target", item["base"].alias("base"), (item["base"] + F.round(item["p"]).cast("long")).alias("copies"))
+    return each.select(item["row"].alias("row"), item["id"].alias("doc_id"), item["key"].alias("key"), item["size"].alias("size"), "source", "source_size", "target", item["base"].alias("base"), F.lit(may_rise).alias("open"), (item["base"] + F.round(item["p"]).cast("long")).alias("copies"))
 
 
-def _last_exchange(mixed: DataFrame, most: int, slack: int) -> DataFrame:
-    """One document a source gains or loses a copy if that brings the source closer to its target.
+def _last_exchange(mixed: DataFrame) -> DataFrame:
+    """In each source that is off, one document gives up a copy, or another gains one, or both, whatever comes closest.
 
-    Copies stay within ``slack`` of the whole numbers around the source's rate.
+    Copies stay the whole numbers around the source's rate. A single document is looked for among all of the source,
+    a pair among ``PAIRS`` documents of each side: in a source with more documents a single one is close enough.
     """
     off = F.sum(F.col("size") * F.col("copies")) - F.max("target")
     sums = mixed.groupBy("source").agg(off.alias("off"), F.max("target").alias("_t")).select(F.col("source").alias("_source"), "off", "_t")
     sums = sums.filter(F.abs("off") > CLOSE * F.col("_t"))
-    near = mixed.join(sums, F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.col("target") / F.col("source_size")
-    free = F.when(F.col("off") > 0, F.col("copies") > F.greatest(F.floor(rate) - slack, F.lit(0))).otherwise((F.col("copies") < F.ceil(rate) + slack) & (F.col("copies") < most))
-    gap = F.abs(F.abs("off") - F.col("size"))
-    near = near.filter(free & (F.col("size") > 0) & (gap < F.abs("off")))
-    pick = near.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), F.xxhash64("doc_id").alias("h"), "row", (-F.signum("off")).cast("long").alias("more"))).alias("m"))
-    return mixed.join(pick.select("m.row", "m.more"), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+    gives, gains = F.col("copies") > F.col("base"), F.col("copies") < F.col("base") + F.col("open")
+    near = mixed.join(sums, F.col("source").eqNullSafe(F.col("_source"))).filter((F.col("size") > 0) & (gives | gains))
+    near = near.select("source", "off", "row", "size", F.xxhash64("key").alias("h"), gives.alias("gives"))
+    single = F.struct(F.abs(F.col("off") - F.when(F.col("gives"), F.col("size")).otherwise(-F.col("size"))).alias("gap"), "h", F.when(F.col("gives"), F.col("row")).alias("less"), F.when(~F.col("gives"), F.col("row")).alias("more"))
+    singles = near.groupBy("source", "off").agg(F.min(single).alias("m"))
+    few = near.withColumn("k", F.row_number().over(Window.partitionBy("source", "gives").orderBy("h", "row"))).filter(F.col("k") <= PAIRS)
+    side = lambda given: F.collect_list(F.when(F.col("gives") == given, F.struct("size", "row")))
+    lists = few.groupBy("source", "off").agg(side(True).alias("d"), side(False).alias("u"))
+    gap = lambda a, b: F.abs(F.col("off") - a["size"] + b["size"])
+    each = F.flatten(F.transform("d", lambda a: F.transform(F.col("u"), lambda b: F.struct(gap(a, b).alias("gap"), F.lit(0).cast("long").alias("h"), a["row"].alias("less"), b["row"].alias("more")))))
+    pairs = lists.select("source", "off", F.array_min(each).alias("m")).filter("m is not null")
+    best = singles.unionByName(pairs).groupBy("source", "off").agg(F.min("m").alias("m")).filter(F.col("m.gap") < F.abs("off"))
+    moves = best.select(F.explode(F.array(F.struct(F.col("m.less").alias("row"), F.lit(-1).alias("more")), F.struct(F.col("m.more").alias("row"), F.lit(1).alias("more")))).alias("x")).select("x.*").filter("row is not null")
+    return mixed.join(moves, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
+
+
+def _spread_repeats(sized: DataFrame) -> DataFrame:
+    """``key`` of rows that repeat more than LEAF times takes in the row, so that no leaf gathers them."""
+    often = sized.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LEAF).select(F.col("key").alias("_often"))
+    often = keep(often, "often")
+    if often.isEmpty():
+        return sized
+    key = F.when(F.col("_often").isNotNull(), F.xxhash64("key", "row")).otherwise(F.col("key"))
+    return keep(sized.join(often, F.col("key") == F.col("_often"), "left").withColumn("key", key).drop("_often"), "sized")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST_COPIES, seed: int = 1) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken: how often the mix takes each row."""
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = keep(sized.withColumn("row", F.monotonically_increasing_id()), "sized")
+    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row_key(F.col(id_col), F.xxhash64(text_col)).alias("key"))
+    sized = _spread_repeats(keep(sized.withColumn("row", F.monotonically_increasing_id()), "sized"))
     targets = keep(source_targets(sized.select("source", "size"), weights, most), "targets")
     # AQE broadcasts the source table when its measured size allows that, and splits a hot source when not.
     rated = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -180,8 +202,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.floor(rate + 1e-12)
     left = F.greatest(rate - whole, F.lit(0.0))
     fights = (F.col("size") > 0) & (left > 1e-12)
-    rated = keep(rated.select("row", "id", "source", "source_size", "target", "size", whole.alias("base"), F.when(fights, left).otherwise(0.0).alias("p")), "rated")
-    calm = _out(rated.filter("p = 0").select("source", "source_size", "target", F.struct("row", "id", "size", "base", "p").alias("item")))
+    rated = keep(rated.select("row", "id", "key", "source", "source_size", "target", "size", whole.alias("base"), F.when(fights, left).otherwise(0.0).alias("p")), "rated")
+    calm = _out(rated.filter("p = 0").select("source", "source_size", "target", F.struct("row", "id", "key", "size", "base", "p").alias("item")), 0)
     counts = rated.filter("p > 0").groupBy("source").agg(F.count("*").alias("n"))
     most_rows = counts.agg(F.max("n")).first()[0] or 0
     parts, spent = [calm], [sized]
@@ -193,7 +215,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             sizes = keep(items.groupBy("source").agg(F.ceil(F.count("*") / LEAF).cast("long").alias("_leaves")), "leaves")
             spent.append(sizes)
             items = items.join(sizes.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            items = items.withColumn("leaf", F.pmod(F.xxhash64("id", F.lit(seed * 1000 + level)), F.col("_leaves")))
+            items = items.withColumn("leaf", F.pmod(F.xxhash64("key", F.lit(seed * 1000 + level)), F.col("_leaves")))
         else:
             items = items.withColumn("leaf", F.lit(0).cast("long"))
         fought = keep(_level(items, seed * 1000 + level), f"level{level}")
@@ -210,11 +232,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         out = out.unionByName(part)
     mixed = keep(out, "mixed")
     drop(*spent, targets)
-    for turn in range(ROUNDS):
+    for _ in range(ROUNDS):
         off = mixed.groupBy("source").agg((F.sum(F.col("size") * F.col("copies")) - F.max("target")).alias("off"), F.max("target").alias("t"))
         if off.filter(F.abs("off") > CLOSE * F.col("t")).isEmpty():
             break
-        settled = keep(_last_exchange(mixed, most, slack=2 * turn // ROUNDS), "settled")
+        settled = keep(_last_exchange(mixed), "settled")
         drop(mixed)
         mixed = settled
     return mixed.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

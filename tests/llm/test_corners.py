@@ -191,6 +191,17 @@ def test_secrets(spark):
     assert secrets.report(secrets.classify(secrets.scan(df.limit(0)))).count() == 0
 
 
+def test_owners_and_repositories_decide(spark):
+    value = "Ab3dEf6hIj9kLm"
+    rows = [(k, f"token={value}", "own", f"own/r{k}") for k in range(50)] + [(100 + k, "token=Zz3dEf6hIj9kLm", "own", f"own/r{k}") for k in range(2)]
+    rows += [(200 + k, "token=Qq3dEf6hIj9kLm", f"o{k}", f"o{k}/r") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    r = {x["doc_id"]: x for x in secrets.report(secrets.classify(secrets.scan(df, repo_col="repo"))).collect()}
+    assert r[7]["n_live"] == 0 and r[7]["n_copied"] == 1  # fifty repositories of one owner: an example
+    assert r[100]["n_live"] == 1 and r[100]["n_copied"] == 0
+    assert r[200]["n_live"] == r[200]["n_copied"] == 0  # two owners: neither
+
+
 def test_redaction(spark):
     rows = [(1, 'x password = "Ab3dEf6hIj9k" y', "en", "s1", 0), (2, "clean", "en", "s1", 5), (3, None, "en", "s1", None)] + [(10 + k, "secret: " + "deadbeef01" * 3, "en", f"o{k}", 0) for k in range(4)]
     df = spark.createDataFrame(rows, DOCS).withColumn("_cuts", F.lit("mine"))
@@ -337,6 +348,28 @@ def test_mixing(spark):
     assert mixing.mix(df.filter("size(split(text, ' ')) = 0 or text is null")).toPandas().taken.sum() == 0
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_copies_are_next_to_the_rate(spark, scale):
+    got = mixing.mix(common.table(spark, f"/root/testdata/{scale}", "documents")).toPandas()
+    some = got[got["size"] > 0]
+    rate = (some.target / some.source_size).clip(upper=3)
+    assert ((some.copies >= np.floor(rate + 1e-12)) & (some.copies <= np.ceil(rate - 1e-12))).all()
+    by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= 0.02 * by.target + 200).all()
+
+
+def test_equal_rows_share_no_leaf(spark, monkeypatch):
+    rows = [(None, "the same words", "en", "a", 0)] * 3000 + [(5, "other words here", "en", "b", 0)] * 3000 + [(5, None, "en", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    most = []
+    level = mixing._level
+    monkeypatch.setattr(mixing, "_level", lambda items, seed: most.append(items.groupBy("source", "leaf").count().agg(F.max("count")).first()[0]) or level(items, seed))
+    got = mixing.mix(df, weights=(3, 2)).toPandas()
+    assert max(most) < 4 * mixing.LEAF and len(got) == len(rows)
+    by = got[got["size"] > 0].groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by.taken - by.target) <= 3).all()
+
+
 def test_duels_keep_expected_copies(spark):
     rows = [(i, words(10 + i % 7, i), "en", "a" if i % 2 else "b", 0) for i in range(60)]
     df = spark.createDataFrame(rows, DOCS).repartition(2).persist()
