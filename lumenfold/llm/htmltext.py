@@ -9,15 +9,18 @@
    place, and it nests in the smallest class whose span covers its own and that
    occurs on at least as many pages. The valid classes are the host's template. A
    template is no longer than two pages' tokens, so it is bounded.
-3. A page is read against its host's template: template tags bound slots, template text
-   is fixed. What is left in the slots, outside menus, headers, footers, sidebars,
+3. Each template token that opens a container (``CONTAINER``) bounds a slot: the text right inside it, of all the
+   host's pages, is the slot's mass. Slots with less than 1/``MINOR`` of the heaviest slot's mass, and without a
+   heading, are what surrounds the text on that host, whatever their tags and names.
+4. A page is read against its host's template: template tags bound slots, template text
+   is fixed. What is left in the slots, outside minor slots, menus, headers, footers, sidebars,
    notices, adverts, forms, scripts, styles and reader comments, is the text. An ``article``
    element, or else a ``main`` one, is a hint to the slots that count: all others go, unless they
-   hold ``HINT`` times as much variable text on a host with a template. Inside these elements a block
+   hold ``HINT`` times as much variable text on a host with a template, and its slots are not minor. Inside these elements a block
    goes where all its texts are fixed, but only if the host has ``SUPPORT`` different pages and less than
    half of what the page would keep is fixed: pages that copy each other keep their articles.
 
-Hosts with fewer than ``SUPPORT`` pages have no template; their pages are one slot.
+Hosts with fewer than ``SUPPORT`` pages have no template; their pages are one slot, and tags and names alone tell.
 
 Defined results
 * null or empty html: empty text. Null url: host unknown, no template.
@@ -42,6 +45,8 @@ from .common import drop, keep
 SUPPORT = 3
 #: Text elsewhere outweighs an article (or main element) from so many times its variable text on.
 HINT = 4
+#: A slot with less than one part in so many of the heaviest slot's mass is minor.
+MINOR = 8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -50,6 +55,9 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe object select option button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements that hold a part of a page; others (paragraphs, lists, inline ones) belong to the part around them.
+CONTAINER = frozenset("address article aside blockquote body center dd details dialog div fieldset figure footer form header hgroup html main menu nav section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and class or id words that hold no main text.
 APART = frozenset("nav header footer aside form head dialog menu".split()) | RAW
 APART_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent notice notices banner popup modal newsletter subscribe signup login share sharing social related recommended pagination pager comment comments disqus replies reply respond toolbar widget skip".split())
@@ -112,8 +120,16 @@ def walk(page: str) -> Iterator[tuple]:
             stack.pop()
 
 
+def container_of(stack: list[tuple]) -> int:
+    """Path hash of the nearest container."""
+    for name, path, _, _ in reversed(stack):
+        if name in CONTAINER:
+            return path
+    return 0
+
+
 def tokens(page: str) -> dict[int, list]:
-    """token hash -> [count, first place, is text] of one page."""
+    """token hash -> [count, first place, is text, mass, headings] of one page."""
     seen: dict[int, list] = {}
     for place, step in enumerate(walk(page)):
         if step[0] == "tag":
@@ -125,10 +141,14 @@ def tokens(page: str) -> dict[int, list]:
             text = " ".join(step[1].split())
             if not text:
                 continue
-            key = _hash((step[2][-1][1],), "=" + text)
+            top = step[2][-1]
+            key = _hash((top[1],), "=" + text)
+            if not top[2] and (slot := seen.get(container_of(step[2]))) is not None:
+                slot[3] += len(text)
+                slot[4] += any(x[0] in HEADINGS for x in step[2])
         got = seen.get(key)
         if got is None:
-            seen[key] = [1, place, step[0] == "text"]
+            seen[key] = [1, place, step[0] == "text", 0, 0]
         else:
             got[0] += 1
     return seen
@@ -138,15 +158,15 @@ _MASK = (1 << 31) - 1
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial occurrence vectors: host, token, text, pages, place, v1, v2."""
+    """Partial occurrence vectors: host, token, text, pages, place, v1, v2, mass, headings."""
     held: dict[tuple, list] = {}
 
     def flush() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in held.items()]
         held.clear()
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "fixed", "pages", "place", "v1", "v2"])
+        cols = list(zip(*rows, strict=True)) or [[]] * 9
+        kinds = (pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 6)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "token", "fixed", "pages", "place", "v1", "v2", "mass", "headings"])
 
     for batch in batches:
         for page_id, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -154,14 +174,16 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if host is None or not (text := page.as_py()):
                 continue
             sig = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            held.setdefault((host, sig, None), [0, 0, 0, 0])[0] += 1  # no token: the page as a whole, to count different pages
-            for key, (count, place, fixed) in tokens(text).items():
+            held.setdefault((host, sig, None), [0] * 6)[0] += 1  # no token: the page as a whole, to count different pages
+            for key, (count, place, fixed, mass, headings) in tokens(text).items():
                 h = int.from_bytes(hashlib.blake2b(b"%d:%d" % (-1 if page_id is None else page_id, count), digest_size=8).digest(), "little")
-                got = held.setdefault((host, key, fixed), [0, 0, 0, 0])
+                got = held.setdefault((host, key, fixed), [0] * 6)
                 got[0] += 1
                 got[1] += place
                 got[2] += h & _MASK
                 got[3] += h >> 33
+                got[4] += mass
+                got[5] += headings
             if len(held) > 100_000:
                 yield flush()
     yield flush()
@@ -169,11 +191,11 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, host_pages, different, classes: pages and different pages of each host, and the valid equivalence classes of its tokens."""
-    parts = pages.mapInArrow(_vectors, "host string, token long, fixed boolean, pages long, place long, v1 long, v2 long")
-    found = keep(parts.groupBy("host", "token", "fixed").agg(*[F.sum(c).alias(c) for c in ("pages", "place", "v1", "v2")]), "vectors")
+    parts = pages.mapInArrow(_vectors, "host string, token long, fixed boolean, pages long, place long, v1 long, v2 long, mass long, headings long")
+    found = keep(parts.groupBy("host", "token", "fixed").agg(*[F.sum(c).alias(c) for c in ("pages", "place", "v1", "v2", "mass", "headings")]), "vectors", texts=True)
     sizes = found.groupBy("host").agg(F.max("pages").alias("host_pages"), F.count_if(F.col("fixed").isNull()).alias("different"))
     often = found.filter("fixed is not null").join(sizes, "host").filter((F.col("pages") >= SUPPORT) & (F.col("pages") * 2 >= F.col("host_pages")))
-    token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "fixed")
+    token = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "fixed", "mass", "headings")
     classes = often.groupBy("host", "host_pages", "different", "pages", "v1", "v2").agg(F.array_sort(F.collect_list(token)).alias("tokens"))
     span = F.struct("pages", F.col("tokens")[0]["place"].alias("first"), F.element_at("tokens", -1)["place"].alias("last"), "tokens")
     by_host = classes.groupBy("host", "host_pages", "different").agg(F.array_sort(F.collect_list(span)).alias("classes"))
@@ -203,6 +225,9 @@ class Template:
         self.inside = different >= SUPPORT
         self.depth = {}
         self.fixed = set()
+        slots = {t["token"]: (t["mass"], t["headings"]) for c in classes for t in c["tokens"] if not t["fixed"]}
+        most = max((mass for mass, _ in slots.values()), default=0)
+        self.minor = {k for k, (mass, headings) in slots.items() if self.inside and not headings and mass * MINOR < most}
         for i, c in enumerate(classes):
             depth, k = 1, up[i]
             while k >= 0:
@@ -255,7 +280,7 @@ def extract(page: str | None, template: Template | None) -> tuple[str, int]:
             main_here = top[3]
         plain = " ".join(text.split())
         fixed = bool(template and template.fixed and plain and _hash((top[1],), "=" + plain) in template.fixed)
-        if fixed and not main_here:
+        if not main_here and (fixed or (template and template.minor and container_of(stack) in template.minor)):
             continue
         free = free or bool(plain and not fixed)
         block.append(text)
@@ -303,4 +328,5 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # The table of templates is measured; the optimizer broadcasts it only below its limit, else adaptive joins split hot hosts.
     host = F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#@]+)", 1))
     joined = rows.withColumn("_host", host).join(found.withColumnRenamed("host", "_known"), F.col("_host") == F.col("_known"), "left")
-    return joined.select("page_id", "url", "html", F.col("_known").alias("host"), "host_pages", "classes", "different").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_slots long")
+    got = joined.select("page_id", "url", "html", F.col("_known").alias("host"), "host_pages", "classes", "different").mapInArrow(_extract, "page_id long, url string, text string, n_chars long, n_slots long")
+    return keep(got, "pages", texts=True)

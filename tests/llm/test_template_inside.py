@@ -1,6 +1,10 @@
 """Template text inside articles, and articles that are no more than a hint."""
 
-from lumenfold.llm import htmltext
+import re
+
+from pyspark.sql import functions as F
+
+from lumenfold.llm import common, htmltext
 
 
 def texts(spark, pages):
@@ -27,3 +31,23 @@ def test_a_small_article_does_not_hide_the_page(spark):
     page = "<body><article><p>see {0}</p></article><div><p>{1}</p></div></body>"
     got = texts(spark, [page.format(i, body(i)) for i in range(6)])
     assert got == {i: f"see {i}\n{body(i)}" for i in range(6)}
+
+
+def _stripped(page):
+    """The page without ``article`` tags, its classes renamed."""
+    return re.sub(r'class="(\w+)"', lambda m: f'class="x{len(m[1])}{m[1][::-1]}"', re.sub(r"</?article\b[^>]*>", "", page))
+
+
+def test_template_finds_the_text_without_articles_and_class_names(spark):
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    big = [r[0] for r in pages.groupBy(host.alias("h")).count().filter("count >= 5").collect()]
+    rows = [tuple(r) for r in pages.filter(host.isin(big)).select("page_id", "url", "html").collect()]
+    assert len(rows) > 60
+    shape = "page_id long, url string, html string"
+    text = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, shape)).collect()}
+    bare = [(i, u, _stripped(p)) for i, u, p in rows]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(bare, shape)).collect()}
+    assert got == text
+    alone = {i: htmltext.extract(p, None)[0] for i, _, p in bare}  # no template: adverts stay
+    assert sum(alone[i] != text[i] for i in text) > 0.9 * len(text)
