@@ -27,24 +27,33 @@ def colmap_quat_to_matrix(w: Column, x: Column, y: Column, z: Column) -> Matrix:
 
 
 def matrix_to_quat(m: Matrix) -> list[Column]:
-    """(x, y, z, w) with w >= 0, from the best conditioned of four forms; the first one wins ties."""
-    root = [F.sqrt(F.greatest(F.lit(0.0), t)) for t in (1 + m[0] + m[4] + m[8], 1 + m[0] - m[4] - m[8], 1 - m[0] + m[4] - m[8], 1 - m[0] - m[4] + m[8])]
-    # Rows: w, x, y, z times each of w, x, y, z.
-    forms = [
-        [root[0] ** 2, m[7] - m[5], m[2] - m[6], m[3] - m[1]],
-        [m[7] - m[5], root[1] ** 2, m[3] + m[1], m[2] + m[6]],
-        [m[2] - m[6], m[3] + m[1], root[2] ** 2, m[5] + m[7]],
-        [m[3] - m[1], m[6] + m[2], m[7] + m[5], root[3] ** 2],
-    ]
-    best = F.greatest(*root)
-    forms = [[v / (2.0 * F.greatest(r, F.lit(0.1))) for v in form] for form, r in zip(forms, root, strict=True)]
-
-    def pick(k: int) -> Column:
-        return F.when(root[0] >= best, forms[0][k]).when(root[1] >= best, forms[1][k]).when(root[2] >= best, forms[2][k]).otherwise(forms[3][k])
-
-    w = pick(0)
-    sign = F.when(w < 0, -1.0).otherwise(1.0)
-    return [pick(1) * sign, pick(2) * sign, pick(3) * sign, w * sign]
+    """(x, y, z, w) with w >= 0.
+
+    With R = R(q): trace = 4ww - 1 and R[i][i] = 2(ww + qi qi) - 1, so the greatest of the trace and the diagonal tells which
+    component is largest. That one is a root; sums and differences of opposite entries, which are four times products of two
+    components, give the others by division. Of equal ones w, then x, y, z counts.
+    """
+    trace = m[0] + m[4] + m[8]
+    turn = {"x": m[7] - m[5], "y": m[2] - m[6], "z": m[3] - m[1]}  # four times w times a component
+    mixed = {frozenset("xy"): m[1] + m[3], frozenset("xz"): m[2] + m[6], frozenset("yz"): m[5] + m[7]}
+    diagonal = {"w": trace, "x": m[0], "y": m[4], "z": m[8]}
+    largest = F.greatest(*diagonal.values())
+
+    def from_largest(name: str) -> dict[str, Column]:
+        square = 1 + trace if name == "w" else 1 + 2 * diagonal[name] - trace  # four times its square
+        twice = F.sqrt(F.greatest(square, F.lit(0.0)))
+        if name == "w":
+            return {"w": twice / 2} | {c: v / (2 * twice) for c, v in turn.items()}
+        flip = F.when(turn[name] < 0, -1.0).otherwise(1.0)  # the sign that makes w positive
+        rest = {c: flip * mixed[frozenset((name, c))] / (2 * twice) for c in "xyz" if c != name}
+        return rest | {name: flip * twice / 2, "w": flip * turn[name] / (2 * twice)}
+
+    forms = {name: from_largest(name) for name in "wxyz"}
+
+    def pick(c: str) -> Column:
+        return F.when(diagonal["w"] >= largest, forms["w"][c]).when(diagonal["x"] >= largest, forms["x"][c]).when(diagonal["y"] >= largest, forms["y"][c]).otherwise(forms["z"][c])
+
+    return [pick(c) for c in "xyzw"]
 
 
 def multiply(a: Matrix, b: Matrix) -> Matrix:

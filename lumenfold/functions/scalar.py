@@ -107,9 +107,14 @@ def learning_rate(step: Column, warmup: int, total: int, floor: float) -> Column
     return F.when(step < warmup, (step + 1) / float(max(warmup, 1))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(F.lit(math.pi) * share)))
 
 
+def draw_key(*keys: Column) -> Column:
+    """Hex digits that a draw goes by: a digest of the keys as text, the same on every engine and partitioning."""
+    return F.md5(F.concat_ws("|", *[k.cast("string") for k in keys]))
+
+
 def hash_unit(*keys: Column) -> Column:
-    """A number in [0, 1) from a hash of the keys: the same in every run and partitioning."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1_000_003)) / 1_000_003.0
+    """A number in [0, 1) from the first twelve digits of ``draw_key``."""
+    return F.conv(F.substring(draw_key(*keys), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def basename(path: Column) -> Column:

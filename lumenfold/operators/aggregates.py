@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scalar import finite, safe_std
 
+from .windows import global_quantiles
+
 
 def mean_of_repeats(windows: DataFrame, scene: str, metric: str, strict: bool = False) -> DataFrame:
     """scene, value, repeats. Null rows do not count; NaN rows are skipped unless ``strict``, where they make the mean NaN."""
@@ -31,9 +33,16 @@ def cluster_report(members: DataFrame, values: DataFrame, cluster: str = "cluste
 
 
 def overall(values: DataFrame, low: float = 0.02, high: float = 0.98, column: str = "value") -> DataFrame:
-    """Summary over all scored scenes and the two quantiles that bound a colour scale."""
-    p = F.percentile(column, F.array(F.lit(low), F.lit(high)))
-    return values.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("min"), F.max(column).alias("max"), p[0].alias("vmin"), p[1].alias("vmax"))
+    """Summary over all scored scenes and the two quantiles that bound a colour scale: one row."""
+    plain = values.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+    limits = global_quantiles(values, column, {"median": 0.5, "vmin": low, "vmax": high})
+    return plain.crossJoin(F.broadcast(limits)).select("n", "mean", "median", "min", "max", "vmin", "vmax")  # one row each
+
+
+def log_range(pixels: DataFrame, x: str) -> DataFrame:
+    """lo and hi of a log quantisation over all rows: one row, as ``clip_range`` has for each group."""
+    p = global_quantiles(pixels, x, {"lo": 0.001, "_hi": 0.9999}).withColumn("lo", F.greatest("lo", F.lit(1e-3)))
+    return p.select("lo", F.greatest("_hi", F.col("lo") * 1.001).alias("hi"))
 
 
 def finite_means(rows: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:

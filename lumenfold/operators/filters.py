@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.scalar import finite
 
+from .windows import global_quantiles
+
 
 def by_split(scenes: DataFrame, split: str = "all", require: bool = False) -> DataFrame:
     """Rows of a split; ``all`` keeps every row. ``require`` raises if none is left."""
@@ -83,7 +85,7 @@ def background(points: DataFrame, black: bool = False, white: bool = False) -> D
 
 def confidence_percentile(points: DataFrame, conf: str, percent: float, floor: float = 1e-5) -> DataFrame:
     """Points at or above the given percentile of finite confidences, and above the floor."""
-    limit = points.filter(finite(F.col(conf))).agg(F.percentile(conf, percent / 100.0).alias("_limit"))
+    limit = global_quantiles(points.filter(finite(F.col(conf))), conf, {"_limit": percent / 100.0})
     return points.crossJoin(F.broadcast(limit)).filter((F.col(conf) >= F.col("_limit")) & (F.col(conf) > floor)).drop("_limit")  # one row
 
 

@@ -31,23 +31,39 @@ def pose_pair_errors(poses: DataFrame, window: str, frame: str, pred: str = "p_"
     return pairs.select(window, "i", "j", R.rotation_degrees(rp, rg).alias("rot"), R.direction_degrees(tp, tg).alias("trans"))
 
 
+def _credit(max_deg: int) -> Column:
+    worst = F.greatest("rot", "trans")
+    return F.when(F.isnan("rot") | F.isnan("trans") | worst.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), max_deg - F.floor(worst).cast("double"))) / max_deg
+
+
 def pose_auc(errors: DataFrame, by: list[str], max_deg: int = 30) -> DataFrame:
     """Mean over 1..max_deg of the share of pairs whose worse error is below the limit, in closed form; NaN earns nothing."""
-    worst = F.greatest("rot", "trans")
-    credit = F.when(F.isnan("rot") | F.isnan("trans") | worst.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), max_deg - F.floor(worst).cast("double")))
-    return errors.groupBy(*by).agg((F.avg(credit) / max_deg).alias(f"auc_at_{max_deg}"))
+    return errors.groupBy(*by).agg(F.avg(_credit(max_deg)).alias(f"auc_at_{max_deg}"))
+
+
+def _shares(degrees: int) -> list[Column]:
+    return [F.avg((F.col(c) < degrees).cast("double")).alias(f"{name}_at_{degrees}") for c, name in (("rot", "rra"), ("trans", "rta"))]
+
+
+def pooled_pairs(errors: DataFrame, by: list[str], degrees: tuple[int, ...] = (5, 15)) -> DataFrame:
+    """Pairs, and shares below each limit, of pooled pairs."""
+    return errors.groupBy(*by).agg(F.count("*").alias("pairs"), *[c for d in degrees for c in _shares(d)])
 
 
 def pose_summary(errors: DataFrame, by: list[str]) -> DataFrame:
     """Means, lower medians, shares below 5 degrees and AUC@30 of pooled pairs."""
-    worst = F.greatest("rot", "trans")
-    credit = F.when(F.isnan("rot") | F.isnan("trans"), 0.0).otherwise(F.greatest(F.lit(0.0), 30 - F.floor(worst).cast("double")))
     return errors.groupBy(*by).agg(
         F.count("*").alias("pairs"), F.avg("rot").alias("rot_mean"), lower_median("rot").alias("rot_median"), F.avg("trans").alias("trans_mean"), lower_median("trans").alias("trans_median"),
-        F.avg((F.col("rot") < 5).cast("double")).alias("rra_at_5"), F.avg((F.col("trans") < 5).cast("double")).alias("rta_at_5"), (F.avg(credit) / 30).alias("auc_at_30"),
+        *_shares(5), F.avg(_credit(30)).alias("auc_at_30"),
     )
 
 
+def field_of_view_error(poses: DataFrame, by: list[str], pred: str = "p_", gt: str = "g_") -> DataFrame:
+    """Mean absolute error of both fields of view in degrees."""
+    off = sum(F.abs(F.col(f"{pred}{c}") - F.col(f"{gt}{c}")) for c in POSE[7:]) / 2
+    return poses.groupBy(*by).agg(F.avg(F.degrees(off)).alias("fov_err_deg"))
+
+
 def depth_metrics(pixels: DataFrame, by: list[str], pred: str, gt: str, mask: Column | None = None, align_median: bool = False, eps: float = 1e-6) -> DataFrame:
     """abs_rel, delta and scale_ratio of valid pixels for each group; groups without a valid pixel have NaN.
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.scalar import hash_unit
+from lumenfold.functions.scalar import draw_key, hash_unit
 
 
 def train_val_split(rows: DataFrame, keys: list[str], val_share: float, seed: int = 0, name: str = "split") -> DataFrame:
@@ -18,7 +18,7 @@ def train_val_split(rows: DataFrame, keys: list[str], val_share: float, seed: in
 
 def images_per_scene(images: DataFrame, scene: list[str], image: str, n: int, seed: int = 0) -> DataFrame:
     """n images of each scene without replacement, as ``slot`` 0..n-1; a scene with fewer repeats its images in turn."""
-    w = Window.partitionBy(*scene).orderBy(F.xxhash64(*scene, image, F.lit(seed)), image)
+    w = Window.partitionBy(*scene).orderBy(draw_key(*map(F.col, scene), F.col(image), F.lit(seed)), image)
     ranked = images.withColumns({"_k": F.row_number().over(w) - 1, "_c": F.count("*").over(Window.partitionBy(*scene))}).filter(F.col("_k") < n)
     held = F.least("_c", F.lit(n))
     slots = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda s: s % held == F.col("_k"))
@@ -35,12 +35,14 @@ def contiguous_window(frames: DataFrame, scene: list[str], frame: str, size: int
 
 def random_frames(frames: DataFrame, scene: list[str], frame: str, n: int, seed: int = 0) -> DataFrame:
     """n drawn frames of each scene, without replacement."""
-    w = Window.partitionBy(*scene).orderBy(F.xxhash64(*scene, frame, F.lit(seed)), frame)
+    w = Window.partitionBy(*scene).orderBy(draw_key(*map(F.col, scene), F.col(frame), F.lit(seed)), frame)
     return frames.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
-def shuffled(rows: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+def shuffled(rows: DataFrame, keys: list[str], seed: int = 0, batch: int | None = None) -> DataFrame:
+    """Rows in a drawn order. With ``batch`` the last rows that fill no batch are dropped."""
+    out = rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys)
+    return out if batch is None else out.limit(rows.count() // batch * batch)
 
 
 def flip_half(frames: DataFrame, scene: list[str], position: str, seed: int = 0) -> DataFrame:

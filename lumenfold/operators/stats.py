@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from .windows import average_rank, global_quantiles
 
 
 def correlation(a: str, b: str) -> Column:
@@ -52,7 +52,7 @@ def weighted_regression(rows: DataFrame, x: str, y: str, weight: str) -> DataFra
 
 def trim_top(rows: DataFrame, x: str, share: float) -> DataFrame:
     """Rows at or below the (1 - share) quantile of x."""
-    limit = rows.agg(F.percentile(x, 1 - share).alias("_limit"))
+    limit = global_quantiles(rows, x, {"_limit": 1 - share})
     return rows.crossJoin(F.broadcast(limit)).filter(F.col(x) <= F.col("_limit")).drop("_limit")  # one row
 
 

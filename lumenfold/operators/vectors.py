@@ -68,9 +68,25 @@ def cluster_scores(scenes: DataFrame, by: list[str], centres: DataFrame, cluster
     return a.join(b, "_d").groupBy(*by, "option").agg((F.round(total, digits) if digits is not None else total).alias("score"))
 
 
+#: Numbers in all centres up to which they travel as one row: 8 MB.
+MOST_CENTRES = 1 << 20
+
+
 def nearest_cluster(scenes: DataFrame, by: list[str], centres: DataFrame, cluster: str, centroid: str = "centroid", digits: int = 9) -> DataFrame:
-    """Best and second cluster of each scene with the margin; ties go to the smaller cluster."""
-    return best_and_runner_up(cluster_scores(scenes, by, centres, cluster, centroid, digits), by, "option", "score")
+    """Best and second cluster of each scene with the margin; ties go to the smaller cluster.
+
+    Centres are counted first: few travel as a single row, and no scene is shuffled; many are joined on the dimension.
+    """
+    size = centres.agg(F.sum(F.size("centre"))).first()[0] or 0
+    if size > MOST_CENTRES:
+        return best_and_runner_up(cluster_scores(scenes, by, centres, cluster, centroid, digits), by, "option", "score")
+    packed = centres.agg(F.collect_list(F.struct(F.col(cluster).alias("option"), "centre")).alias("_all"))
+    both = scenes.select(*by, centroid).crossJoin(F.broadcast(packed))  # one row of a checked size
+    scored = F.array_sort(F.transform("_all", lambda c: F.struct((-F.round(dot(F.col(centroid), c["centre"]), digits)).alias("s"), c["option"].alias("o"))))
+    got = both.select(*by, F.slice(scored, 1, 2).alias("_top")).filter(F.size("_top") > 0)
+    first, second = (F.get("_top", F.lit(k)) for k in (0, 1))
+    out = got.select(*by, first["o"].alias("best"), (-first["s"]).alias("best_score"), second["o"].alias("second"), (-second["s"]).alias("second_score"))
+    return out.withColumn("margin", F.col("best_score") - F.col("second_score"))
 
 
 def cluster_sums(scenes: DataFrame, cluster: str, centroid: str = "centroid") -> DataFrame:

@@ -5,19 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 
 def average_rank(rows: DataFrame, x: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Rank with ties averaged, without sorting all rows in one task.
 
-    Equal values collapse first; ranks are running counts over distinct values.
+    Equal values collapse first; ranks are running counts over distinct values, which without groups are
+    range-partitioned.
     """
     by = by or []
     counts = rows.groupBy(*by, x).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = counts.withColumn(name, before - F.col("_n") + (F.col("_n") + 1) / 2.0).drop("_n")
+    if by:
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+        counts = counts.withColumn("_before", before)
+    else:
+        counts = running_count(counts, x, "_n", "_before")
+    ranks = counts.withColumn(name, F.col("_before") + (F.col("_n") + 1) / 2.0).drop("_n", "_before")
     return rows.join(ranks, [*by, x])
 
 
+def running_count(counts: DataFrame, x: str, n: str, name: str) -> DataFrame:
+    """Adds the sum of ``n`` over smaller x; x is distinct. No task sees all values.
+
+    Values are range-partitioned and summed inside their partition; the partitions' totals, a few numbers, are added up.
+    """
+    placed = settled(counts.repartitionByRange(x).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(F.sum(n).alias("_all"))
+    starts = totals.select("_part", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a partition
+    inside = F.sum(n).over(Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(n)
+    return placed.withColumn("_in", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
+
+
+def global_quantiles(rows: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
+    """One row: exact interpolated quantiles of all non-null x by name. Distinct values are counted before they move, and no task holds them all."""
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_count(counts, "_v", "_n", "_before")
+    total = placed.agg(F.sum("_n").alias("_total"))
+    both = placed.crossJoin(F.broadcast(total))  # one row
+    ends = []
+    for name, share in shares.items():
+        place = share * (F.col("_total") - 1)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col("_v"))).alias(f"{name}_{end}"))
+    got = both.agg(F.max("_total").alias("_total"), *ends)
+    weigh = lambda name, share: share * (F.col("_total") - 1) - F.floor(share * (F.col("_total") - 1))
+    return got.select(*[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * weigh(n, s)).alias(n) for n, s in shares.items()])
+
+
+def placed_by(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """1-based place of each row of a report in a total order, as a viewer resorts it; say where nulls go in the order."""
+    return global_rank(rows, list(order), "_place").withColumn(name, F.col("_place") + 1).drop("_place")
+
+
 def ordinal(rows: DataFrame, by: list[str], *order: Column, name: str = "ordinal") -> DataFrame:
     """0-based place in a group; the order has to be total."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
@@ -102,7 +142,7 @@ def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     few numbers, are added up in a small table. The order has to be total.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).persist()
+    placed = settled(placed.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))

@@ -574,9 +574,8 @@ def grad_pairs(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT frame, line, point, z, lo, hi, round_even(round(65535 * (ln(least(greatest(z, lo), hi)) - ln(lo)) / (ln(hi) - ln(lo)), 6), 0)::INTEGER AS q FROM obs, l)
 SELECT frame, line, point, q, round(CASE WHEN q > 0 AND q < 65535 THEN exp(ln(lo) + q / 65535.0 * (ln(hi) - ln(lo))) END, 4) AS depth FROM q""")
 def quantise_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    obs = T.observations(spark, d).withColumn("all", F.lit(1))
-    limits = A.clip_range(obs, ["all"], "z").select("lo", "hi")
-    rows = obs.crossJoin(F.broadcast(limits))  # one row
+    obs = T.observations(spark, d)
+    rows = obs.crossJoin(F.broadcast(A.log_range(obs, "z")))  # one row
     share = (F.log(F.least(F.greatest("z", "lo"), "hi")) - F.log("lo")) / (F.log("hi") - F.log("lo"))
     coded = rows.withColumn("q", F.bround(F.round(65535 * share, 6)).cast("int"))
     return coded.select("frame", "line", "point", "q", F.round(S.dequantise_log(F.col("q"), F.col("lo"), F.col("hi")), 4).alias("depth"))
@@ -644,24 +643,42 @@ def learning_rate(spark: SparkSession, d: str) -> DataFrame:
     return T.read(spark, d, "events").select("event_id", F.round(S.learning_rate(F.col("event_id"), 100, 1000, 0.1), 9).alias("rate"))
 
 
-# --------------------------------------- draws and iterations: checked by rows
+# ------------------------------------------------------------- draws by digests
 
 
-@query()
+def _unit_sql(*keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(keys)})), 1, 12))::BIGINT / 281474976710656.0)"
+
+
+@query(f"WITH {_SCENES} SELECT subset, scene, CASE WHEN {_unit_sql('subset', 'scene', '0')} < 0.1 THEN 'val' ELSE 'train' END AS split FROM scenes")
 def train_val_split(spark: SparkSession, d: str) -> DataFrame:
     return SA.train_val_split(T.scenes(spark, d), ["subset", "scene"], 0.1, seed=0).select("subset", "scene", "split")
 
 
-@query()
+@query(f"WITH {_FEATURE}, r AS (SELECT scene, img_no, row_number() OVER (PARTITION BY scene ORDER BY md5(concat_ws('|', scene, img_no, 0)), img_no) - 1 AS k, count(*) OVER (PARTITION BY scene) AS c FROM feature) SELECT scene, s::INTEGER AS slot, img_no::INTEGER AS img_no FROM r, range(3) t(s) WHERE k < 3 AND s % least(c, 3) = k")
 def images_per_scene(spark: SparkSession, d: str) -> DataFrame:
     return SA.images_per_scene(T.feature(spark, d), ["scene"], "img_no", 3).select("scene", "slot", "img_no")
 
 
-@query()
+@query(f"WITH {_OBS}, r AS (SELECT supp, frame, row_number() OVER (PARTITION BY supp ORDER BY frame, line) - 1 AS k, count(*) OVER (PARTITION BY supp) AS c FROM obs) SELECT supp, frame FROM r WHERE c >= 8 AND k >= floor({_unit_sql('supp', '0')} * (c - 7)) AND k < floor({_unit_sql('supp', '0')} * (c - 7)) + 8")
 def contiguous_window(spark: SparkSession, d: str) -> DataFrame:
     return SA.contiguous_window(T.observations(spark, d), ["supp"], "frame", 8).select("supp", "frame")
 
 
+@query(f"WITH {_OBS}, f AS (SELECT DISTINCT supp, frame FROM obs) SELECT supp, frame FROM f QUALIFY row_number() OVER (PARTITION BY supp ORDER BY md5(concat_ws('|', supp, frame, 0)), frame) <= 5")
+def random_frames(spark: SparkSession, d: str) -> DataFrame:
+    return SA.random_frames(T.observations(spark, d).select("supp", "frame").distinct(), ["supp"], "frame", 5)
+
+
+@query(f"WITH {_FEATURE} SELECT scene, img_no::INTEGER AS img_no, (CASE WHEN {_unit_sql('scene', '3')} < 0.5 THEN max(img_no) OVER (PARTITION BY scene) - img_no ELSE img_no END)::INTEGER AS position FROM feature")
+def flip_half(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.feature(spark, d).select("scene", "img_no", F.col("img_no").alias("position"))
+    return SA.flip_half(rows, ["scene"], "position", seed=3)
+
+
+# --------------------------------------------------- iterations: checked by rows
+
+
 @query()
 def covisibility_walk(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a customer's orders, walked by shared parts."""
@@ -679,3 +696,4 @@ def communities(spark: SparkSession, d: str) -> DataFrame:
     return C.communities(_ready(spark, d))
 
 
+from . import parts  # noqa: E402, F401  registers more queries

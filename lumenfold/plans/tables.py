@@ -48,5 +48,5 @@ def poses(spark: SparkSession, d: str) -> DataFrame:
     names = ("tx", "ty", "tz", "qx", "qy", "qz", "qw")
     pick = lambda base: [F.col("v")[base + k] for k in range(7)]
     cols = [c.alias(f"p_{n}") for n, c in zip(names, pick(0), strict=True)] + [(c + 0.25 * o).alias(f"g_{n}") for n, c, o in zip(names, pick(0), pick(7), strict=True)]
-    fov = [F.lit(1.0).alias(f"{s}_{n}") for s in "pg" for n in ("fov_h", "fov_w")]
+    fov = [(1.0 + 0.5 * F.col("v")[k]).alias(f"{s}_{n}") for k, (s, n) in enumerate([(s, n) for s in "pg" for n in ("fov_h", "fov_w")], 14)]
     return f.select("vec_id", "window", *cols, *fov)
