@@ -42,7 +42,7 @@ WINDOW = 10
 #: Phrases in one broadcast block (about 60 MB at ten words).
 BLOCK = 500_000
 #: Words of a shard, unless one document has more, and possible starts looked at together.
-SHARD, STARTS = 200_000, 500_000
+SHARD, STARTS = 100_000, 500_000
 
 #: One byte table lower-cases A-Z and blanks whatever is no word character.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -176,7 +176,9 @@ def frequencies(index: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
     out = np.zeros(max(len(terms), 1), np.int64)
     if terms:
         shared = index.sparkSession.sparkContext.broadcast(terms)
-        got = index.select("word", "stop").mapInArrow(_count_terms(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        counted = keep(index.select("word", "stop").mapInArrow(_count_terms(shared), "term int, n long"), "terms", texts=True)
+        got = counted.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        drop(counted)
         out[got["term"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -320,7 +322,7 @@ def find(docs: DataFrame, bench: DataFrame, window: int = WINDOW, slop: int = 0,
         if not made.phrases:
             continue
         plan = spark.sparkContext.broadcast(made.plan(frequencies(index, made.terms)))
-        hits.append(keep(index.select("shard", "begin", "n_words", "word", "stop", "place").mapInArrow(_match(plan, slop), _HITS), "hits"))
+        hits.append(keep(index.select("shard", "begin", "n_words", "word", "stop", "place").mapInArrow(_match(plan, slop), _HITS), "hits", texts=True))
         plan.unpersist()
     each = index.select("shard", F.posexplode(F.arrays_zip("doc_id", "text_key", "n_words")).alias("doc", "d")).select("shard", "doc", "d.*")
     documents = keep(each.select("shard", "doc", "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words")), "indexed")
