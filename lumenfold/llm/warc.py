@@ -24,8 +24,8 @@ Defined results
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -149,10 +149,26 @@ def _judge(full: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- records
 
 
+def _unpacked(data: bytes) -> bytes:
+    """Members of a gzip file one after the other, as far as they can be read."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of an archive file: response and revisit records with their HTTP headers; others are passed over."""
+    """Records of an archive file: response and revisit records with their HTTP headers; others are passed over.
+
+    A file that breaks off is read as far as it goes. A record without a readable length is passed over up to the next record's first line.
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _unpacked(data)
     at = 0
     while True:
         start = data.find(b"WARC/", at)
@@ -160,9 +176,15 @@ def parse_warc(data: bytes) -> Iterator[dict]:
         if start < 0 or head_end < 0:
             return
         head = _headers(data[start:head_end])
-        size = int(head.get("content-length", "0"))
-        block = data[head_end + 4 : head_end + 4 + size]
-        at = head_end + 4 + size
+        at = head_end + 4
+        if not (length := head.get("content-length", "")).isascii() or not length.isdigit():
+            after = data.find(b"\r\n\r\nWARC/", head_end)
+            if after < 0:
+                return
+            at = after + 4
+            continue
+        block = data[at : at + int(length)]
+        at += int(length)
         kind = head.get("warc-type", "")
         if kind in ("response", "revisit"):
             http, _, body = block.partition(b"\r\n\r\n")

@@ -586,3 +586,17 @@ def test_archive_files(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(data))
     got = warc.read_warc(spark, str(tmp_path)).collect()
     assert [(r["kind"], r["headers"]["etag"]) for r in got] == [("response", '"x"'), ("revisit", '"x"')] and bytes(got[0]["payload"]) == b"body"
+
+
+def test_broken_archives():
+    import gzip
+
+    def record(uri, http, length=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(http) if length is None else length}\r\n\r\n{http}\r\n\r\n".encode()
+
+    page = "HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    uris = lambda data: [r["uri"] for r in warc.parse_warc(data)]
+    assert uris(record("a", page) + record("b", page, "abc") + record("c", page)) == ["a", "c"]
+    assert uris(record("a", page, "x")) == [] and uris(b"") == [] and uris(b"\x1f\x8bno") == []
+    packed = gzip.compress(record("a", page)) + gzip.compress(record("b", page * 500))
+    assert uris(packed) == ["a", "b"] and uris(packed[:-9])[:1] == ["a"]
