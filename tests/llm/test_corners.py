@@ -108,6 +108,44 @@ def test_recall_at_the_threshold(spark):
     assert links.count() >= 0.995 * 400
 
 
+def test_directions_grow_with_the_vectors():
+    assert [capfilter.words_for(n) for n in (0, 1000, 51_282, 1 << 20, 1 << 28)] == [16, 16, 31, 64, 256]
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n = rng.standard_normal((200, 64))
+    n -= (n * x).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    met = np.zeros(200, bool)
+    for t in range(capfilter.TABLES):
+        codes = capfilter.Codes(64, t, capfilter.words_for(1 << 24))
+        for k in range(200):
+            a, b = (capfilter.decode(*(h[0] for h in codes.halves(v[k : k + 1]))) for v in (x, y))
+            assert len(a) >= capfilter.LEAST_HITS and a.max() < codes.words.shape[1] ** capfilter.BLOCKS
+            met[k] |= len(np.intersect1d(a, b)) > 0
+    assert met.mean() >= 0.98
+
+
+def test_links_equal_brute_force_with_shared_ids(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((12, 24))
+    v = base[rng.integers(0, 12, 240)] + rng.choice([0.05, 0.3, 0.5], (240, 1)) * rng.standard_normal((240, 24))
+    v[200:210] = v[0]
+    ids = [i // 2 if i < 60 else i for i in range(240)]  # two vectors an id
+    rows = [(i, x.tolist()) for i, x in zip(ids, v, strict=True)]
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in capfilter.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    reach = near.copy()
+    for _ in range(10):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    want = Counter()
+    for k in range(240):
+        c = min(ids[m] for m in np.flatnonzero(reach[k]))
+        want[ids[k], int(near[k].sum()) - 1, c, c == ids[k]] += 1
+    assert got == want
+
+
 def test_hot_filter_is_tiled(spark, monkeypatch):
     monkeypatch.setattr(capfilter, "TILE", 16)
     rng = np.random.default_rng(6)
