@@ -51,6 +51,12 @@ def finite_means(rows: DataFrame, metrics: list[str], by: list[str] | None = Non
     return long.groupBy(*(by or []), "metric").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
 
 
+def means_of_records(records: DataFrame, metrics: str, by: list[str] | None = None) -> DataFrame:
+    """metric, mean, n over finite values of a map column; the metrics are the union of the keys of all records."""
+    long = records.select(*(by or []), F.explode(metrics).alias("metric", "x")).filter(finite(F.col("x")))
+    return long.groupBy(*(by or []), "metric").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+
+
 def window_counts(rows: DataFrame, metric: str) -> DataFrame:
     """Rows, and rows without a finite value of the metric."""
     return rows.agg(F.count("*").alias("windows"), F.count_if(~F.coalesce(finite(F.col(metric)), F.lit(False))).alias("without"))

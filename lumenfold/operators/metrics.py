@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lumenfold.functions import rotation as R
 from lumenfold.functions.scalar import finite, lower_median
 
+from .aggregates import finite_means
+from .windows import forward_pairs, lower_quantile
+
+DEPTH = ("abs_rel", "delta", "scale_ratio")
 POSE = ("tx", "ty", "tz", "qx", "qy", "qz", "qw", "fov_h", "fov_w")
 
 
@@ -80,6 +84,29 @@ def depth_metrics(pixels: DataFrame, by: list[str], pred: str, gt: str, mask: Co
     return pixels.select(*by).distinct().join(got, by, "left").select(*by, *[F.coalesce(c, nan).alias(c) for c in ("abs_rel", "delta", "scale_ratio")])
 
 
+def window_metrics(poses: DataFrame, pixels: DataFrame, window: str, frame: str, pred: str, gt: str) -> DataFrame:
+    """One row a window: pose and field-of-view errors beside depth metrics, NaN where a window has no valid depth."""
+    pose = pose_summary(pose_pair_errors(poses, window, frame), [window]).join(field_of_view_error(poses, [window]), window)
+    depth = depth_metrics(pixels, [window], pred, gt)
+    return pose.join(depth, window, "left").withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in DEPTH})
+
+
+def summarise(records: DataFrame, errors: DataFrame, by: list[str]) -> DataFrame:
+    """metric, value: finite means of the records and how many went in, pooled pair statistics, window counts."""
+    metrics = [c for c in records.columns if c not in by]
+    means = finite_means(records.select(*[F.col(c).cast("double").alias(c) for c in metrics]), metrics)
+    pooled = errors.agg(
+        F.avg(_credit(30)).alias("auc_at_30"), *[c for d in (5, 15) for c in _shares(d)], F.avg("rot").alias("rot_err_deg_mean"), F.avg("trans").alias("trans_err_deg_mean"), F.count("*").alias("num_pairs"),
+    ).filter("num_pairs > 0")
+    windows = records.agg(F.count("*").alias("num_windows"), F.count_if(~F.coalesce(finite(F.col("abs_rel")), F.lit(False))).alias("num_windows_no_depth"))
+    middles = [lower_quantile(errors, c, f"{c}_err_deg_median") for c in ("rot", "trans")]
+    out = means.select(F.concat(F.lit("window_"), "metric").alias("metric"), F.col("mean").alias("value"))
+    out = out.unionByName(means.select(F.concat(F.lit("window_"), "metric", F.lit("_n")).alias("metric"), F.col("n").cast("double").alias("value")))
+    for one in (pooled, windows, *middles):
+        out = out.unionByName(one.select(*[F.col(c).cast("double").alias(c) for c in one.columns]).unpivot([], one.columns, "metric", "value"))
+    return out
+
+
 def camera_loss(poses: DataFrame, by: list[str], pred: str = "p_", gt: str = "g_", weights: tuple[float, float, float] = (1.0, 1.0, 0.5)) -> DataFrame:
     """Absolute errors of translation, sign-aligned quaternion and field of view, and their weighted sum."""
     p, g = ({c: F.col(f"{s}{c}") for c in POSE} for s in (pred, gt))
@@ -98,6 +125,17 @@ def uncertainty_loss(pixels: DataFrame, by: list[str], pred: str, gt: str, conf:
     return pixels.groupBy(*by).agg((F.sum(term) / n).alias("conf_loss"), (F.sum(F.when(mask, err).otherwise(0.0)) / n).alias("err"), F.avg(mask.cast("double")).alias("valid"))
 
 
+def gradient_loss(pixels: DataFrame, by: list[str], y: str, x: str, pred: str, gt: str, conf: str, mask: Column) -> DataFrame:
+    """Means of confidence times the step of the residual between valid neighbours, along both axes and added; 0 without such a pair."""
+    got = pixels.select(*by).distinct()
+    cells = pixels.select(*by, F.col(y).alias("_row"), F.col(x).alias("_col"), (F.col(pred) - F.col(gt)).alias("_e"), F.col(conf).alias("_c"), mask.alias("_ok"))
+    for across, along, name in (("_row", "_col", "grad_w"), ("_col", "_row", "grad_h")):
+        back = cells.withColumn("_back", -F.col(along))  # from the later cell, whose confidence counts
+        pairs = forward_pairs(back, [*by, across], "_back", "_e", "_ok")
+        got = got.join(pairs.groupBy(*by).agg(F.avg(F.col("_c") * F.abs("diff")).alias(name)), by, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    return got.withColumn("loss_grad", F.col("grad_w") + F.col("grad_h"))
+
+
 def total_loss(rows: DataFrame, weights: dict[str, float], name: str = "loss") -> DataFrame:
     """Weighted sum of the terms that are present and have a weight."""
     terms = [w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in weights.items() if w and c in rows.columns]

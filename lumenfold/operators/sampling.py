@@ -52,33 +52,38 @@ def flip_half(frames: DataFrame, scene: list[str], position: str, seed: int = 0)
     return frames.withColumn(position, F.when(flip, last - F.col(position)).otherwise(F.col(position)))
 
 
-def covisibility_walk(pairs: DataFrame, scene: str, n_frames: int, least: float = 0.1, seed: int = 0) -> DataFrame:
+def covisibility_walk(frames: DataFrame, pairs: DataFrame, scene: str, n_frames: int, least: float = 0.1, seed: int = 0) -> DataFrame:
     """scene, frame, pos: frames picked one by one with weights of their best overlap with those picked.
 
+    ``frames``: scene, frame; the walk begins at any of them and the even draw takes any, overlap or not.
     ``pairs``: scene, fi, fj, overlap. A step depends on the one before, so each scene is
     walked in Python; a scene's pair list bounds the group. When nothing overlaps by ``least``, the rest is drawn evenly.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[scene].iloc[0]
+    def walk(of_scene: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        if of_scene.empty:
+            return pd.DataFrame({scene: pdf.scene[:0], "frame": pdf.fi[:0], "pos": pdf.fi[:0]})
+        name = of_scene.scene.iloc[0]
         overlap: dict[int, dict[int, float]] = {}
         for a, b, w in zip(pdf.fi, pdf.fj, pdf.overlap, strict=True):
             overlap.setdefault(int(a), {})[int(b)] = float(w)
             overlap.setdefault(int(b), {})[int(a)] = float(w)
-        frames = sorted(overlap)
+        known = sorted({int(f) for f in of_scene.frame})
         draw = random.Random(f"{seed}:{name}")
-        chosen = [draw.choice(frames)]
-        while len(chosen) < min(n_frames, len(frames)):
-            rest = [f for f in frames if f not in chosen]
-            weights = [max(overlap[f].get(c, 0.0) for c in chosen) for f in rest]
+        chosen = [draw.choice(known)]
+        while len(chosen) < min(n_frames, len(known)):
+            rest = [f for f in known if f not in chosen]
+            weights = [max(overlap.get(f, {}).get(c, 0.0) for c in chosen) for f in rest]
             near = [(f, w) for f, w in zip(rest, weights, strict=True) if w >= least]
             if not near:
-                chosen += draw.sample(rest, min(n_frames, len(frames)) - len(chosen))
+                chosen += draw.sample(rest, min(n_frames, len(known)) - len(chosen))
                 break
             chosen.append(draw.choices([f for f, _ in near], [w for _, w in near])[0])
         return pd.DataFrame({scene: name, "frame": sorted(chosen), "pos": range(len(chosen))})
 
-    kind = dict(pairs.dtypes)[scene]
-    return pairs.select(scene, "fi", "fj", "overlap").groupBy(scene).applyInPandas(walk, f"{scene} {kind}, frame long, pos long")
+    kind = dict(frames.dtypes)[scene]
+    known = frames.select(scene, "frame").filter("frame IS NOT NULL").distinct().toDF("scene", "frame")
+    linked = pairs.select(F.col(scene).alias("scene"), "fi", "fj", "overlap")  # names of its own: both sides may come from one table
+    return known.groupBy("scene").cogroup(linked.groupBy("scene")).applyInPandas(walk, f"{scene} {kind}, frame long, pos long")
 
 

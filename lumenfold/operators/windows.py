@@ -53,6 +53,15 @@ def global_quantiles(rows: DataFrame, x: str, shares: dict[str, float]) -> DataF
     return got.select(*[(F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * weigh(n, s)).alias(n) for n, s in shares.items()])
 
 
+def lower_quantile(rows: DataFrame, x: str, name: str, share: float = 0.5) -> DataFrame:
+    """One row: the value at or below the quantile's place, of all non-null x. Distinct values are counted before they move."""
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_count(counts, "_v", "_n", "_before")
+    at = F.floor(share * (F.col("_total") - 1))
+    both = placed.crossJoin(F.broadcast(placed.agg(F.sum("_n").alias("_total"))))  # one row
+    return both.agg(F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col("_v"))).alias(name))
+
+
 def placed_by(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
     """1-based place of each row of a report in a total order, as a viewer resorts it; say where nulls go in the order."""
     return global_rank(rows, list(order), "_place").withColumn(name, F.col("_place") + 1).drop("_place")

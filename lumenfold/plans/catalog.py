@@ -683,7 +683,7 @@ def flip_half(spark: SparkSession, d: str) -> DataFrame:
 def covisibility_walk(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a customer's orders, walked by shared parts."""
     obs = T.observations(spark, d).join(T.read(spark, d, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_custkey") % 97).alias("scene")), "frame")
-    return SA.covisibility_walk(J.covisibility(obs, "frame", "point", scene=["scene"]), "scene", 6)
+    return SA.covisibility_walk(obs.select("scene", "frame"), J.covisibility(obs, "frame", "point", scene=["scene"]), "scene", 6)
 
 
 @query()

@@ -236,3 +236,58 @@ def unit_and_layernorm(spark: SparkSession, d: str) -> DataFrame:
     e = T.read(spark, d, "embeddings").select("vec_id", VE.unit(F.col("embedding").cast("array<double>")).alias("u"))
     wide = lambda x: F.transform("u", lambda _: F.lit(x))
     return e.select("vec_id", F.round(F.col("u")[0], 6).alias("unit"), F.round(VE.layernorm(F.col("u"), wide(2.0), wide(1.0))[0], 5).alias("layer"))
+
+
+# ------------------------------------------------------- evaluation of windows
+
+_EVAL = f"""pose AS ({C.oracle_sql()["pose_metrics"]}), fov AS (SELECT "window", fov_err_deg FROM ({C.oracle_sql()["camera_loss"]})), depth AS ({C.oracle_sql()["depth_metrics"]}),
+records AS (SELECT pose.*, fov_err_deg, coalesce(abs_rel, 'NaN'::DOUBLE) AS abs_rel, coalesce(delta, 'NaN'::DOUBLE) AS delta, coalesce(scale_ratio, 'NaN'::DOUBLE) AS scale_ratio FROM pose JOIN fov USING ("window") LEFT JOIN depth ON depth.supp = pose."window")"""
+_POSE_COLUMNS = {"rot_mean": 5, "rot_median": 5, "trans_mean": 5, "trans_median": 5, "rra_at_5": 6, "rta_at_5": 6, "auc_at_30": 6, "fov_err_deg": 5, "scale_ratio": 6, "abs_rel": 9, "delta": 6}
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    px = T.observations(spark, d).withColumn("pred", F.col("z") * (1 - F.col("discount")) * (1 + F.col("tax"))).withColumnRenamed("supp", "window")
+    got = M.window_metrics(T.poses(spark, d), px, "window", "vec_id", "pred", "z")
+    return got.select("window", "pairs", *[_r(c, n) for c, n in _POSE_COLUMNS.items()])
+
+
+@query(f'WITH {_EVAL} SELECT "window", pairs, {", ".join(_POSE_COLUMNS)} FROM records')
+def window_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Pose, field-of-view and depth metrics of each window; suppliers stand for the windows that have depth."""
+    return _records(spark, d)
+
+
+@query(f"""WITH {_EVAL}, long AS (UNPIVOT (SELECT pairs::DOUBLE AS pairs, {", ".join(_POSE_COLUMNS)} FROM records) ON COLUMNS(*) INTO NAME metric VALUE x),
+means AS (SELECT metric, avg(x) AS mean, count(*)::DOUBLE AS n FROM long WHERE isfinite(x) GROUP BY metric),
+pooled AS (WITH {C._PAIR_ERRORS} SELECT avg(list_sum(list_transform(range(1, 31), lambda k: (greatest(rot, trans) < k)::INTEGER))) / 30 AS auc_at_30, avg((rot < 5)::INTEGER) AS rra_at_5, avg((trans < 5)::INTEGER) AS rta_at_5, avg((rot < 15)::INTEGER) AS rra_at_15, avg((trans < 15)::INTEGER) AS rta_at_15,
+ avg(rot) AS rot_err_deg_mean, avg(trans) AS trans_err_deg_mean, count(*)::DOUBLE AS num_pairs, quantile_disc(rot, 0.5) AS rot_err_deg_median, quantile_disc(trans, 0.5) AS trans_err_deg_median FROM err),
+counts AS (SELECT count(*)::DOUBLE AS num_windows, (count(*) FILTER (WHERE NOT isfinite(abs_rel)))::DOUBLE AS num_windows_no_depth FROM records)
+SELECT metric, round(value, 4) AS value FROM (SELECT 'window_' || metric AS metric, mean AS value FROM means UNION ALL SELECT 'window_' || metric || '_n', n FROM means UNION ALL (UNPIVOT pooled ON COLUMNS(*) INTO NAME metric VALUE value) UNION ALL (UNPIVOT counts ON COLUMNS(*) INTO NAME metric VALUE value))""")
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Means over windows, statistics of all pairs and counts, as the run's summary."""
+    return M.summarise(_records(spark, d), C._errors(spark, d), ["window"]).select("metric", _r("value", 4))
+
+
+@query(f"""WITH {C._GRID}, g AS (SELECT (y // 25)::BIGINT AS image, y, x, z * x / 100.0 AS e, 1 + y / 50.0 AS conf, z > 940 AS ok FROM grid),
+w AS (SELECT image, conf * abs(e - lag(e) OVER h) AS s, ok AND lag(ok) OVER h AND lag(x) OVER h = x - 1 AS pair FROM g WINDOW h AS (PARTITION BY image, y ORDER BY x)), v AS (SELECT image, conf * abs(e - lag(e) OVER h) AS s, ok AND lag(ok) OVER h AND lag(y) OVER h = y - 1 AS pair FROM g WINDOW h AS (PARTITION BY image, x ORDER BY y)),
+a AS (SELECT image, avg(s) AS grad_w FROM w WHERE pair GROUP BY image), b AS (SELECT image, avg(s) AS grad_h FROM v WHERE pair GROUP BY image)
+SELECT image, round(coalesce(grad_w, 0), 5) AS grad_w, round(coalesce(grad_h, 0), 5) AS grad_h, round(coalesce(grad_w, 0) + coalesce(grad_h, 0), 5) AS loss_grad FROM (SELECT DISTINCT image FROM g) LEFT JOIN a USING (image) LEFT JOIN b USING (image)""")
+def gradient_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The step term of the dense loss on grids of part prices."""
+    px = C._grid(spark, d).select(F.floor(F.col("y") / 25).cast("bigint").alias("image"), "y", "x", "z", (F.col("z") * (1 + F.col("x") / 100)).alias("pred"), (1 + F.col("y") / 50).alias("conf"))
+    return M.gradient_loss(px, ["image"], "y", "x", "pred", "z", "conf", F.col("z") > 940).select("image", *[_r(c, 5) for c in ("grad_w", "grad_h", "loss_grad")])
+
+
+@query("WITH r AS (SELECT event_type AS metric, value AS x FROM events UNION ALL SELECT 'k', json_extract_string(props, '$.k')::DOUBLE FROM events) SELECT metric, round(avg(x), 6) AS mean, count(*) AS n FROM r WHERE isfinite(x) GROUP BY metric")
+def means_of_records(spark: SparkSession, d: str) -> DataFrame:
+    """Finite means of all metrics that any record names."""
+    rows = T.eval_window(spark, d).select(F.create_map(F.col("run"), F.col("value"), F.lit("k"), F.col("k")).alias("metrics"))
+    return A.means_of_records(rows, "metrics").select("metric", _r("mean"), "n")
+
+
+@query(f"""WITH {C._XY}, pr AS (SELECT count(*) AS n, corr(x, y) AS r FROM xy), st AS (SELECT n, n - 2 AS df, abs(r) * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM pr), b AS (SELECT n, df, least(pi() / 2, 40 / sqrt(df)) AS hi, atan(t / sqrt(df)) AS lo FROM st), k AS (SELECT (unnest(range(0, 20000)) + 0.5) / 20000 AS k)
+SELECT any_value(n) AS n, round(sum(exp((df - 1) * ln(cos(lo + (hi - lo) * k)))) * any_value(hi - lo) / (sum(exp((df - 1) * ln(cos(hi * k)))) * any_value(hi)), 5) AS p FROM b, k""")
+def regression_p_value(spark: SparkSession, d: str) -> DataFrame:
+    """p-value of the slope of loss on typicality."""
+    got = ST.regression(C._typicality_loss(spark, d), "x", "y")
+    return got.select("n", F.round(ST.p_value(F.col("t"), F.col("n") - 2), 5).alias("p"))

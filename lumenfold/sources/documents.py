@@ -61,9 +61,22 @@ def write_scene_list(scenes: DataFrame, path: str) -> None:
     scenes.select(F.concat_ws("/", "subset", "scene").alias("value")).orderBy("value").write.mode("overwrite").text(path)
 
 
-def write_index(scenes: DataFrame, path: str) -> None:
-    """Index rows sorted by subset and scene, as JSON lines."""
+def write_index(scenes: DataFrame, path: str, failures: DataFrame | None = None) -> None:
+    """Index rows sorted by subset and scene, as JSON lines; failures, if there are any, in ``path``.failures."""
     scenes.orderBy("subset", "scene").write.mode("overwrite").json(path)
+    if failures is not None and not failures.isEmpty():
+        failures.orderBy("subset", "scene").write.mode("overwrite").json(f"{path}.failures")
+
+
+def write_scenes(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Columnar rows in one folder for each value of ``by``; the ``_SUCCESS`` marker comes last."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end: its marker is there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def cluster_document(members: DataFrame, method: str) -> DataFrame:
