@@ -268,7 +268,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id",
     smallest = groups.join(classes.select("id", "first"), "id").groupBy("component_id").agg(F.min("first").alias("reached"))
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # one component may hold most classes
     dealt = groups.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    reached = dealt.join(smallest.select("*", salt), ["component_id", "salt"]).select("id", "reached")
+    # A left join, though all rows match: the spread side is then never the one that streams, all parts of a component in one task.
+    reached = dealt.join(smallest.select("*", salt), ["component_id", "salt"], "left").select("id", "reached")
     named = classes.join(met, "id", "left").join(reached, "id", "left")
     named = named.select("v", (F.coalesce("met", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("reached", "first").alias("component_id"))
     found = rows.withColumn("fine", usable(F.col("v")) & F.col("vec_id").isNotNull())
