@@ -15,8 +15,8 @@ out chance meetings (4.5 deviations of slack), distinct pairs meet their vectors
 cosines are verified in double precision. Equal vectors collapse to one row first.
 
 Measured on random pairs of 64 components at cosine 0.9 exactly, the worst case, three
-tables miss none of 4,000 with up to 64 words a block (a million vectors), 0.07 % with 128
-(17 million) and 1 % with 256 (268 million); see the tests for recall on the tables.
+tables miss none of 4,000 with up to 64 words a block (a million vectors), 1 of 1,500 with 128
+(17 million) and 4 of 400 with 256 (268 million); see the tests for recall on the tables.
 
 Defined results
 * vectors that are null, empty, zero or hold null or non-finite components: no links.
