@@ -13,64 +13,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 #: Centres are held on the driver; k times the dimension may not exceed this many numbers (128 MB).
 MOST_STATE = 1 << 24
 
+#: Numbers in a block of vectors (1 MB), and numbers for which a round starts one more task.
+BLOCK, PER_TASK = 1 << 17, 1 << 19
+
+#: Scene by centre or community numbers that a task holds at once.
+TILE = 1 << 21
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of scenes with vectors of unit norm as bytes: every round reads them, and no number is converted again."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _matrix(batch.column(1))
+        step = max(1, BLOCK // x.shape[1])
+        lows = range(0, len(x), step)
+        ids = pa.ListArray.from_arrays(pa.array([*lows, len(x)], pa.int32()), batch.column(0))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([x[lo : lo + step].tobytes() for lo in lows], pa.binary()), pa.array([x.shape[1]] * len(lows), pa.int32())], names=["scenes", "vectors", "d"])
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], dim: int, centres: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Scenes and vectors out of blocks, so many at once that scenes times centres stay at ``TILE`` or below."""
+    step = max(1, TILE // max(1, centres))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, packed = batch.column(0).flatten(), batch.column(1)
+        ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+        x = np.frombuffer(packed.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float64).reshape(-1, dim)  # the blocks of a batch lie behind one another
+        for lo in range(0, len(x), step):
+            yield ids[lo : lo + step], x[lo : lo + step]
+
+
+def _unpack(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _tiles(batches, dim, dim):
+            yield pa.RecordBatch.from_arrays([ids, pa.array(x.tolist(), pa.list_(pa.float64()))], names=["scene", "vector"])
+
+    return run
+
+
+def _stacked(centres: dict[int, np.ndarray]) -> tuple[np.ndarray, dict[int, slice]]:
+    """The centres of all runs as one matrix, and which rows of it are a run's."""
+    ends = np.cumsum([len(c) for c in centres.values()]).tolist()
+    return np.vstack(list(centres.values())), {r: slice(end - len(c), end) for (r, c), end in zip(centres.items(), ends, strict=True)}
+
+
 def _raw(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _assign_pass(centres: dict[int, np.ndarray]):
     """Partial sums of a round for each run: run, cluster, n, sum of best cosines, sum vector; and the worst-assigned row of the task."""
+    stacked, part = _stacked(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cos, total = ({r: np.zeros((len(c), *more), kind) for r, c in centres.items()} for more, kind in (((), np.int64), ((), float), ((next(iter(centres.values())).shape[1],), float)))
+        n, cos, total = np.zeros(len(stacked), np.int64), np.zeros(len(stacked)), np.zeros_like(stacked)
         worst: dict[int, tuple[float, np.ndarray]] = {}
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            if not len(x):
-                continue
-            for r, c in centres.items():
-                sim = x @ c.T
-                label, best = sim.argmax(1), sim.max(1)
-                n[r] += np.bincount(label, minlength=len(c))
-                cos[r] += np.bincount(label, weights=best, minlength=len(c))
-                np.add.at(total[r], label, x)
+        for _, x in _tiles(batches, stacked.shape[1], len(stacked)):
+            sim, at = stacked @ x.T, np.arange(len(x))
+            own = np.zeros_like(sim)
+            for r, p in part.items():
+                label = sim[p].argmax(0)
+                best = sim[p][label, at]
+                own[p][label, at] = 1
+                n[p] += np.bincount(label, minlength=p.stop - p.start)
+                cos[p] += np.bincount(label, weights=best, minlength=p.stop - p.start)
                 if r not in worst or best.min() < worst[r][0]:
                     worst[r] = float(best.min()), x[best.argmin()]
-        rows = [(r, c, int(n[r][c]), float(cos[r][c]), total[r][c].tolist()) for r in centres for c in range(len(n[r])) if n[r][c]]
-        rows += [(r, -1, 0, at, x.tolist()) for r, (at, x) in worst.items()]
+            total += own @ x
+        rows = [(r, c - p.start, int(n[c]), float(cos[c]), total[c].tobytes()) for r, p in part.items() for c in range(p.start, p.stop) if n[c]]
+        rows += [(r, -1, 0, at, x.tobytes()) for r, (at, x) in worst.items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["run", "cluster", "n", "cos", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary()), strict=True)], names=["run", "cluster", "n", "cos", "total"])
 
     return run
 
 
 def _pick_pass(centres: dict[int, np.ndarray], seeds: dict[int, int]):
     """For k-means++: each task's weighted choice of each run (exponential race by squared distance)."""
+    stacked, part = _stacked(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        won: dict[int, tuple[float, np.ndarray]] = {}
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            if not len(x):
-                continue
-            keys = batch.column(0).to_pylist()
-            for r, c in centres.items():
-                far = np.maximum(0.0, 2 - 2 * (x @ c.T).max(1)) if len(c) else np.ones(len(x))
+        won: dict[int, tuple[float, int, np.ndarray]] = {}
+        for scenes, x in _tiles(batches, stacked.shape[1], len(stacked)):
+            sim, keys = stacked @ x.T, scenes.to_pylist()
+            for r, p in part.items():
+                far = np.maximum(0.0, 2 - 2 * sim[p].max(0)) if p.stop > p.start else np.ones(len(x))
                 ids = np.array([hash_id(i, seeds[r]) for i in keys])
                 race = np.where(far > 1e-15, -np.log(ids) / np.maximum(far, 1e-300), np.inf)
-                if race.min() < won.get(r, (np.inf,))[0]:
-                    won[r] = float(race.min()), x[race.argmin()]
-        rows = [(r, at, x.tolist()) for r, (at, x) in won.items()]
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.list_(pa.float64())), strict=True)], names=["run", "race", "row"])
+                first = int(race.argmin())
+                if race[first] < won.get(r, (np.inf,))[0]:
+                    won[r] = float(race[first]), keys[first], x[first]
+        rows = [(r, at, scene, x.tobytes()) for r, (at, scene, x) in won.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.float64(), pa.int64(), pa.binary()), strict=True)], names=["run", "race", "scene", "row"])
 
     return run
 
@@ -84,10 +131,9 @@ def hash_id(key, seed: int) -> float:
 
 def _label_pass(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _matrix(batch.column(1))
-            sim = x @ centres.T if len(x) else np.zeros((0, len(centres)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sim.argmax(1).astype(np.int32) if len(x) else [], pa.int32()), pa.array(sim.max(1) if len(x) else [], pa.float64())], names=["scene", "cluster", "cosine"])
+        for scenes, x in _tiles(batches, centres.shape[1], len(centres)):
+            sim = x @ centres.T
+            yield pa.RecordBatch.from_arrays([scenes, pa.array(sim.argmax(1).astype(np.int32)), pa.array(sim.max(1))], names=["scene", "cluster", "cosine"])
 
     return run
 
@@ -97,37 +143,42 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
 
     An empty cluster takes the worst-assigned row; clusters still empty at the end are
     dropped. Runs share the passes over the rows. Draws come from hashes of keys, so a seed gives one result on any cluster.
-    Without ``plus`` a run starts from k drawn rows, found in one job.
+    Without ``plus`` a run starts from k drawn rows, found in one job. A round is one job over blocks of unit vectors, dealt anew
+    by their size: its tasks follow the numbers in them, not the partitions of ``scenes``.
     """
-    rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector")).persist()
-    dim = rows.select(F.size("vector").alias("d")).first()
-    if dim is None:
+    rows = scenes.select(F.col(key).cast("long").alias("scene"), F.col(vector).alias("vector"))
+    packed = settled(rows.mapInArrow(_pack, "scenes array<long>, vectors binary, d int"))
+    head = packed.agg(F.sum(F.size("scenes")).alias("n"), F.max("d").alias("d")).first()
+    if not head["n"]:
         return rows.select("scene", F.lit(0).alias("cluster"), F.lit(0.0).alias("cosine"))
-    if k < 1 or k * dim["d"] > MOST_STATE:
+    dim = head["d"]
+    if k < 1 or k * dim > MOST_STATE:
         raise ValueError(f"k must be 1 or more, and k times the dimension at most {MOST_STATE}")
+    blocks = packed.repartition(min(-(-head["n"] * dim // PER_TASK), 4 * scenes.sparkSession.sparkContext.defaultParallelism)).persist()
     best, best_cos = None, -np.inf
-    together = max(1, MOST_STATE // (k * dim["d"]))  # runs that share a pass
+    together = max(1, MOST_STATE // (k * dim))  # runs that share a pass
     for low in range(0, n_init, together):
-        centres = {run: np.zeros((0, dim["d"])) for run in range(low, min(low + together, n_init))}
+        centres = {run: np.zeros((0, dim)) for run in range(low, min(low + together, n_init))}
         for run in [] if plus else list(centres):
-            drawn = rows.orderBy(F.xxhash64("scene", F.lit(seed * 1_000_003 + run)), "scene").limit(k).select("vector").collect()
+            drawn = blocks.mapInArrow(_unpack(dim), "scene long, vector array<double>").orderBy(F.xxhash64("scene", F.lit(seed * 1_000_003 + run)), "scene").limit(k).select("vector").collect()
             centres[run] = np.array([r["vector"] for r in drawn])
-            centres[run] /= np.maximum(np.linalg.norm(centres[run], axis=1, keepdims=True), 1e-12)
         drawing = set(centres) if plus else set()
         for c in range(k):
             if not drawing:
                 break
             seeds = {run: seed * 1_000_003 + run * 1009 + c for run in drawing}
-            got = rows.mapInArrow(_pick_pass({run: centres[run] for run in drawing}, seeds), "run int, race double, row array<double>").groupBy("run").agg(F.min_by("row", "race").alias("row")).collect()
-            for r in got:
-                centres[r["run"]] = np.vstack([centres[r["run"]], np.array(r["row"])])
-            drawing = {r["run"] for r in got}
+            won: dict[int, tuple] = {}
+            for r in blocks.mapInArrow(_pick_pass({run: centres[run] for run in drawing}, seeds), "run int, race double, scene long, row binary").collect():  # a row for each run and task
+                won[r["run"]] = min(won.get(r["run"], (np.inf,)), (r["race"], r["scene"], r["row"]))
+            for run, (_, _, row) in won.items():
+                centres[run] = np.vstack([centres[run], np.frombuffer(row)])
+            drawing = set(won)
         before: dict[int, tuple] = {}
         for _ in range(max_iter):
             if not centres:
                 break
             parts: dict[int, list] = {run: [] for run in centres}
-            for p in rows.mapInArrow(_assign_pass(centres), "run int, cluster int, n long, cos double, total array<double>").collect():
+            for p in blocks.mapInArrow(_assign_pass(centres), "run int, cluster int, n long, cos double, total binary").collect():
                 parts[p["run"]].append(p)
             for run, held in parts.items():
                 old = centres[run]
@@ -137,10 +188,10 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
                     if p["cluster"] >= 0:
                         n[p["cluster"]] += p["n"]
                         cos += p["cos"]
-                        total[p["cluster"]] += np.array(p["total"])
+                        total[p["cluster"]] += np.frombuffer(p["total"])
                 length = np.linalg.norm(total, axis=1, keepdims=True)
                 new = np.where(length > 1e-12, total / np.maximum(length, 1e-12), old)
-                new[n == 0] = np.array(worst["total"])
+                new[n == 0] = np.frombuffer(worst["total"])
                 shift = 1 - float((new * old).sum(1).mean())
                 state = (n.tolist(), round(cos, 9))
                 if cos > best_cos:
@@ -149,17 +200,13 @@ def spherical_kmeans(scenes: DataFrame, k: int, key: str = "scene", vector: str
                     del centres[run]
                 else:
                     centres[run], before[run] = new, state
-    labelled = rows.mapInArrow(_label_pass(best), "scene long, cluster int, cosine double")
+    labelled = blocks.mapInArrow(_label_pass(best), "scene long, cluster int, cosine double")
     sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.min("scene").alias("first"))
     places = {r["cluster"]: i for i, r in enumerate(sizes.orderBy(F.desc("n"), "first").collect())}  # at most k rows
     order = F.create_map(*[F.lit(int(x)) for kv in places.items() for x in kv])
     return labelled.select("scene", order[F.col("cluster")].alias("cluster"), "cosine")
 
 
-#: Scene by community numbers that a task holds at once.
-TILE = 1 << 21
-
-
 def _move_pass(shared, gamma: float, share: float, seed: int):
     """Each scene's best community by modularity gain, or one of its own; a drawn share of the scenes may move, as all move at once.
 
