@@ -6,6 +6,7 @@ scenes stay distributed, and a round is one mapInArrow pass with partial sums.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,8 @@ from .settled import settled
 #: Centres are held on the driver; k times the dimension may not exceed this many numbers (128 MB).
 MOST_STATE = 1 << 24
 
-#: Numbers in a block of vectors (1 MB), and numbers for which a round starts one more task.
-BLOCK, PER_TASK = 1 << 17, 1 << 19
+#: Numbers in a block of vectors (1 MB), and numbers for which a round starts one more task: to start one costs more than to read 4 MB.
+BLOCK, PER_TASK = 1 << 17, 1 << 21
 
 #: Scene by centre or community numbers that a task holds at once.
 TILE = 1 << 21
@@ -108,9 +109,10 @@ def _pick_pass(centres: dict[int, np.ndarray], seeds: dict[int, int]):
         won: dict[int, tuple[float, int, np.ndarray]] = {}
         for scenes, x in _tiles(batches, stacked.shape[1], len(stacked)):
             sim, keys = stacked @ x.T, scenes.to_pylist()
+            encoded = [str(i).encode() for i in keys]
             for r, p in part.items():
                 far = np.maximum(0.0, 2 - 2 * sim[p].max(0)) if p.stop > p.start else np.ones(len(x))
-                ids = np.array([hash_id(i, seeds[r]) for i in keys])
+                ids = hash_ids(encoded, seeds[r])
                 race = np.where(far > 1e-15, -np.log(ids) / np.maximum(far, 1e-300), np.inf)
                 first = int(race.argmin())
                 if race[first] < won.get(r, (np.inf,))[0]:
@@ -124,11 +126,15 @@ def _pick_pass(centres: dict[int, np.ndarray], seeds: dict[int, int]):
 
 def hash_id(key, seed: int) -> float:
     """A number in (0, 1) from a key: draws do not depend on partitions."""
-    import hashlib
-
     return (int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little") + 0.5) / 2.0**64
 
 
+def hash_ids(keys: list[bytes], seed: int) -> np.ndarray:
+    """``hash_id`` of encoded keys."""
+    start, blake = f"{seed}:".encode(), hashlib.blake2b
+    return (np.frombuffer(b"".join([blake(start + k, digest_size=8).digest() for k in keys]), "<u8") + 0.5) / 2.0**64
+
+
 def _label_pass(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for scenes, x in _tiles(batches, centres.shape[1], len(centres)):
